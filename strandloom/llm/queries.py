@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandloom.llm import decontaminate, exact_dedup
+from strandloom.llm import decontaminate, exact_dedup, language_id
 from strandloom.session import table
 
 
@@ -14,5 +14,9 @@ def op4_exact_dedup(spark, sf_dir):
     return exact_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op3_benchmark_decontamination, op4_exact_dedup)}
+def op6_language_id(spark, sf_dir):
+    return language_id.report(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
+QUERIES = {f.__name__: f for f in (op3_benchmark_decontamination, op4_exact_dedup, op6_language_id)}
 ORACLES = {"op3_benchmark_decontamination": decontaminate.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE}
