@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandloom.llm import decontaminate, exact_dedup, language_id
+from strandloom.llm import decontaminate, exact_dedup, language_id, toxicity
 from strandloom.session import table
 
 
@@ -18,5 +18,9 @@ def op6_language_id(spark, sf_dir):
     return language_id.report(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
-QUERIES = {f.__name__: f for f in (op3_benchmark_decontamination, op4_exact_dedup, op6_language_id)}
+def op10_toxicity(spark, sf_dir):
+    return toxicity.report(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op3_benchmark_decontamination, op4_exact_dedup, op6_language_id, op10_toxicity)}
 ORACLES = {"op3_benchmark_decontamination": decontaminate.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE}
