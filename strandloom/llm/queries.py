@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from strandloom.llm import decontaminate, exact_dedup, language_id, toxicity
+from strandloom.llm import decontaminate, exact_dedup, language_id, quality, toxicity
 from strandloom.session import table
 
 
+def op1_quality_classifier(spark, sf_dir):
+    return quality.report(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+
+
 def op3_benchmark_decontamination(spark, sf_dir):
     return decontaminate.report(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
@@ -22,5 +26,5 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.report(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op3_benchmark_decontamination, op4_exact_dedup, op6_language_id, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op3_benchmark_decontamination, op4_exact_dedup, op6_language_id, op10_toxicity)}
 ORACLES = {"op3_benchmark_decontamination": decontaminate.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE}
