@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandloom.llm import decontaminate, exact_dedup, language_id, quality, toxicity
+from strandloom.llm import decontaminate, exact_dedup, language_id, packing, quality, toxicity
 from strandloom.session import table
 
 
@@ -18,6 +18,10 @@ def op4_exact_dedup(spark, sf_dir):
     return exact_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_language_id(spark, sf_dir):
     return language_id.report(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
@@ -26,5 +30,5 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.report(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op3_benchmark_decontamination, op4_exact_dedup, op6_language_id, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op3_benchmark_decontamination, op4_exact_dedup, op5_packing, op6_language_id, op10_toxicity)}
 ORACLES = {"op3_benchmark_decontamination": decontaminate.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE}
