@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandloom.llm import decontaminate, exact_dedup, language_id, packing, quality, toxicity
+from strandloom.llm import decontaminate, exact_dedup, language_id, packing, quality, substring_dedup, toxicity
 from strandloom.session import table
 
 
@@ -10,6 +10,10 @@ def op1_quality_classifier(spark, sf_dir):
     return quality.report(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
 
 
+def op2_substring_dedup(spark, sf_dir):
+    return substring_dedup.repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_benchmark_decontamination(spark, sf_dir):
     return decontaminate.report(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
@@ -30,5 +34,5 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.report(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op3_benchmark_decontamination, op4_exact_dedup, op5_packing, op6_language_id, op10_toxicity)}
-ORACLES = {"op3_benchmark_decontamination": decontaminate.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_substring_dedup, op3_benchmark_decontamination, op4_exact_dedup, op5_packing, op6_language_id, op10_toxicity)}
+ORACLES = {"op2_substring_dedup": substring_dedup.ORACLE, "op3_benchmark_decontamination": decontaminate.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE}
