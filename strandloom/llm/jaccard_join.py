@@ -6,9 +6,12 @@ Sets are the distinct 5-word shingles of a text. Equal sets are one class, found
   of a pair of sizes that emit an equal subset of c elements are linked, with nothing to verify and no pairs to list.
 * Large sets are scanned in inverted lists over a prefix of n - ceil(0.8 n) + 1 shingles, light ones first. A shingle is
   heavy if more than `limit` classes have it, so the lists that are scanned are short; all their pairs are candidates.
-* Sets whose prefix reaches heavy shingles (large groups of similar texts) also enumerate subsets: shingles are dealt into more parts
-  than a linked pair can differ in, so one part of the two is equal. Equal parts meet; a group is linked through its most
-  central member first, and only what is left in different components is compared pair by pair.
+* Sets whose prefix reaches heavy shingles (large groups of similar texts) also enumerate subsets. What links of such sets is still to
+  be found has no light shingle in common, so light ones count as differences, and the heavy ones may differ only in what
+  is left: the budget. They are dealt into more parts than that, so most parts of the two are equal, and one of them
+  is among the budget + 1 rarest parts of either. Such parts meet; a group is linked through its most central member
+  first, and only what is left in different components is compared pair by pair, where the distances of the two to the same
+  central member leave room for a link (triangle inequality).
 
 The boundaries are set by cost: `limit` weighs comparing the members of a list against emitting their parts, the
 largest small size weighs its subsets against its prefix and the lists found there. Heavy shingles are kept as one bit map of
@@ -26,7 +29,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.llm import words as W
@@ -245,49 +248,59 @@ def size_class(n: np.ndarray) -> np.ndarray:
     return np.floor(np.log(n) / np.log(1.25) + 1e-9).astype(np.int64)
 
 
-def parts_of(k: int) -> tuple[int, int]:
-    """For pairs with the smaller size class k and the other k or k + 1: the most they can differ in, and the number of parts."""
-    differ = int((np.ceil(1.25 ** (k + 1)) + np.ceil(1.25 ** (k + 2))) // 9)
-    return differ, int(1.2 * (differ + 1)) + 9
+def largest(k):
+    """The largest size of class k, or a little more."""
+    return np.ceil(1.25 ** (np.asarray(k) + 1.0)).astype(np.int64)
 
 
-def _parts(batches):
-    """(key, node, n) for every part of every set, twice: for partners of its own or the next size class, and of the one below."""
-    for b in batches:
-        ids = b.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
-        for row, last, of, x in sets(*W.raw(b.column("text"))):
-            n = np.bincount(of - row, minlength=last - row)
-            own = size_class(np.maximum(n, 1))
-            out = []
-            for back in (0, 1):
-                group = own - back
-                table = {int(k): parts_of(int(k)) for k in np.unique(group)}
-                differ = np.array([table[int(k)][0] for k in group])
-                parts = np.array([table[int(k)][1] for k in group])
-                base = np.concatenate(([0], np.cumsum(parts)))
-                mine = of - row
-                spread = W.mix(x + group[mine].astype(np.uint64) * _GOLD) >> np.uint64(32)
-                part = ((spread * parts[mine].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
-                cell = base[mine] + part
-                total, size = np.zeros(base[-1], np.uint64), np.bincount(cell, minlength=base[-1])
-                np.add.at(total, cell, W.mix(x ^ _GOLD))
-                owner = np.repeat(np.arange(last - row), parts)
-                filled = np.bincount(owner, weights=size > 0, minlength=last - row)
-                emit = ((size > 0) | (filled <= differ)[owner]) & (n[owner] > 0)
-                at = np.flatnonzero(emit)
-                place = (at - base[owner[at]]).astype(np.uint64) + group[owner[at]].astype(np.uint64) * np.uint64(1 << 32)
-                out.append((W.mix(total[at] + W.mix(place)), ids[row + owner[at]], n[owner[at]]))
-            key, node, size = (np.concatenate(c) for c in zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(node), pa.array(size.astype(np.int64))], names=["key", "node", "n"])
-
-
-def _arrays(batches):
-    for b in batches:
-        ids = b.column("id")
-        for row, last, of, x in sets(*W.raw(b.column("text"))):
-            n = np.bincount(of - row, minlength=last - row)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(x.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([ids.slice(row, last - row), lists], names=["node", "elements"])
+def _parts(bitmap):
+    """(key, node, n, light, grp, budget) for every part of the heavy shingles of every set, for two groups of pairs: with its own size class or the next, and with the one below."""
+
+    def run(batches):
+        bits = np.frombuffer(bitmap.value, np.uint8)
+        for b in batches:
+            ids = b.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
+            for row, last, of, x in sets(*W.raw(b.column("text"))):
+                n = np.bincount(of - row, minlength=last - row)
+                heavy = _is_heavy(bits, x)
+                light = np.bincount((of - row)[~heavy], minlength=last - row)
+                mine, x = (of - row)[heavy], x[heavy]
+                own = size_class(np.maximum(n, 1))
+                out = []
+                for back in (0, 1):
+                    grp = own - back
+                    parts = (1.2 * ((largest(grp) + largest(grp + 1)) // 9 + 1)).astype(np.int64) + 9
+                    other = np.minimum(5 * n // 4, largest(grp + 1) if back == 0 else largest(grp))
+                    budget = (n + other) // 9 - light
+                    base = np.concatenate(([0], np.cumsum(parts)))
+                    spread = W.mix(x + grp[mine].astype(np.uint64) * _GOLD) >> np.uint64(32)
+                    cell = base[mine] + ((spread * parts[mine].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
+                    total = np.zeros(base[-1], np.uint64)
+                    np.add.at(total, cell, W.mix(x ^ _GOLD))
+                    owner = np.repeat(np.arange(last - row), parts)
+                    at = np.flatnonzero(((n > 0) & (budget >= 0))[owner])
+                    o = owner[at]
+                    place = (at - base[o]).astype(np.uint64) + grp[o].astype(np.uint64) * np.uint64(1 << 32)
+                    out.append((W.mix(total[at] + W.mix(place)).view(np.int64), ids[row + o], n[o], light[o], grp[o], budget[o]))
+                cols = [np.concatenate(c) for c in zip(*out, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], names=["key", "node", "n", "light", "grp", "budget"])
+
+    return run
+
+
+def _arrays(bitmap):
+    def run(batches):
+        bits = np.frombuffer(bitmap.value, np.uint8)
+        for b in batches:
+            for row, last, of, x in sets(*W.raw(b.column("text"))):
+                heavy = _is_heavy(bits, x)
+                lists = []
+                for part in (~heavy, heavy):
+                    n = np.bincount((of - row)[part], minlength=last - row)
+                    lists.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(x[part].view(np.int64))))
+                yield pa.RecordBatch.from_arrays([b.column("id").slice(row, last - row), *lists], names=["node", "light", "heavy"])
+
+    return run
 
 
 def _only(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
@@ -307,13 +320,18 @@ def small_limit(n1: int, n2: int) -> int:
     return best
 
 
-def _linked(pairs: DataFrame, elements: DataFrame) -> DataFrame:
-    """Those of pairs (a, b) that are links, by their whole sets."""
-    x = elements.select(F.col("node").alias("a"), F.col("elements").alias("xa"))
-    y = elements.select(F.col("node").alias("b"), F.col("elements").alias("xb"))
-    both = pairs.select("a", "b").join(x, "a").join(y, "b")
-    common = F.size(F.array_intersect("xa", "xb"))
-    return both.where(100 * common >= 80 * (F.size("xa") + F.size("xb") - common)).select("a", "b")
+LINK = "100 * (cl + ch) >= 80 * (n_a + n_b - cl - ch)"
+
+
+def _met(pairs: DataFrame, elements: DataFrame) -> DataFrame:
+    """pairs (a, b) with their sizes n_a and n_b, numbers of heavy elements h_a and h_b, and common light (cl) and heavy (ch) ones, by whole sets."""
+    x = elements.select(F.col("node").alias("a"), F.col("light").alias("xl"), F.col("heavy").alias("xh"))
+    y = elements.select(F.col("node").alias("b"), F.col("light").alias("yl"), F.col("heavy").alias("yh"))
+    both = pairs.join(x, "a").join(y, "b")
+    return both.select(
+        "a", "b", F.size("xh").alias("h_a"), F.size("yh").alias("h_b"), (F.size("xl") + F.size("xh")).alias("n_a"), (F.size("yl") + F.size("yh")).alias("n_b"),
+        F.size(F.array_intersect("xl", "yl")).alias("cl"), F.size(F.array_intersect("xh", "yh")).alias("ch"),
+    )
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -361,10 +379,11 @@ def _components(texts: DataFrame, sized: DataFrame, classes: DataFrame, total: i
     pairs = found.where("kind = 'list'").select("block", "keys", "nodes", "sizes").groupBy("block").applyInArrow(_listed, "a long, b long, c long")
     pairs = materialise(pairs.groupBy("a", "b").agg(F.sum("c").alias("c")), "pairs")
     sure = _small_links(found.where("kind = 'small'").select("key", "node", F.col("block").alias("side")))
-    lists = _heavy_lists(reps, found.where("kind = 'heavy'").select("node").distinct())
+    lists = _heavy_lists(reps, found.where("kind = 'heavy'").select("node").distinct(), bitmap)
 
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(lists.select(F.col("node").alias("id"))).distinct()
-    elements = materialise(_only(reps, materialise(ids, "candidates"), "left_semi").mapInArrow(_arrays, "node long, elements array<long>"), "elements")
+    elements = _only(reps, materialise(ids, "candidates"), "left_semi").mapInArrow(_arrays(bitmap), "node long, light array<long>, heavy array<long>")
+    elements = materialise(elements, "elements")
 
     # First every set meets its best partner only: groups of similar texts come together without their pairs.
     either = pairs.select("a", "b", "c").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "c"))
@@ -373,23 +392,34 @@ def _components(texts: DataFrame, sized: DataFrame, classes: DataFrame, total: i
     hubs = materialise(hubs, "hubs")
     spokes = join_counted(lists.drop("c"), hubs, ["key"], "c", lists.count()).where("node <> hub").groupBy("node", "hub").count()
     spokes = spokes.groupBy("node").agg(F.max(F.struct("count", (-F.col("hub")).alias("m"))).alias("x")).select(F.col("node").alias("a"), (-F.col("x.m")).alias("b"))
-    first = best.unionByName(spokes).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    first = materialise(_linked(first, elements).unionByName(sure), "links")
+    spokes = materialise(_met(spokes, elements), "spokes")
+    pairs_met = _met(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), elements)
+    first = materialise(pairs_met.where(LINK).select("a", "b").unionByName(spokes.where(LINK).select("a", "b")).unionByName(sure), "links")
     labels = materialise(components(first), "components")
 
-    # Then all candidates that are still apart.
+    # Then all candidates that are still apart. A set's distance is that of its heavy elements to those of its pivot.
     label = lambda c: F.coalesce(F.col(f"{c}_label"), F.col(c))
     of = lambda c: labels.select(F.col("node").alias(c), F.col("component_id").alias(f"{c}_label"))
     apart = pairs.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left").where(label("a") != label("b")).select("a", "b")
-    placed = lists.select("key", "node", "n").join(labels, "node", "left").select("key", "node", "n", F.coalesce("component_id", "node").alias("l"))
+    hub = spokes.select(F.col("b").alias("node")).distinct()
+    away = spokes.select(F.col("a").alias("node"), F.col("b").alias("pivot"), (F.col("h_a") + F.col("h_b") - 2 * F.col("ch")).alias("away"))
+    away = away.join(hub, "node", "left_anti").unionByName(hub.select("node", F.col("node").alias("pivot"), F.lit(0).alias("away")))
+    # Pivots of one candidate group can differ, so each group has a top member too, which all its sets are compared with.
+    group = materialise(components(spokes.select("a", "b")), "groups").join(lists.select("node", "weight").distinct(), "node")
+    top = group.groupBy("component_id").agg(F.max(F.struct("weight", (-F.col("node")).alias("m"))).alias("x")).select("component_id", (-F.col("x.m")).alias("b"))
+    to_top = group.join(top, "component_id").select(F.col("node").alias("a"), "b")
+    far = _met(to_top, elements).select(F.col("a").alias("node"), F.col("b").alias("top"), (F.col("h_a") + F.col("h_b") - 2 * F.col("ch")).alias("far"))
+    far = materialise(far.distinct(), "far")
+    placed = lists.select("key", "node", "n", "light").join(labels, "node", "left").withColumn("l", F.coalesce("component_id", "node"))
     mixed = placed.groupBy("key").agg(F.min("l").alias("lo"), F.max("l").alias("hi")).where("lo < hi").select("key")
-    placed = materialise(placed.join(mixed, "key", "left_semi"), "apart")
-    x, y = (placed.select("key", *[F.col(c).alias(f"{c}{s}") for c in ("node", "n", "l")]) for s in "ab")
-    across = x.join(y, "key").where("nodea < nodeb and la <> lb and 5 * least(na, nb) >= 4 * greatest(na, nb)").select(F.col("nodea").alias("a"), F.col("nodeb").alias("b"))
+    placed = materialise(placed.join(mixed, "key", "left_semi").join(away, "node", "left").join(far, "node", "left"), "apart")
+    x, y = (placed.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "light", "l", "pivot", "away", "top", "far")]) for s in "ab")
+    room = "5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b) and 9 * (light_a + light_b + greatest(if(pivot_a = pivot_b, abs(away_a - away_b), 0), if(top_a = top_b, abs(far_a - far_b), 0))) <= n_a + n_b"
+    across = x.join(y, "key").where(f"node_a < node_b and l_a <> l_b and {room}").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
     rest = materialise(apart.unionByName(across).distinct(), "apart-pairs")
     if rest.isEmpty():
         return labels
-    more = materialise(_linked(rest, elements), "more-links")
+    more = materialise(_met(rest, elements).where(LINK).select("a", "b"), "more-links")
     return labels if more.isEmpty() else components(more.unionByName(first))
 
 
@@ -402,12 +432,13 @@ def _small_links(keys: DataFrame) -> DataFrame:
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def _heavy_lists(reps: DataFrame, heavy: DataFrame) -> DataFrame:
-    """(key, node, n, c, weight): parts that at least two of the heavy sets share; weight: how much company a set has over all its parts."""
-    parts = _only(reps, materialise(heavy, "heavy"), "left_semi").mapInArrow(_parts, "key long, node long, n long")
+def _heavy_lists(reps: DataFrame, heavy: DataFrame, bitmap) -> DataFrame:
+    """(key, node, n, light, weight): the rarest budget + 1 parts of each of the heavy sets, where another set has the part too; weight: how much company a set has over all of these."""
+    parts = _only(reps, materialise(heavy, "heavy"), "left_semi").mapInArrow(_parts(bitmap), "key long, node long, n long, light long, grp long, budget long")
     parts = materialise(parts, "parts")
-    shared = materialise(parts.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "shared")
-    lists = materialise(join_counted(parts, shared, ["key"], "c", parts.count()), "lists")
+    counts = materialise(parts.groupBy("key").agg(F.count("*").alias("c")), "part-counts")
+    ranked = join_counted(parts, counts, ["key"], "c", parts.count()).withColumn("rank", F.row_number().over(Window.partitionBy("node", "grp").orderBy("c", "key")))
+    lists = materialise(ranked.where("rank <= budget + 1 and c > 1").select("key", "node", "n", "light", "c"), "lists")
     weight = lists.groupBy("node").agg(F.sum("c").alias("weight"))
     return materialise(lists.join(weight, "node"), "weighted")
 

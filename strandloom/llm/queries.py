@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandloom.llm import decontaminate, exact_dedup, language_id, line_dedup, packing, quality, secrets, substring_dedup, toxicity
+from strandloom.llm import decontaminate, exact_dedup, jaccard_join, language_id, line_dedup, packing, quality, secrets, substring_dedup, toxicity
 from strandloom.session import table
 
 
@@ -38,9 +38,13 @@ def op8_secret_scan(spark, sf_dir):
     return secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_jaccard_join(spark, sf_dir):
+    return jaccard_join.join(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("group_rows")
+
+
 def op10_toxicity(spark, sf_dir):
     return toxicity.report(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_substring_dedup, op3_benchmark_decontamination, op4_exact_dedup, op5_packing, op6_language_id, op7_line_dedup, op8_secret_scan, op10_toxicity)}
-ORACLES = {"op2_substring_dedup": substring_dedup.ORACLE, "op3_benchmark_decontamination": decontaminate.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE, "op7_line_dedup": line_dedup.ORACLE, "op8_secret_scan": secrets.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_substring_dedup, op3_benchmark_decontamination, op4_exact_dedup, op5_packing, op6_language_id, op7_line_dedup, op8_secret_scan, op9_jaccard_join, op10_toxicity)}
+ORACLES = {"op2_substring_dedup": substring_dedup.ORACLE, "op3_benchmark_decontamination": decontaminate.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE, "op7_line_dedup": line_dedup.ORACLE, "op8_secret_scan": secrets.ORACLE, "op9_jaccard_join": jaccard_join.ORACLE}
