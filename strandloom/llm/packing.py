@@ -11,6 +11,7 @@ often as they come. An empty table gives no rows.
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -24,39 +25,82 @@ from strandloom.session import materialise, ship
 SIZE = 4096
 END_ID = 2
 VOCABULARY = "word_bpe_49k.json"
-CACHED = 200_000
+CACHED = 300_000  # stretches and words that a worker remembers, twice
+#: Letters whose small forms are single letters too and that no normal form changes.
+LATIN = [c for c in range(0xC0, 0x100) if c not in (0xD7, 0xF7)]
+SIMPLE = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:-;=?-@\\[-`{}~]*)")  # no <, > or |, which spell special tokens
 PIECE = "start long, length long, ids_crc32 long, doc_tokens long"
 
 _tokenizers: dict = {}
 
 
+class Remembered:
+    """At most 2 * size entries: what hasn't been asked for since the last turn goes first."""
+
+    def __init__(self, size: int):
+        self.size, self.new, self.old = size, {}, {}
+
+    def get(self, key):
+        got = self.new.get(key)
+        if got is None and (got := self.old.get(key)) is not None:
+            self.put(key, got)
+        return got
+
+    def put(self, key, value) -> None:
+        if len(self.new) >= self.size:
+            self.old, self.new = self.new, {}
+        self.new[key] = value
+
+
 class Encoder:
-    """Token ids as little-endian bytes. This vocabulary drops white space and never joins across it, so stretches
-    between white space are encoded alone, and remembered (a bounded number of them)."""
+    """Token ids as little-endian bytes.
+
+    This vocabulary drops white space and never joins across it, so stretches between white space are encoded alone and
+    remembered. A stretch of letters and then ASCII signs is a small-letter word and a run of signs to this vocabulary, each
+    encoded by its model and remembered too; every other stretch goes through the whole tokenizer.
+    """
 
     def __init__(self, path: str | None):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path(VOCABULARY))
-        self.known: dict[bytes, bytes] = {}
+        self.model = self.tokenizer.model
+        self.simple = path is None  # the split below is that of the default vocabulary
+        spelled = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.spell = str.maketrans({c: spelled.pre_tokenize_str(chr(c))[0][0] for c in LATIN})
+        self.id_bytes = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
+        self.stretches, self.words = Remembered(CACHED), Remembered(CACHED)
 
     def encode(self, text: bytes) -> bytes:
-        parts, known = text.split(), self.known
+        parts = text.split()
+        known = self.stretches.new
         try:
             return b"".join([known[p] for p in parts])
         except KeyError:
-            pass
-        new = list({p for p in parts if p not in known})
-        if len(known) + len(new) > CACHED:
-            known.clear()
-            new = list(set(parts))
-        ids = self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in new], add_special_tokens=False)
-        known.update((p, np.array(x.ids, "<u4").tobytes()) for p, x in zip(new, ids, strict=True))
-        return b"".join([known[p] for p in parts])
+            return b"".join([self.stretch(p) for p in parts])
+
+    def stretch(self, p: bytes) -> bytes:
+        got = self.stretches.get(p)
+        if got is None:
+            simple = SIMPLE.fullmatch(text) if self.simple and (text := p.decode("utf-8", "replace")) else None
+            if simple:
+                got = self.word(simple[1].lower().translate(self.spell)) + (self.word(simple[2]) if simple[2] else b"")
+            else:
+                ids = self.tokenizer.encode(p.decode("utf-8", "replace"), add_special_tokens=False).ids
+                got = b"".join([self.id_bytes[i] for i in ids])
+            self.stretches.put(p, got)
+        return got
+
+    def word(self, w: str) -> bytes:
+        got = self.words.get(w)
+        if got is None:
+            got = b"".join([self.id_bytes[t.id] for t in self.model.tokenize(w)])
+            self.words.put(w, got)
+        return got
 
 
 def _pieces(path: str | None, end_id: int, size: int):
