@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strandloom.functions import seq as S
-from strandloom.session import table
+from strandloom.operators import cluster, encode, paths, scaffold, walk
+from strandloom.operators.graph import Graph, positional_kmers
+from strandloom.session import materialise, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -21,22 +24,424 @@ def query(sql: str | None = None):
     return put
 
 
+
+LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+CYCLE = ("ACGT" * 7)[:26] * 2
+
+# Views: bases of the texts, gapped sequences of the texts, event strings by user, and these without gaps.
 DNA_SQL = "SELECT doc_id, regexp_replace(translate(text, 'acgt', 'ACGT'), '[^ACGT]', '', 'g') AS seq FROM documents"
+SCAF_SQL = f"SELECT doc_id::VARCHAR AS seq_id, regexp_replace(translate(replace(text, ' ', ''), '{LETTERS}', '{CYCLE}'), '[^ACGT]', 'N', 'g') AS seq FROM documents"
+_EVT = "string_agg(CASE event_type WHEN 'view' THEN 'A' WHEN 'click' THEN 'C' WHEN 'signup' THEN 'T' WHEN 'purchase' THEN 'G' ELSE 'N' END, '' ORDER BY ts, event_id)"
+EVT_SQL = f"SELECT user_id::VARCHAR AS seq_id, 0 AS contig_idx, {_EVT} AS seq FROM events GROUP BY user_id"
+EVT0_SQL = f"SELECT user_id::VARCHAR AS seq_id, 0 AS contig_idx, {_EVT} AS seq FROM events WHERE event_type <> 'error' GROUP BY user_id"
+
+
+def _spread(spark, df, key):
+    """One file is one row group, so rows are dealt out before they are exploded."""
+    return df.repartition(spark.sparkContext.defaultParallelism * 2, key)
 
 
 def dna(spark, sf_dir):
-    """The bases of each document's text; repartitioned, as one file is one row group."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return docs.repartition(spark.sparkContext.defaultParallelism * 2, "doc_id").select(
-        "doc_id", F.regexp_replace(F.translate("text", "acgt", "ACGT"), "[^ACGT]", "").alias("seq")
-    )
+    docs = _spread(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return docs.select("doc_id", F.regexp_replace(F.translate("text", "acgt", "ACGT"), "[^ACGT]", "").alias("seq"))
+
+
+def gapped(spark, sf_dir):
+    docs = _spread(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return docs.select(F.col("doc_id").cast("string").alias("seq_id"), F.regexp_replace(F.translate(F.replace("text", F.lit(" "), F.lit("")), LETTERS, CYCLE), "[^ACGT]", "N").alias("seq"))
+
+
+def event_strings(spark, sf_dir, gaps=False):
+    e = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type")
+    if not gaps:
+        e = e.where("event_type <> 'error'")
+    code = F.coalesce(*[F.when(F.col("event_type") == t, c) for t, c in (("view", "A"), ("click", "C"), ("signup", "T"), ("purchase", "G"))], F.lit("N"))
+    e = e.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", code.alias("c")))).alias("x"))
+    return e.select(F.col("user_id").cast("string").alias("seq_id"), F.lit(0).alias("contig_idx"), F.array_join(F.transform("x", lambda x: x["c"]), "").alias("seq"))
+
 
+def event_graph(spark, sf_dir, k, stranded=True, multiplicity=1):
+    seqs = event_strings(spark, sf_dir).select("seq_id", "seq")
+    return Graph.from_sequences(seqs, ["seq_id"], k, stranded, multiplicity).materialised()
 
-@query(
-    f"""WITH d AS ({DNA_SQL}), k AS (SELECT doc_id, substr(seq, i::INT, 7) AS kmer FROM d, LATERAL (SELECT unnest(range(1, length(seq) - 5)) AS i) WHERE length(seq) >= 7)
-SELECT kmer, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, least(kmer, reverse(translate(kmer, 'ACGT', 'TGCA'))) AS kmer FROM k) GROUP BY kmer"""
-)
+
+def _kmers_sql(source, k, keep="doc_id"):
+    return f"(SELECT {keep}, i - 1 AS pos, substr(seq, i::INT, {k}) AS kmer FROM ({source}), LATERAL (SELECT unnest(range(1, length(seq) - {k} + 2)) AS i) WHERE length(seq) >= {k})"
+
+
+RC = "reverse(translate({}, 'ACGT', 'TGCA'))"
+
+
+def _nodes_sql(source, k, stranded, order, multiplicity=1):
+    """Common table expressions raw, unitigs(id, seq), onodes(nid, seq), ends(side, kmer, nid) and edges(src, dst, base)."""
+    key = "kmer" if stranded else f"least(kmer, {RC.format('kmer')})"
+    both = "SELECT 2 * id AS nid, seq FROM unitigs" + ("" if stranded else f" UNION ALL SELECT 2 * id + 1, {RC.format('seq')} FROM unitigs")
+    return f"""raw AS (SELECT {key} AS key, first(kmer ORDER BY {order}, pos) AS seq, min(({order}, pos)) AS first_at FROM {_kmers_sql(source, k, order)} WHERE NOT contains(kmer, 'N') GROUP BY 1 HAVING count(*) >= {multiplicity}),
+unitigs AS MATERIALIZED (SELECT row_number() OVER (ORDER BY first_at) - 1 AS id, seq FROM raw), onodes AS MATERIALIZED ({both}),
+ends AS MATERIALIZED (SELECT side, kmer, arg_min(nid, (nid % 2, nid)) AS nid FROM (SELECT 'L' AS side, left(seq, {k}) AS kmer, nid FROM onodes UNION ALL SELECT 'R', right(seq, {k}), nid FROM onodes) GROUP BY side, kmer),
+edges AS MATERIALIZED (SELECT o.nid AS src, e.nid AS dst, c.code AS base FROM onodes AS o, (VALUES ('A', 0), ('C', 1), ('T', 2), ('G', 3)) AS c(b, code) JOIN ends AS e ON e.side = 'L' AND e.kmer = right(o.seq, {k} - 1) || c.b)"""
+
+
+@query(f"SELECT kmer, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, least(kmer, {RC.format('kmer')}) AS kmer FROM {_kmers_sql(DNA_SQL, 7)}) GROUP BY kmer")
 def canonical_kmer_spectrum(spark, sf_dir):
     k = dna(spark, sf_dir).select("doc_id", F.explode(S.kmers(F.col("seq"), 7)).alias("kmer"))
     per_doc = k.select("doc_id", S.canonical(F.col("kmer")).alias("kmer")).groupBy("kmer", "doc_id").count()
     return per_doc.groupBy("kmer").agg(F.sum("count").alias("n"), F.count("*").alias("docs"))
+
+
+@query(f"SELECT kmer, count(*) AS n FROM {_kmers_sql(SCAF_SQL, 11, 'seq_id')} WHERE NOT contains(kmer, 'N') GROUP BY kmer")
+def stranded_kmer_spectrum(spark, sf_dir):
+    return positional_kmers(gapped(spark, sf_dir), 11).where("kmer not like '%N%'").groupBy("kmer").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT kmer, count(DISTINCT doc_id) AS docs FROM {_kmers_sql(DNA_SQL, 5)} GROUP BY kmer")
+def kmer_doc_frequency(spark, sf_dir):
+    per_doc = dna(spark, sf_dir).select(F.explode(F.array_distinct(S.kmers(F.col("seq"), 5))).alias("kmer"))
+    return per_doc.groupBy("kmer").agg(F.count("*").alias("docs"))
+
+
+@query(f"SELECT doc_id, {RC.format('seq')} AS rc FROM ({DNA_SQL})")
+def revcomp_sequences(spark, sf_dir):
+    return dna(spark, sf_dir).select("doc_id", S.revcomp(F.col("seq")).alias("rc"))
+
+
+_PACK = "list_reduce(list_prepend(0::BIGINT, list_transform(string_split({0}, ''), lambda c: strpos('ACTG', c)::BIGINT - 1)), lambda a, x: a * 4 + x)"
+
+
+@query(f"SELECT kmer, {_PACK.format('kmer')} AS packed, count(*) AS n FROM {_kmers_sql(DNA_SQL, 9)} GROUP BY kmer")
+def packed_kmers(spark, sf_dir):
+    n = positional_kmers(dna(spark, sf_dir), 9).groupBy("kmer").agg(F.count("*").alias("n"))
+    return n.select("kmer", S.pack(F.col("kmer")).alias("packed"), "n")
+
+
+@query(f"SELECT DISTINCT kmer, kmer AS printed, substr(kmer, 2) || 'G' AS right_g, 'T' || substr(kmer, 1, 5) AS left_t FROM {_kmers_sql(DNA_SQL, 6)}")
+def kmer_print_roundtrip(spark, sf_dir):
+    k = positional_kmers(dna(spark, sf_dir), 6).select("kmer").distinct()
+    return k.select("kmer", S.unpack(S.pack(F.col("kmer")), 6).alias("printed"), S.extend_right(F.col("kmer"), F.lit("G")).alias("right_g"), S.extend_left(F.col("kmer"), F.lit("T")).alias("left_t"))
+
+
+@query(f"WITH {_nodes_sql(DNA_SQL, 7, False, 'doc_id')} SELECT id, seq FROM unitigs")
+def graph_nodes_from_seq(spark, sf_dir):
+    return Graph.from_sequences(dna(spark, sf_dir), ["doc_id"], 7, False).unitigs
+
+
+@query(f"WITH {_nodes_sql(DNA_SQL, 7, False, 'doc_id')} FROM ends")
+def kmer_end_index(spark, sf_dir):
+    return Graph.from_sequences(dna(spark, sf_dir), ["doc_id"], 7, False).ends()
+
+
+@query(f"SELECT side, kmer, count(*) AS n FROM (SELECT 'L' AS side, left(seq, 5) AS kmer FROM ({EVT0_SQL}) WHERE length(seq) >= 5 UNION ALL SELECT 'R', right(seq, 5) FROM ({EVT0_SQL}) WHERE length(seq) >= 5) GROUP BY side, kmer HAVING count(*) > 1")
+def duplicate_end_check(spark, sf_dir):
+    seqs = event_strings(spark, sf_dir).where("length(seq) >= 5")
+    return Graph.from_unitigs(seqs, ["seq_id"], 5, True).duplicate_ends()
+
+
+@query(f"WITH {_nodes_sql(DNA_SQL, 7, False, 'doc_id')} FROM edges")
+def graph_edges(spark, sf_dir):
+    return Graph.from_sequences(dna(spark, sf_dir), ["doc_id"], 7, False).materialised().edges()
+
+
+@query(f"WITH {_nodes_sql(DNA_SQL, 7, False, 'doc_id')} SELECT degree, count(*) AS nodes FROM (SELECT count(src) AS degree FROM onodes LEFT JOIN edges ON src = nid GROUP BY nid) GROUP BY degree")
+def degree_histogram(spark, sf_dir):
+    g = Graph.from_sequences(dna(spark, sf_dir), ["doc_id"], 7, False).materialised()
+    degree = g.oriented().select("nid").join(g.edges().groupBy(F.col("src").alias("nid")).agg(F.count("*").alias("d")), "nid", "left")
+    return degree.groupBy(F.coalesce("d", F.lit(0)).alias("degree")).agg(F.count("*").alias("nodes"))
+
+
+@query(f"WITH {_nodes_sql(DNA_SQL, 7, False, 'doc_id')} SELECT 7 AS k, false AS stranded, (SELECT count(*) FROM unitigs) AS nodes, (SELECT count(*) FROM edges) / 2 AS edges, (SELECT avg(length(seq)) FROM unitigs) AS avg_length")
+def graph_stats(spark, sf_dir):
+    return Graph.from_sequences(dna(spark, sf_dir), ["doc_id"], 7, False).materialised().stats()
+
+
+def _neighbours_sql(first, side, expr):
+    return f"""WITH {_nodes_sql(EVT0_SQL, 5, False, 'seq_id')}, f AS (SELECT o.nid, c.code, e.nid AS hit FROM onodes AS o, (VALUES ('A', 0), ('C', 1), ('T', 2), ('G', 3)) AS c(b, code) JOIN ends AS e ON e.side = '{side}' AND e.kmer = {expr})
+SELECT onodes.nid, coalesce(string_agg(hit::VARCHAR, ',' ORDER BY code), '') AS neighbours FROM onodes LEFT JOIN f USING (nid) GROUP BY onodes.nid"""
+
+
+@query(_neighbours_sql("R", "L", "right(o.seq, 4) || c.b"))
+def node_neighbors_right(spark, sf_dir):
+    return event_graph(spark, sf_dir, 5, False).neighbours("R")
+
+
+@query(_neighbours_sql("L", "R", "c.b || left(o.seq, 4)"))
+def node_neighbors_left(spark, sf_dir):
+    return event_graph(spark, sf_dir, 5, False).neighbours("L")
+
+
+_WALK = f"WITH {_nodes_sql(EVT0_SQL, 4, True, 'seq_id')}, walk AS (SELECT seq_id, 0 AS contig_idx, pos AS step, pos, nid FROM {_kmers_sql(EVT0_SQL, 4, 'seq_id')} JOIN ends USING (kmer) WHERE side = 'L')"
+
+
+def _walks(spark, sf_dir, k=4):
+    g = event_graph(spark, sf_dir, k)
+    return g, materialise(walk.walk(event_strings(spark, sf_dir), g), "walks")
+
+
+@query(f"{_WALK} SELECT seq_id, contig_idx, step::INT AS step, pos::INT AS pos, nid FROM walk")
+def sequence_walk(spark, sf_dir):
+    return _walks(spark, sf_dir)[1]
+
+
+@query(f"SELECT seq_id, seq AS spelled FROM ({EVT0_SQL}) WHERE length(seq) >= 4")
+def walk_spell_roundtrip(spark, sf_dir):
+    g, w = _walks(spark, sf_dir)
+    return walk.spell(w, g).select("seq_id", "spelled")
+
+
+_UNITIGS = f"""WITH RECURSIVE {_nodes_sql(EVT0_SQL, 5, True, 'seq_id', 2)},
+joints AS (SELECT src, dst FROM edges WHERE src <> dst AND src IN (SELECT src FROM edges GROUP BY src HAVING count(*) = 1) AND dst IN (SELECT dst FROM edges GROUP BY dst HAVING count(*) = 1)),
+fwd AS (SELECT nid AS head, nid AS cur, seq FROM onodes WHERE nid NOT IN (SELECT dst FROM joints) UNION ALL SELECT head, dst, fwd.seq || right(o.seq, 1) FROM fwd JOIN joints ON cur = src JOIN onodes AS o ON o.nid = dst),
+open_ AS (SELECT head, max_by(seq, length(seq)) AS seq, min(cur) AS low FROM fwd GROUP BY head),
+ring AS (SELECT nid AS head, nid AS cur, seq, 0 AS n FROM onodes WHERE nid NOT IN (SELECT cur FROM fwd) UNION ALL SELECT head, dst, ring.seq || right(o.seq, 1), n + 1 FROM ring JOIN joints ON cur = src JOIN onodes AS o ON o.nid = dst WHERE dst <> head),
+rings AS (SELECT head, max_by(seq, length(seq)) AS seq, min(cur) AS low FROM ring GROUP BY head),
+compact AS (SELECT seq, low FROM open_ UNION ALL SELECT seq, low FROM rings WHERE head = low)"""
+
+
+@query(f"{_UNITIGS} SELECT row_number() OVER (ORDER BY low, seq) - 1 AS id, seq FROM compact")
+def unitigs(spark, sf_dir):
+    return event_graph(spark, sf_dir, 5, True, 2).compacted().unitigs
+
+
+_CONTIGS5 = f"SELECT seq_id, contig_idx, seq FROM ({EVT0_SQL})"
+_OFFSETS = f"""{_UNITIGS},
+q AS ({_CONTIGS5}), nodes AS (SELECT row_number() OVER (ORDER BY low, seq) - 1 AS id, seq AS node, length(seq) AS len FROM compact),
+p AS (SELECT seq_id, pos, kmer FROM {_kmers_sql(EVT0_SQL, 5, 'seq_id')}),
+l AS (SELECT seq_id, pos, len, node FROM p JOIN nodes ON kmer = left(node, 5)),
+z AS (SELECT seq_id FROM l WHERE pos = 0),
+r AS (SELECT seq_id, min(pos) AS pos, arg_min(node, pos) AS node FROM p JOIN nodes ON kmer = right(node, 5) WHERE seq_id NOT IN (FROM z) GROUP BY seq_id),
+h AS (SELECT l.seq_id, l.pos, len, node FROM l SEMI JOIN z ON l.seq_id = z.seq_id UNION ALL SELECT seq_id, pos + 5 - length(node), length(node), node FROM r
+  UNION ALL SELECT l.seq_id, l.pos, l.len, l.node FROM l JOIN r ON l.seq_id = r.seq_id WHERE l.pos > r.pos),
+c AS (SELECT seq_id, pos, len, node, pos + len - 4 AS next, lead(pos) OVER (PARTITION BY seq_id ORDER BY pos) AS after FROM h),
+chain AS (SELECT seq_id, min(pos) AS cur FROM c GROUP BY seq_id UNION ALL SELECT c.seq_id, c.next FROM chain JOIN c ON c.seq_id = chain.seq_id AND c.pos = chain.cur),
+g AS (SELECT c.* FROM c SEMI JOIN chain ON c.seq_id = chain.seq_id AND c.pos = chain.cur),
+m AS (SELECT seq_id, min(pos) AS first, max(pos) AS last_pos, max_by(len, pos) AS last_len, max_by(next, pos) AS last_next, count(*) AS n_nodes,
+  bool_and(substr(seq, greatest(pos, 0) + 1, least(len + least(pos, 0), length(seq) - greatest(pos, 0))) = substr(node, 1 - least(pos, 0), least(len + least(pos, 0), length(seq) - greatest(pos, 0)))) AS equal FROM g JOIN q USING (seq_id) GROUP BY seq_id),
+s AS (SELECT q.seq_id, q.contig_idx, CASE WHEN length(seq) < 5 THEN 'TOO_SHORT' WHEN n_nodes IS NULL THEN 'INSIDE_NODE' WHEN NOT equal THEN 'UNITIG_NOT_MATCHING' WHEN last_next + 5 <= length(seq) THEN 'KMER_NOT_FOUND' ELSE 'OK' END AS status,
+  greatest(-first, 0) AS start_offset, last_pos + last_len - length(seq) AS end_offset, n_nodes FROM q LEFT JOIN m USING (seq_id))"""
+
+
+@query(f"{_OFFSETS} SELECT seq_id, contig_idx, CASE WHEN status = 'OK' THEN start_offset END::INT AS start_offset, CASE WHEN status = 'OK' THEN end_offset END::INT AS end_offset, CASE WHEN status = 'OK' THEN n_nodes END AS n_nodes FROM s")
+def walk_offsets(spark, sf_dir):
+    g = event_graph(spark, sf_dir, 5, True, 2).compacted().materialised()
+    return walk.offsets(event_strings(spark, sf_dir), g).drop("status")
+
+
+@query(f"{_OFFSETS} SELECT status, count(*) AS n FROM s GROUP BY status")
+def walk_errors(spark, sf_dir):
+    g = event_graph(spark, sf_dir, 5, True, 2).compacted().materialised()
+    return walk.offsets(event_strings(spark, sf_dir), g).groupBy("status").agg(F.count("*").alias("n"))
+
+
+_K = 31
+_SPLIT = f"pieces AS (SELECT seq_id, unnest(string_split(seq, 'N')) AS piece, generate_subscripts(string_split(seq, 'N'), 1) AS i FROM ({SCAF_SQL})), placed AS (SELECT *, sum(length(piece) + 1) OVER (PARTITION BY seq_id ORDER BY i) - length(piece) - 1 AS start FROM pieces), contigs AS (SELECT seq_id, row_number() OVER (PARTITION BY seq_id ORDER BY start) - 1 AS contig_idx, start, piece AS seq FROM placed WHERE length(piece) >= {_K})"
+
+
+@query(f"WITH {_SPLIT} SELECT seq_id, contig_idx::INT AS contig_idx, start::BIGINT AS start, seq FROM contigs")
+def scaffold_split(spark, sf_dir):
+    return scaffold.contigs(gapped(spark, sf_dir), _K)
+
+
+@query(f"""WITH {_SPLIT}, b AS (SELECT seq_id, contig_idx AS gap_idx, start - coalesce(lag(start + length(seq)) OVER (PARTITION BY seq_id ORDER BY contig_idx), 0) AS gap_len FROM contigs),
+e AS (SELECT seq_id, count(*) AS n, max(start + length(seq)) AS fin FROM contigs GROUP BY seq_id)
+SELECT seq_id, gap_idx::INT AS gap_idx, gap_len::BIGINT AS gap_len FROM b UNION ALL SELECT seq_id, coalesce(n, 0)::INT, (length(seq) - coalesce(fin, 0))::BIGINT FROM ({SCAF_SQL}) LEFT JOIN e USING (seq_id)""")
+def gap_lengths_exact(spark, sf_dir):
+    return scaffold.gaps_exact(gapped(spark, sf_dir), _K)
+
+
+@query(f"""WITH {_SPLIT}, u AS (SELECT seq_id, coalesce(sum((length(piece) >= {_K})::INT) OVER (PARTITION BY seq_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gap_idx, CASE WHEN length(piece) >= {_K} THEN 0 WHEN piece = '' THEN 1 ELSE length(piece) END AS unit, length(piece) >= {_K} AS long FROM pieces),
+every AS (SELECT seq_id, unnest(range(0, count_if(long)::BIGINT + 1)) AS gap_idx FROM u GROUP BY seq_id), g AS (SELECT seq_id, gap_idx, sum(unit) AS gap_len FROM u GROUP BY seq_id, gap_idx)
+SELECT seq_id, gap_idx::INT AS gap_idx, coalesce(gap_len, 0)::BIGINT AS gap_len FROM every LEFT JOIN g USING (seq_id, gap_idx)""")
+def gap_lengths_compat(spark, sf_dir):
+    return scaffold.gaps_compat(gapped(spark, sf_dir), _K)
+
+
+@query(f"SELECT seq_id, string_agg(CASE WHEN length(piece) >= {_K} THEN piece ELSE repeat('N', length(piece)) END, 'N' ORDER BY i) AS seq FROM (WITH {_SPLIT} FROM pieces) GROUP BY seq_id")
+def scaffold_roundtrip(spark, sf_dir):
+    seqs = materialise(gapped(spark, sf_dir), "gapped")
+    return scaffold.assemble(scaffold.contigs(seqs, _K), scaffold.gaps_exact(seqs, _K))
+
+
+@query(f"WITH RECURSIVE {_nodes_sql(EVT0_SQL, 4, True, 'seq_id')}, b AS (SELECT src, dst AS nid, 1 AS dist FROM edges UNION SELECT b.src, e.dst, dist + 1 FROM b JOIN edges AS e ON e.src = b.nid WHERE dist < 6) SELECT src, nid, min(dist) AS dist FROM b GROUP BY src, nid")
+def bfs_distance(spark, sf_dir):
+    g = event_graph(spark, sf_dir, 4)
+    return paths.bfs(g.edges(), g.oriented(), 6).select("src", "nid", "dist")
+
+
+_PATHS = f"""{_WALK.replace('WITH raw', 'WITH RECURSIVE raw', 1)}, b AS (SELECT src, dst AS nid, 1 AS dist, 1::HUGEINT AS ways FROM (SELECT src, dst FROM edges)
+  UNION ALL SELECT src, nid, dist, ways FROM (SELECT f.src, e.dst AS nid, f.dist + 1 AS dist, sum(f.ways)::HUGEINT AS ways FROM b AS f JOIN edges AS e ON e.src = f.nid WHERE f.dist < 5 GROUP BY f.src, e.dst, f.dist)),
+dist AS (SELECT src, nid, min(dist) AS dist, arg_min(ways, dist) AS ways FROM b GROUP BY src, nid)"""
+
+
+@query(f"{_PATHS} SELECT seq_id, a.nid AS src, z.nid AS dst, dist, ways::BIGINT AS n_paths FROM walk AS a JOIN (SELECT seq_id, max_by(nid, step) AS nid FROM walk GROUP BY seq_id) AS z USING (seq_id) LEFT JOIN dist ON dist.src = a.nid AND dist.nid = z.nid WHERE a.step = 0")
+def shortest_path_pairs(spark, sf_dir):
+    g, w = _walks(spark, sf_dir)
+    ends = w.groupBy("seq_id").agg(F.min_by("nid", "step").alias("src"), F.max_by("nid", "step").alias("dst"))
+    dist = paths.bfs(g.edges(), ends.select(F.col("src").alias("nid")), 5).withColumnRenamed("nid", "dst")
+    return ends.join(dist, ["src", "dst"], "left").select("seq_id", "src", "dst", "dist", F.col("n_paths").cast("bigint").alias("n_paths"))
+
+
+@query(f"""{_PATHS}, j AS (SELECT a.seq_id, a.contig_idx, a.step, z.step - a.step AS j, z.step - a.step = 1 OR coalesce(dist = z.step - a.step AND ways = 1, false) AS good FROM walk AS a JOIN walk AS z ON a.seq_id = z.seq_id AND z.step BETWEEN a.step + 1 AND a.step + 5 LEFT JOIN dist ON dist.src = a.nid AND dist.nid = z.nid),
+n AS (SELECT seq_id, contig_idx, step, coalesce(min(j) FILTER (NOT good) - 1, max(j)) AS length FROM j GROUP BY seq_id, contig_idx, step)
+SELECT n.seq_id, n.contig_idx, n.step::INT AS step, walk.nid AS target, length::INT AS length FROM n JOIN walk ON walk.seq_id = n.seq_id AND walk.step = n.step + n.length""")
+def unique_shortest_prefix(spark, sf_dir):
+    g, w = _walks(spark, sf_dir)
+    return paths.unique_prefix(w, g.edges(), 5)
+
+
+_REP = 3
+_LZ = f"""{_WALK.replace('WITH raw', 'WITH RECURSIVE raw', 1)}, same AS (SELECT a.seq_id, a.step AS p, o, b.nid = a.nid AS eq FROM walk AS a, range(0, 256) AS r(o) JOIN walk AS b ON b.seq_id = a.seq_id AND b.step = a.step - 1 - o),
+isl AS (SELECT *, row_number() OVER (PARTITION BY seq_id, o ORDER BY p) - row_number() OVER (PARTITION BY seq_id, o, eq ORDER BY p) AS g FROM same),
+len AS (SELECT seq_id, o, p, max(p) OVER (PARTITION BY seq_id, o, eq, g) - p + 1 AS run FROM isl WHERE eq),
+best AS (SELECT seq_id, p, max(run) AS run, arg_min(o, (-run, o)) AS o FROM len GROUP BY seq_id, p HAVING max(run) >= {_REP}),
+pick AS (SELECT seq_id, 0::BIGINT AS fin, -1::BIGINT AS p, 0::BIGINT AS run, 0::BIGINT AS o FROM (SELECT DISTINCT seq_id FROM walk)
+  UNION ALL SELECT seq_id, p + run, p, run, o FROM (SELECT b.seq_id, b.p, b.run, b.o, row_number() OVER (PARTITION BY b.seq_id ORDER BY b.p) AS r FROM pick JOIN best AS b ON b.seq_id = pick.seq_id AND b.p >= greatest(pick.fin, 1)) WHERE r = 1)"""
+
+
+@query(f"{_LZ} SELECT seq_id, 0 AS contig_idx, p::INT AS pos, run::INT AS run, o::INT AS \"offset\" FROM pick WHERE run > 0")
+def lz_repetitions(spark, sf_dir):
+    return encode.repetitions(_walks(spark, sf_dir)[1], encode.Params(min_rep=_REP))
+
+
+@query(f"{_WALK} SELECT seq_id, contig_idx, string_agg(nid::VARCHAR, ',' ORDER BY step) AS nids FROM walk GROUP BY seq_id, contig_idx")
+def basic_encoding(spark, sf_dir):
+    return encode.basic(_walks(spark, sf_dir)[1]).select("seq_id", "contig_idx", F.array_join(F.col("nids").cast("array<string>"), ",").alias("nids"))
+
+
+@query(f"SELECT seq_id, seq AS decoded FROM ({EVT0_SQL}) WHERE length(seq) >= 4")
+def greedy_encode_roundtrip(spark, sf_dir):
+    g, w = _walks(spark, sf_dir)
+    ext = materialise(encode.greedy(w, g, encode.Params(min_sp=3, min_rep=_REP)), "extensions")
+    return walk.spell(encode.decode(ext, g), g).select("seq_id", F.col("spelled").alias("decoded"))
+
+
+@query()
+def encoding_stats(spark, sf_dir):
+    g, w = _walks(spark, sf_dir)
+    return encode.stats_table(encode.greedy(w, g, encode.Params(min_sp=3, min_rep=_REP)), w)
+
+
+@query()
+def greedy_log(spark, sf_dir):
+    g, w = _walks(spark, sf_dir)
+    return encode.log_lines(encode.greedy(w, g, encode.Params(min_sp=3, min_rep=_REP)))
+
+
+# Extension rows by a rule from the events, for the operators that work on any extension list.
+_EXT_SQL = """SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS ext_idx, CASE WHEN event_type IN ('view', 'error') THEN 'NN' WHEN event_type = 'purchase' THEN 'R' ELSE 'TN' END AS kind,
+CASE WHEN event_type IN ('click', 'signup') THEN event_id * 37 END AS nid, CASE WHEN event_type = 'purchase' THEN (event_id * 97) % 70000 END AS nb FROM events"""
+
+
+def _extensions(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type")
+    kind = F.when(F.col("event_type").isin("view", "error"), "NN").when(F.col("event_type") == "purchase", "R").otherwise("TN")
+    idx = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    return e.select("user_id", idx.alias("ext_idx"), kind.alias("kind"), F.when(kind == "TN", F.col("event_id") * 37).alias("nid"), F.when(kind == "R", F.col("event_id") * 97 % 70000).alias("nb"))
+
+
+_RUNS = f"""ext AS ({_EXT_SQL}), ch AS (SELECT *, (lag(kind) OVER w IS DISTINCT FROM kind)::INT AS c FROM ext WINDOW w AS (PARTITION BY user_id ORDER BY ext_idx)),
+isl AS (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY ext_idx) AS island FROM ch), blk AS (SELECT *, (row_number() OVER (PARTITION BY user_id, island ORDER BY ext_idx) - 1) // 64 AS block FROM isl)"""
+
+
+@query(f"WITH {_RUNS} SELECT user_id, (row_number() OVER (PARTITION BY user_id ORDER BY min(ext_idx)) - 1)::INT AS run_idx, kind, min(ext_idx)::INT AS first, count(*) AS n FROM blk GROUP BY user_id, island, block, kind")
+def extension_runs(spark, sf_dir):
+    return encode.runs(_extensions(spark, sf_dir), ["user_id"], "ext_idx")
+
+
+_VARINT = "CASE WHEN {0} < 251 THEN 1 WHEN {0} < 65536 THEN 3 WHEN {0} < 4294967296 THEN 5 ELSE 9 END"
+_VINT = "CASE " + " ".join(f"WHEN coalesce(nid, 0) < {1 << (7 * n)} THEN {n}" for n in range(1, 9)) + " ELSE 9 END"
+
+
+@query(f"""WITH {_RUNS}, per AS (SELECT user_id, kind, count(*) AS n, sum({_VINT}) AS nid_bytes, sum({_VARINT.format('coalesce(nb, 0)')} + 1) AS rep_bytes FROM blk GROUP BY user_id, island, block, kind)
+SELECT user_id, count(*) AS patches, (sum(1 + CASE kind WHEN 'TN' THEN nid_bytes WHEN 'NN' THEN ceil(n / 4) ELSE rep_bytes END) + {_VARINT.format('count(*)')})::BIGINT AS bytes FROM per GROUP BY user_id""")
+def encoded_bytes(spark, sf_dir):
+    return encode.encoded_bytes(_extensions(spark, sf_dir), ["user_id"], "ext_idx")
+
+
+_LEN_SQL = f"WITH {_RUNS}, lengths AS (SELECT CASE WHEN kind = 'NN' THEN 'NN' WHEN kind = 'R' THEN 'R' WHEN n < 8 THEN 'NN' ELSE 'SP' END AS type, n AS length FROM (SELECT kind, count(*) + min(ext_idx) % 13 AS n FROM blk GROUP BY user_id, island, block, kind))"
+
+
+def _lengths(spark, sf_dir):
+    r = encode.runs(_extensions(spark, sf_dir), ["user_id"], "ext_idx")
+    return cluster.classify(r.select(F.when(F.col("kind") == "TN", "SP").otherwise(F.col("kind")).alias("type"), (F.col("n") + F.col("first") % 13).alias("length")))
+
+
+@query(f"""{_LEN_SQL}, per AS (SELECT type, sum(length) AS total_length, count(*) AS n, CASE type WHEN 'NN' THEN 2 * sum(length) WHEN 'R' THEN 16 * count(*) ELSE 20 * count(*) END AS cost FROM lengths GROUP BY type),
+both_ AS (FROM per UNION ALL SELECT 'total', sum(total_length), sum(n), sum(cost) FROM per)
+SELECT type, total_length::BIGINT AS total_length, n::BIGINT AS n, total_length / n AS mean_length, cost::BIGINT AS cost, 100 * total_length / max(total_length) OVER () AS percent_length, 100 * cost / max(cost) OVER () AS percent_cost FROM both_""")
+def cost_model(spark, sf_dir):
+    return cluster.cost_model(_lengths(spark, sf_dir))
+
+
+@query(f"{_LEN_SQL} SELECT type, length, count(*) AS n FROM lengths GROUP BY type, length")
+def extension_length_histogram(spark, sf_dir):
+    return cluster.length_histogram(_lengths(spark, sf_dir))
+
+
+def _by_name(spark, sf_dir):
+    docs = _spread(spark, table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"), "doc_id")
+    seq = F.regexp_replace(F.translate("text", "acgt", "ACGT"), "[^ACGT]", "")
+    return docs.select(F.col("source").alias("query"), F.col("lang").alias("reference"), seq.alias("seq"))
+
+
+_CONTAIN = f"""WITH d AS (SELECT source, lang, regexp_replace(translate(text, 'acgt', 'ACGT'), '[^ACGT]', '', 'g') AS seq FROM documents),
+k AS (SELECT DISTINCT source, lang, least(kmer, {RC.format('kmer')}) AS kmer FROM (SELECT source, lang, substr(seq, i::INT, 9) AS kmer FROM d, LATERAL (SELECT unnest(range(1, length(seq) - 7)) AS i) WHERE length(seq) >= 9)),
+q AS (SELECT DISTINCT source AS query, kmer FROM k), r AS (SELECT DISTINCT lang AS reference, kmer FROM k),
+m AS (SELECT n.query, n.reference, coalesce(common, 0) AS common, size, coalesce(common, 0) / size AS score FROM (SELECT query, size, reference FROM (SELECT query, count(*) AS size FROM q GROUP BY query), (SELECT DISTINCT reference FROM r)) AS n LEFT JOIN (SELECT query, reference, count(*) AS common FROM q JOIN r USING (kmer) GROUP BY query, reference) AS c USING (query, reference))"""
+
+
+def _containment(spark, sf_dir):
+    x = _by_name(spark, sf_dir)
+    return cluster.containment(x.select("query", "seq"), x.select("reference", "seq"), 9)
+
+
+@query(f"{_CONTAIN} FROM m")
+def containment_matrix(spark, sf_dir):
+    return _containment(spark, sf_dir)
+
+
+@query(f"{_CONTAIN} SELECT query, first(reference ORDER BY score DESC, reference) AS reference, max(score) AS score FROM m GROUP BY query")
+def best_cluster(spark, sf_dir):
+    return cluster.best(_containment(spark, sf_dir))
+
+
+_GRAMS = f"{_WALK}, g AS (SELECT gram, genome, count(*) AS cnt FROM (SELECT seq_id AS genome, nid || '-' || lead(nid) OVER w || '-' || lead(nid, 2) OVER w AS gram FROM walk WINDOW w AS (PARTITION BY seq_id ORDER BY step)) WHERE gram IS NOT NULL GROUP BY gram, genome), c AS (SELECT gram, count(*) AS genomes, sum(cnt) AS total FROM g GROUP BY gram)"
+
+
+def _grams(spark, sf_dir):
+    return cluster.grams(_walks(spark, sf_dir)[1], 3, "seq_id")
+
+
+@query(f"{_GRAMS} FROM g")
+def gram_counts(spark, sf_dir):
+    return _grams(spark, sf_dir)
+
+
+@query(f"{_GRAMS} SELECT genomes, count(*) AS grams, 100 * count(*) / sum(count(*)) OVER () AS percent FROM c GROUP BY genomes")
+def gram_rarity_histogram(spark, sf_dir):
+    return cluster.rarity(_grams(spark, sf_dir))
+
+
+@query(f"{_GRAMS} SELECT count(*) AS grams, count_if(total = 1)::BIGINT AS uniques, avg(genomes) AS mean, median(genomes) AS median, avg(genomes) FILTER (total > 1) AS mean_repeated, median(genomes) FILTER (total > 1) AS median_repeated FROM c")
+def gram_summary(spark, sf_dir):
+    return cluster.summary(_grams(spark, sf_dir))
+
+
+@query("SELECT doc_id, regexp_replace(string_split(source || '|' || lang || ':' || doc_id || ' ' || left(text, 20), ' ')[1], '[^a-zA-Z0-9_.-]', '_', 'g') AS name FROM documents")
+def fasta_id_sanitise(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    header = F.concat("source", F.lit("|"), "lang", F.lit(":"), F.col("doc_id").cast("string"), F.lit(" "), F.left("text", F.lit(20)))
+    return docs.select("doc_id", S.sanitise_id(header).alias("name"))
+
+
+def _by_k(spark, sf_dir):
+    x = _by_name(spark, sf_dir).select(F.col("reference").alias("genome"), "seq")
+    k = F.explode(F.array(*[F.lit(k) for k in (5, 7, 9)])).alias("k")
+    x = x.select("genome", k, "seq").where("length(seq) >= k")
+    return x.select("genome", "k", F.explode(F.expr("transform(sequence(1, length(seq) - k + 1), i -> substring(seq, i, k))")).alias("kmer")).groupBy("genome", "k", "kmer").count()
+
+
+@query("""WITH d AS (SELECT lang AS genome, regexp_replace(translate(text, 'acgt', 'ACGT'), '[^ACGT]', '', 'g') AS seq FROM documents),
+x AS (SELECT genome, k, substr(seq, i::INT, k) AS kmer, count(*) AS c FROM d, (VALUES (5), (7), (9)) AS ks(k), LATERAL (SELECT unnest(range(1, length(seq) - k + 2)) AS i) WHERE length(seq) >= k GROUP BY ALL)
+SELECT s.genome, s.k, filesize, nodes FROM (SELECT genome, k, sum(c)::BIGINT AS filesize FROM x GROUP BY genome, k) AS s JOIN (SELECT genome, k, count(*) AS nodes FROM x GROUP BY genome, k) AS t USING (genome, k)""")
+def size_stats_join(spark, sf_dir):
+    x = materialise(_by_k(spark, sf_dir), "kmers-by-k")
+    return x.groupBy("genome", "k").agg(F.sum("count").alias("filesize")).join(x.groupBy("genome", "k").agg(F.count("*").alias("nodes")), ["genome", "k"])
