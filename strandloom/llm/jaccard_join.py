@@ -5,7 +5,8 @@ Sets are the distinct 5-word shingles of a text. Equal sets are one class, found
 * Small sets enumerate subsets. For sizes a and b a link means at least c(a, b) = ceil(4 (a + b) / 9) common shingles, so sets
   of a pair of sizes that emit an equal subset of c elements are linked, with nothing to verify and no pairs to list.
 * Large sets are scanned in inverted lists over a prefix of n - ceil(0.8 n) + 1 shingles, light ones first. A shingle is
-  heavy if more than `limit` classes have it, so the lists that are scanned are short; all their pairs are candidates.
+  heavy if more than `limit` classes have it, so the lists that are scanned are short. Pairs that share enough of them to link at
+  all are candidates.
 * Sets whose prefix reaches heavy shingles (large groups of similar texts) also enumerate subsets. What links of such sets is still to
   be found has no light shingle in common, so light ones count as differences, and the heavy ones may differ only in what
   is left: the budget. They are dealt into more parts than that, so most parts of the two are equal, and one of them
@@ -178,7 +179,7 @@ def _found(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _postings(bitmap, small: int, log_blocks: int):
-    """Light prefix shingles by block ('list'), subset keys of small sets ('small': block is the side), ids of sets with heavy prefix shingles ('heavy')."""
+    """Light prefix shingles by block ('list'), how many of its n each set has there ('set': block and key), subset keys of small sets ('small': block is the side), ids of sets with heavy prefix shingles ('heavy')."""
 
     def flush(held):
         key, node, n = (np.concatenate(c) for c in zip(*held, strict=True))
@@ -202,6 +203,8 @@ def _postings(bitmap, small: int, log_blocks: int):
                 rank = np.arange(len(x2)) - starts[of2 - row]
                 inside = (rank < prefix_size(n)[of2 - row]) & (n[of2 - row] > small)
                 light = inside & ~heavy2
+                emitted = np.bincount((of2 - row)[light], minlength=last - row)
+                out += [("set", int(emitted[r]), None, None, None, int(ids[row + r]), int(n[r])) for r in np.flatnonzero(emitted)]
                 out += [("heavy", None, None, None, None, int(i), None) for i in ids[np.unique(of2[inside & heavy2])]]
                 held.append((x2[light] >> np.uint64(16), ids[of2[light]], n[of2[light] - row].astype(np.uint32)))
                 size += int(light.sum())
@@ -377,7 +380,8 @@ def _components(texts: DataFrame, sized: DataFrame, classes: DataFrame, total: i
 
     found = materialise(reps.mapInArrow(_postings(bitmap, small, log_blocks), _FOUND), "postings")
     pairs = found.where("kind = 'list'").select("block", "keys", "nodes", "sizes").groupBy("block").applyInArrow(_listed, "a long, b long, c long")
-    pairs = materialise(pairs.groupBy("a", "b").agg(F.sum("c").alias("c")), "pairs")
+    pairs = _enough(pairs.groupBy("a", "b").agg(F.sum("c").alias("c")), found.where("kind = 'set'").select("node", F.col("key").alias("n"), F.col("block").alias("m")).dropDuplicates(["node"]))
+    pairs = materialise(pairs, "pairs")
     sure = _small_links(found.where("kind = 'small'").select("key", "node", F.col("block").alias("side")))
     lists = _heavy_lists(reps, found.where("kind = 'heavy'").select("node").distinct(), bitmap)
 
@@ -423,6 +427,12 @@ def _components(texts: DataFrame, sized: DataFrame, classes: DataFrame, total: i
     return labels if more.isEmpty() else components(more.unionByName(first))
 
 
+def _enough(pairs: DataFrame, emitted: DataFrame) -> DataFrame:
+    """pairs (a, b, c) with enough common prefix shingles c: what else two sets share comes after the m emitted ones of that set whose last one is the earlier."""
+    side = lambda s: emitted.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("m").alias(f"m_{s}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").where("9 * (c + greatest(n_a - m_a, n_b - m_b)) >= 4 * (n_a + n_b)").select("a", "b", "c")
+
+
 def _small_links(keys: DataFrame) -> DataFrame:
     """Links by equal subsets. Under one key either all sets are linked (equal sizes) or both sides are linked whole, so each set joins the first it is linked with."""
     first = [F.min(F.when(F.col("side") == i, F.col("node"))).alias(f"f{i}") for i in range(3)]
