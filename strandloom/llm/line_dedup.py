@@ -29,9 +29,11 @@ BROADCAST_LINES = 1_000_000
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
     """Rows (id, line_no, norm, n) of the lines with enough words."""
-    rows = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "line"))
-    rows = rows.select("id", "line_no", F.lower(F.trim(F.regexp_replace("line", r"\s+", " "))).alias("norm"))
-    return rows.withColumn("n", F.length("norm") - F.length(F.translate("norm", " ", "")) + 1).where(F.col("n") >= least)
+    # White space other than single spaces is rare, so it is looked for in whole texts, once; a line's words are counted where it is split off.
+    text = F.lower(F.regexp_replace(F.col(text_col), r"\x20?[\x09\x0B-\x0D][\x20\x09\x0B-\x0D]*|\x20{2,}", " "))
+    counted = lambda x: F.struct(x.alias("norm"), (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("n"))
+    rows = docs.select(F.col(id_col).alias("id"), F.posexplode(F.transform(F.split(text, "\n"), lambda x: counted(F.trim(x)))).alias("line_no", "line"))
+    return rows.select("id", "line_no", "line.norm", "line.n").where(F.col("n") >= least)
 
 
 def _hashed(lines: DataFrame) -> DataFrame:
