@@ -76,8 +76,8 @@ ALPHABET = 64
 
 def _reported() -> Transducer:
     t = Transducer(0, {}, 2)
-    for x in range(8):
-        t.arcs[0, x] = (int(x == REPORT), x, 0.0)
+    for x in range(ALPHABET):
+        t.arcs[0, x] = (int(x & 7 == REPORT), x, 0.0)
         t.arcs[1, x] = (1, x | 8, 0.0)
     return t
 
