@@ -87,3 +87,11 @@ def cost_model(lengths: DataFrame) -> DataFrame:
 def classify(lengths: DataFrame, least_sp: int = 8) -> DataFrame:
     """(type, length): shortest paths of under least_sp nodes count as nucleotides."""
     return lengths.select(F.when((F.col("type") == "SP") & (F.col("length") < least_sp), "NN").otherwise(F.col("type")).alias("type"), "length")
+
+
+def communities(records: DataFrame, first: str, k: int) -> DataFrame:
+    """(record, cluster) of (genome, record, seq): each record of the first genome seeds a cluster, and every other record joins the one that holds most of its k-mers."""
+    seeds = records.where(F.col("genome") == first).select(F.col("record").alias("reference"), "seq")
+    others = records.where(F.col("genome") != first).select(F.col("record").alias("query"), "seq")
+    placed = best(containment(others, seeds, k)).select(F.col("query").alias("record"), F.col("reference").alias("cluster"))
+    return seeds.select(F.col("reference").alias("record"), F.col("reference").alias("cluster")).distinct().unionByName(placed)
