@@ -25,10 +25,12 @@ from strandloom.session import materialise, ship
 SIZE = 4096
 END_ID = 2
 VOCABULARY = "word_bpe_49k.json"
-CACHED = 300_000  # stretches and words that a worker remembers, twice
+CACHED = 150_000  # words that a worker remembers, twice
 #: Letters whose small forms are single letters too and that no normal form changes.
 LATIN = [c for c in range(0xC0, 0x100) if c not in (0xD7, 0xF7)]
-SIMPLE = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:-;=?-@\\[-`{}~]*)")  # no <, > or |, which spell special tokens
+# How this vocabulary splits a text, for texts of ASCII and these letters only.
+SIMPLE = re.compile("[\\t-\\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
+SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[!-/:-@\\[-`{-~]+")
 PIECE = "start long, length long, ids_crc32 long, doc_tokens long"
 
 _tokenizers: dict = {}
@@ -55,9 +57,9 @@ class Remembered:
 class Encoder:
     """Token ids as little-endian bytes.
 
-    This vocabulary drops white space and never joins across it, so stretches between white space are encoded alone and
-    remembered. A stretch of letters and then ASCII signs is a small-letter word and a run of signs to this vocabulary, each
-    encoded by its model and remembered too; every other stretch goes through the whole tokenizer.
+    This vocabulary drops white space, makes small letters and splits a text into words, digits and runs of signs. Texts of ASCII and
+    Latin-1 letters are split here, and each word is encoded by the vocabulary's model once and remembered; every
+    other text, and one that spells a special token, goes through the whole tokenizer.
     """
 
     def __init__(self, path: str | None):
@@ -69,36 +71,27 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path(VOCABULARY))
         self.model = self.tokenizer.model
-        self.simple = path is None  # the split below is that of the default vocabulary
+        self.simple = path is None  # the split above is that of the default vocabulary
         spelled = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.spell = str.maketrans({c: spelled.pre_tokenize_str(chr(c))[0][0] for c in LATIN})
         self.id_bytes = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
-        self.stretches, self.words = Remembered(CACHED), Remembered(CACHED)
+        self.words = Remembered(CACHED)
 
     def encode(self, text: bytes) -> bytes:
-        parts = text.split()
-        known = self.stretches.new
-        try:
-            return b"".join([known[p] for p in parts])
-        except KeyError:
-            return b"".join([self.stretch(p) for p in parts])
-
-    def stretch(self, p: bytes) -> bytes:
-        got = self.stretches.get(p)
-        if got is None:
-            simple = SIMPLE.fullmatch(text) if self.simple and (text := p.decode("utf-8", "replace")) else None
-            if simple:
-                got = self.word(simple[1].lower().translate(self.spell)) + (self.word(simple[2]) if simple[2] else b"")
-            else:
-                ids = self.tokenizer.encode(p.decode("utf-8", "replace"), add_special_tokens=False).ids
-                got = b"".join([self.id_bytes[i] for i in ids])
-            self.stretches.put(p, got)
-        return got
+        t = text.decode("utf-8", "replace")
+        if not self.simple or "<|" in t or not SIMPLE.fullmatch(t):
+            return b"".join([self.id_bytes[i] for i in self.tokenizer.encode(t, add_special_tokens=False).ids])
+        words = SPLIT.findall(t.lower())
+        get = self.words.new.get
+        out = [get(w) for w in words]
+        if None in out:
+            out = [x or self.word(w) for x, w in zip(out, words, strict=True)]
+        return b"".join(out)
 
     def word(self, w: str) -> bytes:
         got = self.words.get(w)
         if got is None:
-            got = b"".join([self.id_bytes[t.id] for t in self.model.tokenize(w)])
+            got = b"".join([self.id_bytes[t.id] for t in self.model.tokenize(w.translate(self.spell))])
             self.words.put(w, got)
         return got
 
