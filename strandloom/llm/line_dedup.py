@@ -53,8 +53,11 @@ def _near(distinct: DataFrame, docs: DataFrame, id_col: str, text_col: str, leas
     few = keys.join(shared, "key", "left_semi").select("h1", "h2").distinct()
     few = materialise(distinct.select("h1", "h2", "id", "line_no").join(few, ["h1", "h2"]), "lines")
     at = few.select("h1", "h2", F.col("id").alias("f_id"), F.col("line_no").alias("f_line"))
-    at = F.broadcast(at) if few.count() <= BROADCAST_LINES else at
-    text = _lines(docs, id_col, text_col, least).withColumn("t1", F.xxhash64("norm"))
+    in_docs = at.select("f_id").distinct()
+    if few.count() <= BROADCAST_LINES:
+        at, in_docs = F.broadcast(at), F.broadcast(in_docs)
+    those = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(in_docs, F.col("id").eqNullSafe(F.col("f_id")), "left_semi")
+    text = _lines(those, "id", "text", least).withColumn("t1", F.xxhash64("norm"))
     text = text.join(at, F.col("id").eqNullSafe(F.col("f_id")) & (F.col("line_no") == F.col("f_line")) & (F.col("t1") == F.col("h1")))
     text = materialise(text.select("h1", "h2", "id", "line_no", "n", "norm").dropDuplicates(["h1", "h2"]), "norms")
 
