@@ -272,7 +272,7 @@ def _parts(bitmap):
                 out = []
                 for back in (0, 1):
                     grp = own - back
-                    parts = (1.2 * ((largest(grp) + largest(grp + 1)) // 9 + 1)).astype(np.int64) + 9
+                    parts = (largest(grp) + largest(grp + 1)) // 9 + 2  # one more than any budget needs: fewer, larger parts meet by chance less often
                     other = np.minimum(5 * n // 4, largest(grp + 1) if back == 0 else largest(grp))
                     budget = (n + other) // 9 - light
                     base = np.concatenate(([0], np.cumsum(parts)))
@@ -330,7 +330,7 @@ def _met(pairs: DataFrame, elements: DataFrame) -> DataFrame:
     """pairs (a, b) with their sizes n_a and n_b, numbers of heavy elements h_a and h_b, and common light (cl) and heavy (ch) ones, by whole sets."""
     x = elements.select(F.col("node").alias("a"), F.col("light").alias("xl"), F.col("heavy").alias("xh"))
     y = elements.select(F.col("node").alias("b"), F.col("light").alias("yl"), F.col("heavy").alias("yh"))
-    both = pairs.join(x, "a").join(y, "b")
+    both = pairs.join(y, "b").join(x, "a")  # b may be a hub of very many pairs, which meet it as ids only
     return both.select(
         "a", "b", F.size("xh").alias("h_a"), F.size("yh").alias("h_b"), (F.size("xl") + F.size("xh")).alias("n_a"), (F.size("yl") + F.size("yh")).alias("n_b"),
         F.size(F.array_intersect("xl", "yl")).alias("cl"), F.size(F.array_intersect("xh", "yh")).alias("ch"),
