@@ -19,8 +19,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts repeated lines from the texts; every document stays, n_chars follows its text."""
-    return line_dedup.clean(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    """Cuts repeated lines from the texts, short ones where they are equal; every document stays, n_chars follows its text."""
+    return line_dedup.clean(docs, exact=1).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def join_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

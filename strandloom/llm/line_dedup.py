@@ -1,7 +1,8 @@
 """Line deduplication by a deletion-neighbourhood join; DataFrame operations only.
 
 A line is normalised (lower case, white space as single spaces) and read as words; two lines match when one word
-replaced, added or removed turns one into the other, or when they are equal. Lines of under `least` words never match.
+replaced, added or removed turns one into the other, or when they are equal. Lines of under `least` words match equal lines
+only, and those of under `exact` words (by default `least`) never match. Empty lines stay, whatever `exact` is.
 
 1. Equal lines are collapsed to their earliest occurrence by 128-bit hashes (partial sums first, so a hot line is cheap).
 2. One edit leaves the first or the second half of a pair untouched, so only lines that share a half with another distinct
@@ -28,18 +29,20 @@ BROADCAST_LINES = 1_000_000
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
-    """Rows (id, line_no, norm, n) of the lines with enough words."""
+    """Rows (id, line_no, norm, n) of the lines with enough words, none of them empty."""
     # White space other than single spaces is rare, so it is looked for in whole texts, once; a line's words are counted where it is split off.
     text = F.lower(F.regexp_replace(F.col(text_col), r"\x20?[\x09\x0B-\x0D][\x20\x09\x0B-\x0D]*|\x20{2,}", " "))
     counted = lambda x: F.struct(x.alias("norm"), (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("n"))
     rows = docs.select(F.col(id_col).alias("id"), F.posexplode(F.transform(F.split(text, "\n"), lambda x: counted(F.trim(x)))).alias("line_no", "line"))
-    return rows.select("id", "line_no", "line.norm", "line.n").where(F.col("n") >= least)
+    rows = rows.select("id", "line_no", "line.norm", "line.n").where(F.col("n") >= least)
+    return rows if least > 1 else rows.where("norm <> ''")
 
 
-def _hashed(lines: DataFrame) -> DataFrame:
-    """(id, line_no, h1, h2, n, halves): hashes of the line and of its first and last m words, m a half for either length a match may have."""
+def _hashed(lines: DataFrame, least: int, short: bool) -> DataFrame:
+    """(id, line_no, h1, h2, n, halves): hashes of the line and of its first and last m words, m a half for either length a match may have; where there are short lines, those of under `least` words have no halves."""
     half = lambda m: F.array(F.xxhash64(F.expr(f"substring_index(norm, ' ', {m})"), F.lit("first"), F.expr(m)), F.xxhash64(F.expr(f"substring_index(norm, ' ', -{m})"), F.lit("last"), F.expr(m)))
     halves = F.when(F.col("n") % 2 == 0, half("(n div 2)")).otherwise(F.concat(half("(n div 2)"), half("(n div 2 + 1)")))
+    halves = F.when(F.col("n") >= least, halves) if short else halves
     return lines.select("id", "line_no", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit("2"), "norm").alias("h2"), "n", halves.alias("halves"))
 
 
@@ -92,25 +95,26 @@ def _near(distinct: DataFrame, docs: DataFrame, id_col: str, text_col: str, leas
     return pairs.where(one).select("h1", "h2", "keep_id", "keep_line")
 
 
-def dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
+def dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, exact: int | None = None) -> DataFrame:
     """One row per removed line: id, line_no (from 0), keep_id, keep_line, exact (is it equal to a kept-or-earlier line)."""
-    found = materialise(_hashed(_lines(docs, id_col, text_col, least)), "line-hashes")
+    floor = least if exact is None else min(exact, least)
+    found = materialise(_hashed(_lines(docs, id_col, text_col, floor), least, floor < least), "line-hashes")
     rank = F.struct(F.col("id").isNull().alias("none"), "id", "line_no")
     distinct = found.groupBy("h1", "h2").agg(F.min(rank).alias("first"), F.count("*").alias("c"), F.max("halves").alias("halves"))
     distinct = materialise(distinct.select("h1", "h2", F.col("first.id").alias("id"), F.col("first.line_no").alias("line_no"), "c", "halves"), "distinct-lines")
     near = materialise(_near(distinct, docs, id_col, text_col, least), "near-lines")
     table = distinct.select("h1", "h2", "id", "line_no", "c").join(near, ["h1", "h2"], "left").where("c > 1 or keep_line is not null")
-    exact = F.col("keep_line").isNull()
-    table = table.select("h1", "h2", "c", F.when(exact, F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("keep_line", "line_no").alias("keep_line"), exact.alias("exact"))
+    equal = F.col("keep_line").isNull()
+    table = table.select("h1", "h2", "c", F.when(equal, F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("keep_line", "line_no").alias("keep_line"), equal.alias("exact"))
     table = materialise(table, "gone")
     gone = join_counted(found.select("id", "line_no", "h1", "h2"), table, ["h1", "h2"], "c", found.count())
     gone = gone.where(~(F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("line_no") == F.col("keep_line"))))
     return gone.select("id", "line_no", "keep_id", "keep_line", "exact").distinct().withColumnRenamed("id", id_col)
 
 
-def _marked(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
+def _marked(docs: DataFrame, id_col: str, text_col: str, least: int, exact: int | None = None) -> DataFrame:
     """(row, gone): every row of docs and the numbers of its removed lines, null where there are none."""
-    gone = dropped(docs, id_col, text_col, least).groupBy(F.col(id_col).alias("gone_id")).agg(F.collect_set("line_no").alias("gone"))
+    gone = dropped(docs, id_col, text_col, least, exact).groupBy(F.col(id_col).alias("gone_id")).agg(F.collect_set("line_no").alias("gone"))
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     return row.join(gone, F.col(f"row.{id_col}").eqNullSafe(F.col("gone_id")), "left").select("row", "gone")
 
@@ -119,9 +123,9 @@ def _kept(text):
     return F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(F.col("gone"), i)), "\n")
 
 
-def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
+def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, exact: int | None = None) -> DataFrame:
     """docs without the removed lines, all columns kept."""
-    m = _marked(docs, id_col, text_col, least)
+    m = _marked(docs, id_col, text_col, least, exact)
     text = F.when(F.col("gone").isNull(), F.col(f"row.{text_col}")).otherwise(_kept(F.col(f"row.{text_col}")))
     return m.select(F.col("row").withField(text_col, text).alias("row")).select("row.*")
 

@@ -174,6 +174,19 @@ def test_lines(spark):
     assert line_dedup.report(frame(spark, [])).count() == 0
 
 
+def test_lines_short(spark):
+    rows = [(1, "Short line\n\n}\na b c"), (2, "short  LINE\n\n}\na b d"), (None, "x\nshort line"), (3, " \nx\n")]
+    got = {r.doc_id: r.text for r in line_dedup.clean(frame(spark, rows), exact=1).collect()}
+    assert got == {1: rows[0][1], 2: "\na b d", 3: rows[3][1], None: ""}
+    got = {(r.doc_id, r.line_no, r.keep_id, r.keep_line, r.exact) for r in line_dedup.dropped(frame(spark, rows), exact=2).collect()}
+    assert got == {(2, 0, 1, 0, True), (None, 1, 1, 0, True)}
+    assert line_dedup.dropped(frame(spark, rows)).count() == 0
+    import corpus_pipeline
+
+    docs = frame(spark, rows[:2]).withColumn("n_chars", F.length("text"))
+    assert {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.dedup_lines(spark, docs, "").collect()} == {1: (rows[0][1], len(rows[0][1])), 2: ("\na b d", 6)}
+
+
 def test_lines_brute(spark):
     rng = random.Random(8)
     base = [[rng.choice("abcdefgh") for _ in range(9)] for _ in range(6)]
