@@ -1,9 +1,9 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Words become symbols: insult, threat, target, negation, reported speech, clause-internal comma, other. Four small
-transducers over these symbols are composed into one machine: reported speech marks what follows it, negation
-marks the next few words, a target marks its neighbourhood, and the scorer turns a marked insult or threat into a
-weight. Only clauses that hold an insult or a threat are run through it; a text's score is a logistic curve over
+Words become symbols: insult, threat, target, negation, reported speech, other. Three small transducers over these
+symbols are composed into one machine: reported speech marks what follows it, negation marks the next few words, and
+the scorer turns a marked insult or threat into a weight. Insults and threats are a look-up of classes, and a target
+marks its neighbourhood in a loop ahead of the machine; these three aren't transducers. Only clauses that hold an insult or a threat are run through it; a text's score is a logistic curve over
 its summed clause weights.
 
 The insult lexicon is learned: a unit (a word, or its first 4 to 8 bytes) counts if it marks labelled toxic
