@@ -1,7 +1,8 @@
 """The training-data pipeline: five stages over `documents`, each written as Parquet and read again as the next one's docs.
 
 All stages but the last return the columns of documents. ORACLE_SQL is None: language identification and tokenisation
-can't be put in SQL; tests/llm compares the stages with brute force instead.
+can't be put in SQL. tests/llm compares operators with brute force and runs the line stage on a few rows; no test runs
+the stages in order.
 """
 
 from __future__ import annotations
