@@ -35,7 +35,11 @@ def extend_left(kmer: Column, base: Column) -> Column:
 
 
 def pack(kmer: Column) -> Column:
-    """k-mer (k <= 31) as a non-negative BIGINT, first base in the high bits."""
+    """k-mer (k <= 31) as a non-negative BIGINT, first base in the high bits. A longer one raises: it stays a string."""
+    return F.when(F.length(kmer) > 31, F.raise_error(F.lit("k-mers of over 31 bases can't be packed"))).otherwise(_packed(kmer))
+
+
+def _packed(kmer: Column) -> Column:
     return F.conv(F.translate(kmer, BASES, "0123"), 4, 10).cast("bigint")
 
 
@@ -44,6 +48,22 @@ def unpack(code: Column, k: int) -> Column:
     return F.translate(F.lpad(F.conv(code.cast("string"), 10, 4), k, "0"), "0123", BASES)
 
 
+def pack_bases(seq: Column) -> Column:
+    """Any ACGT string as bytes of four bases, first base in the high bits, the last byte filled up with A."""
+    digits = F.translate(seq, BASES, "0123")
+    full = F.rpad(digits, ((F.length(seq) + 3) / 4).cast("int") * 4, F.lit("0"))
+    code = lambda i: F.lpad(F.conv(F.substring(full, i * 4 - 3, F.lit(4)), 4, 16), 2, "0")
+    return F.unhex(F.when(F.length(seq) == 0, "").otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.greatest((F.length(full) / 4).cast("int"), F.lit(1))), code), "")))
+
+
+def unpack_bases(data: Column, n: Column) -> Column:
+    """The n bases of pack_bases."""
+    hexes = F.hex(data)
+    four = lambda i: F.lpad(F.conv(F.substring(hexes, i * 2 - 1, F.lit(2)), 16, 4), 4, "0")
+    digits = F.when(n == 0, "").otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.octet_length(data), F.lit(1))), four), ""))
+    return F.translate(F.substring(digits, F.lit(1), n), "0123", BASES)
+
+
 def base_code(base: Column) -> Column:
     return F.translate(base, BASES, "0123").cast("int")
 

@@ -5,7 +5,7 @@ An oriented node is nid = 2 * id + is_rc; its reverse is nid ^ 1. A graph is str
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,10 +15,24 @@ from strandloom.operators.ids import ordered_ids
 from strandloom.session import materialise
 
 
-def positional_kmers(seqs: DataFrame, k: int) -> DataFrame:
-    """(…, pos, kmer) of every sequence, pos from 0."""
+CHUNK = 1 << 14
+
+
+def positional_kmers(seqs: DataFrame, k: int, canonical: bool = False) -> DataFrame:
+    """(…, pos, kmer) of every ASCII sequence, pos from 0; with `canonical` also canon, the smaller of the k-mer and its reverse complement.
+
+    Sequences are cut into chunks that overlap by k - 1 bases, so a chromosome in one row needs no array of its k-mers, and
+    each chunk's reverse complement is taken once: the k-mers are slices of bytes.
+    """
     keep = [c for c in seqs.columns if c != "seq"]
-    return seqs.select(*keep, F.posexplode(S.kmers(F.col("seq"), k)).alias("pos", "kmer"))
+    cut = seqs.where(F.length("seq") >= k).select(*keep, F.col("seq").cast("binary").alias("__seq"), F.explode(F.sequence(F.lit(0), F.length("seq") - k, F.lit(CHUNK))).alias("__at"))
+    part = F.substring("__seq", F.col("__at") + 1, F.lit(CHUNK + k - 1))
+    cut = cut.select(*keep, "__at", part.alias("__part"), *([S.revcomp(part.cast("string")).cast("binary").alias("__back")] if canonical else []))
+    size = F.octet_length("__part")
+    rows = cut.select("*", size.alias("__n"), F.explode(F.sequence(F.lit(0), size - k)).alias("__i"))
+    kmer = F.substring("__part", F.col("__i") + 1, F.lit(k)).cast("string")
+    back = [F.least(kmer, F.substring("__back", F.col("__n") - k - F.col("__i") + 1, F.lit(k)).cast("string")).alias("canon")] if canonical else []
+    return rows.select(*keep, (F.col("__at") + F.col("__i")).alias("pos"), kmer.alias("kmer"), *back)
 
 
 @dataclass
@@ -28,6 +42,7 @@ class Graph:
     unitigs: DataFrame
     k: int
     stranded: bool
+    _edges: DataFrame | None = field(default=None, repr=False)
 
     @staticmethod
     def from_unitigs(seqs: DataFrame, order: list[str], k: int, stranded: bool) -> Graph:
@@ -37,10 +52,10 @@ class Graph:
     @staticmethod
     def from_sequences(seqs: DataFrame, order: list[str], k: int, stranded: bool, multiplicity: int = 1) -> Graph:
         """One node a distinct k-mer (of at least `multiplicity` occurrences) in the orientation seen first, ids by first occurrence. Not compacted."""
-        kmers = positional_kmers(seqs, k).where("kmer not like '%N%'")
-        key = F.col("kmer") if stranded else S.canonical(F.col("kmer"))
+        kmers = positional_kmers(seqs, k, not stranded).where(~F.contains("kmer", F.lit("N")))
         first = F.min(F.struct(*order, "pos", "kmer"))
-        nodes = kmers.groupBy(key.alias("key")).agg(first.alias("first"), F.count("*").alias("n")).where(F.col("n") >= multiplicity).select("first.*")
+        nodes = kmers.groupBy(F.col("kmer" if stranded else "canon").alias("key")).agg(first.alias("first"), F.count("*").alias("n")).where(F.col("n") >= multiplicity).select("first.*")
+        nodes = materialise(nodes, "nodes")  # placing them by range reads them twice
         return Graph.from_unitigs(nodes.withColumnRenamed("kmer", "seq"), [*order, "pos"], k, stranded)
 
     def materialised(self) -> Graph:
@@ -53,11 +68,15 @@ class Graph:
             return forward
         return forward.unionByName(self.unitigs.select((F.col("id") * 2 + 1).alias("nid"), S.revcomp(F.col("seq")).alias("seq")))
 
+    def sized_ends(self) -> DataFrame:
+        """(side, kmer, nid, len): the first and last k-mer of every oriented node and its length; where several have one, a forward node is named."""
+        o = self.oriented().select("nid", F.length("seq").alias("len"), F.left("seq", F.lit(self.k)).alias("l"), F.right("seq", F.lit(self.k)).alias("r"))
+        both = o.select("nid", "len", F.explode(F.array(F.struct(F.lit("L").alias("side"), F.col("l").alias("kmer")), F.struct(F.lit("R").alias("side"), F.col("r").alias("kmer")))).alias("e")).select("nid", "len", "e.*")
+        return both.groupBy("side", "kmer").agg(F.min(F.struct((F.col("nid") % 2).alias("rc"), "nid", "len")).alias("x")).select("side", "kmer", "x.nid", "x.len")
+
     def ends(self) -> DataFrame:
-        """(side, kmer, nid): the first and last k-mer of every oriented node; where several have one, a forward node is named."""
-        o = self.oriented()
-        both = o.select(F.lit("L").alias("side"), F.left("seq", F.lit(self.k)).alias("kmer"), "nid").unionByName(o.select(F.lit("R").alias("side"), F.right("seq", F.lit(self.k)).alias("kmer"), "nid"))
-        return both.groupBy("side", "kmer").agg(F.min(F.struct((F.col("nid") % 2).alias("rc"), "nid")).alias("x")).select("side", "kmer", "x.nid")
+        """(side, kmer, nid)."""
+        return self.sized_ends().drop("len")
 
     def duplicate_ends(self) -> DataFrame:
         """(side, kmer, n) of end k-mers that two nodes share, which a de Bruijn graph must not have."""
@@ -71,6 +90,12 @@ class Graph:
             raise ValueError("end k-mers aren't unique, or a node is shorter than k")
         return self
 
+    def edge_table(self) -> DataFrame:
+        """edges(), written once."""
+        if self._edges is None:
+            self._edges = materialise(self.edges(), "edges")
+        return self._edges
+
     def edges(self) -> DataFrame:
         """(src, dst, base): base is the 2-bit code of the nucleotide that the step adds."""
         step = self.oriented().select(F.col("nid").alias("src"), F.right("seq", F.lit(self.k)).alias("last"))
@@ -93,10 +118,10 @@ class Graph:
         """kmers with nid of the node that has the k-mer at that end, null where none has."""
         return kmers.join(self.ends().where(F.col("side") == side).select("kmer", "nid"), "kmer", "left")
 
-    def search_anywhere(self, kmers: DataFrame) -> DataFrame:
+    def search_anywhere(self, kmers: DataFrame, how: str = "left") -> DataFrame:
         """kmers with (nid, offset) wherever in an oriented node the k-mer lies."""
         index = positional_kmers(self.oriented(), self.k).select("kmer", "nid", F.col("pos").alias("offset"))
-        return kmers.join(index, "kmer", "left")
+        return kmers.join(index, "kmer", how)
 
     def stats(self) -> DataFrame:
         """One row: k, stranded, nodes, edges, avg_length. A canonical graph's edges count once for both directions."""
@@ -122,7 +147,7 @@ class Graph:
 
     def compacted(self) -> Graph:
         """Unitigs: chains of nodes whose joints have no other edge, by pointer doubling; ids by the least node of each."""
-        edges = materialise(self.edges(), "edges")
+        edges = self.edge_table()
         out, into = edges.groupBy("src").agg(F.count("*").alias("o")), edges.groupBy("dst").agg(F.count("*").alias("i"))
         joints = edges.join(out.where("o = 1"), "src").join(into.where("i = 1"), "dst").where("src <> dst")
         if not self.stranded:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandloom.functions import seq as S
+from strandloom.operators import cluster
 from strandloom.operators import encode as enc
 from strandloom.operators import scaffold, walk
 from strandloom.operators.graph import Graph
@@ -14,9 +16,10 @@ from strandloom.sources import fasta
 
 
 def build(spark: SparkSession, unitig_files: str | list[str], out: str, k: int, stranded: bool = False) -> Graph:
-    """Unitigs of FASTA files as a saved graph; ids follow the sequences' order by header."""
-    records = fasta.sequences(fasta.read_fasta(spark, unitig_files))
-    graph = Graph(ordered_ids(records, ["seq_id", "seq"]).select("id", "seq"), k, stranded).checked()
+    """Unitigs of FASTA files as a saved graph; ids are the records' places in the files, which follow each other by path."""
+    records = fasta.read_fasta(spark, unitig_files, place=True)
+    numbered = ordered_ids(records, fasta.PLACE).select("id", S.normalise(F.col("seq")).alias("seq"))
+    graph = Graph(materialise(numbered, "unitigs"), k, stranded).checked()
     graph.save(out)
     return Graph.load(spark, out)
 
@@ -24,13 +27,13 @@ def build(spark: SparkSession, unitig_files: str | list[str], out: str, k: int,
 def encode(seqs: DataFrame, graph: Graph, out: str, params: enc.Params = enc.Params()) -> DataFrame:
     """Encode (seq_id, seq) into tables under out: extensions, trims (with statuses), gaps, meta. Returns the trims.
 
-    Contigs that don't embed keep their status, and their bases count as dropped; nothing is dropped silently.
+    Contigs strictly inside a node are walks of that node. Those that don't embed keep their status, and their bases count as dropped;
+    nothing is dropped silently.
     """
     seqs = materialise(seqs, "sequences")
     contigs = materialise(scaffold.contigs(seqs, graph.k), "contigs")
-    trims = materialise(walk.offsets(contigs, graph), "trims")
-    walks = materialise(walk.walk(contigs, graph), "walks")
-    enc.greedy(walks, graph, params).write.parquet(f"{out}/extensions")
+    walks, trims = walk.embed(contigs, graph)
+    enc.greedy(materialise(walks, "walks"), graph, params).write.parquet(f"{out}/extensions")
     trims.join(contigs.select("seq_id", "contig_idx", F.length("seq").alias("bases")), ["seq_id", "contig_idx"]).write.parquet(f"{out}/trims")
     scaffold.gaps_exact(seqs, graph.k).write.parquet(f"{out}/gaps")
     spark = seqs.sparkSession
@@ -52,5 +55,22 @@ def decode(spark: SparkSession, encoded: str, graph: Graph) -> DataFrame:
 def statistics(spark: SparkSession, encoded: str) -> DataFrame:
     """The table of extensions and nodes by kind. Nodes are counted from the trims, so nothing is decoded."""
     ext, trims = spark.read.parquet(f"{encoded}/extensions"), spark.read.parquet(f"{encoded}/trims")
-    nodes = trims.where("status = 'OK'").select(F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_nodes"))).alias("node"))
-    return enc.stats_table(ext, nodes)
+    return enc.stats_table(ext, trims.where("status = 'OK'").agg(F.coalesce(F.sum("n_nodes"), F.lit(0)).alias("nodes")))
+
+
+def split_by_cluster(spark: SparkSession, genomes: str | list[str], out: str, k: int, sketch_size: int | None = None) -> DataFrame:
+    """Deal the records of FASTA files, one file a genome, into one folder of sequences a cluster. The genome that is first by name seeds the clusters.
+
+    Returns (genome, record, cluster), which is written too. Records of one name in several genomes stay apart.
+    """
+    found = fasta.read_fasta(spark, genomes, place=True)
+    records = found.select(
+        F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"\.(fa|fna|fasta)(\.gz)?$", "").alias("genome"), S.sanitise_id(F.col("header")).alias("record"), S.normalise(F.col("seq")).alias("seq")
+    )
+    records = materialise(records, "records")
+    first = records.agg(F.min("genome")).first()[0]
+    placed = materialise(cluster.communities(records, first, k, sketch_size), "placed")
+    placed.write.parquet(f"{out}/clusters")
+    named = records.join(placed, ["genome", "record"]).select("cluster", F.concat(F.lit(">"), "genome", F.lit("|"), "record", F.lit("\n"), "seq").alias("value"))
+    named.write.partitionBy("cluster").text(f"{out}/sequences")
+    return spark.read.parquet(f"{out}/clusters")

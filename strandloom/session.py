@@ -8,24 +8,18 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: dict[str, str] = {}
+_written: list[str] = []
 
 
-def get_session(cores: str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
-    """A local session for tests and the bench; a cluster brings its own."""
-    return (
-        SparkSession.builder.master(f"local[{cores}]")
-        .appName("strandloom")
-        .config("spark.sql.shuffle.partitions", str(partitions))
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", memory)
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
-    )
+def get_session(name: str = "strandloom") -> SparkSession:
+    """The session of the command line: master, memory and partitions are those it was submitted with."""
+    return SparkSession.builder.appName(name).config("spark.sql.session.timeZone", "UTC").getOrCreate()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,23 +27,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temporary one only where none is set."""
+    """The folder all executors share (spark.checkpoint.dir). Only a local master may do without one: it gets a temporary folder."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="strandloom-")
         atexit.register(shutil.rmtree, root, True)
         spark.conf.set("spark.checkpoint.dir", root)
     return root
 
 
-def materialise(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: a lost executor never reruns what lies before it."""
+def materialise(df: DataFrame, name: str = "t", keep: bool = False) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: a lost executor never reruns what lies before it. A surrounding `scratch` deletes it unless keep."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/strandloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if not keep:
+        _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables materialised in the block when it ends, so results must be written, collected or kept inside it."""
+    before = len(_written)
+    try:
+        yield
+    finally:
+        for path in _written[before:]:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        del _written[before:]
+
+
+def few_partitions(df: DataFrame) -> bool:
+    """Is df read in fewer tasks than there are cores?"""
+    return df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable in Python workers, wherever the driver was started."""
     app = spark.sparkContext.applicationId

@@ -9,11 +9,16 @@ from strandloom.functions import seq as S
 from strandloom.operators.ids import ordered_ids
 
 
-def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(header, seq) of FASTA files, compressed or not. Records are split where a line starts with '>', so files are read in parallel."""
+#: Where a record stands, in order: file, part of the file, place in that part.
+PLACE = ["file", "block", "at"]
+
+
+def read_fasta(spark: SparkSession, path: str | list[str], place: bool = False) -> DataFrame:
+    """(header, seq) of FASTA files, compressed or not, and with `place` also PLACE. Records are split where a line starts with '>', so files are read in parallel."""
     rows = spark.read.option("lineSep", "\n>").text(path)
-    rows = rows.select(F.regexp_replace(F.regexp_replace("value", "^>", ""), "\r", "").alias("v")).where("trim(v) <> ''")
-    return rows.select(F.substring_index("v", "\n", 1).alias("header"), F.when(F.contains("v", F.lit("\n")), F.regexp_replace(F.expr("substring(v, length(substring_index(v, '\\n', 1)) + 2)"), r"\s+", "")).otherwise("").alias("seq"))
+    where = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")] if place else []
+    rows = rows.select(*where, F.regexp_replace(F.regexp_replace("value", "^>", ""), "\r", "").alias("v")).where("trim(v) <> ''")
+    return rows.select(*(PLACE if place else []), F.substring_index("v", "\n", 1).alias("header"), F.when(F.contains("v", F.lit("\n")), F.regexp_replace(F.expr("substring(v, length(substring_index(v, '\\n', 1)) + 2)"), r"\s+", "")).otherwise("").alias("seq"))
 
 
 def read_fastq(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -64,3 +69,15 @@ def parse_extensions(lines: DataFrame) -> DataFrame:
     kind = F.regexp_extract("value", r"^(R|SP|NN)\b", 1)
     length = F.when(kind == "NN", F.lit(1)).otherwise(F.regexp_extract("value", r"^(?:R|SP):(\d+)", 1).try_cast("int"))
     return lines.select(kind.alias("type"), length.alias("length")).where("type <> '' and length is not null")
+
+
+def parse_stats(lines: DataFrame) -> DataFrame:
+    """(n, k, nodes, edges, avg_length) of the text that graph statistics print, one line a file: '<n>.k<k>... nodes: a edges: b average length: c', in any order and with any words between."""
+    number = lambda name: F.regexp_extract("value", rf"(?i){name}[^0-9\n]*?([0-9][0-9_,]*(?:\.[0-9]+)?)", 1)
+    whole = lambda x: F.regexp_replace(x, "[_,]", "").try_cast("bigint")
+    name = r"(\d+)[._]k(\d+)"
+    rows = lines.where(F.col("value").rlike(name) & F.col("value").rlike("(?i)nodes?"))
+    return rows.select(
+        F.regexp_extract("value", name, 1).cast("int").alias("n"), F.regexp_extract("value", name, 2).cast("int").alias("k"), whole(number("nodes?")).alias("nodes"),
+        whole(number("edges?")).alias("edges"), F.regexp_replace(number("(?:average|avg)[ _a-z]*len[a-z]*"), "[_,]", "").try_cast("double").alias("avg_length"),
+    )

@@ -16,9 +16,9 @@ def spark():
 
     tmp = tempfile.mkdtemp(prefix="spark-")
     s = (
-        SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.default.parallelism", "4").config("spark.ui.enabled", "false")
+        SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "4").config("spark.default.parallelism", "4").config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").config("spark.sql.warehouse.dir", f"{tmp}/warehouse")
-        .config("spark.local.dir", f"{tmp}/local").config("spark.driver.memory", "4g").getOrCreate()
+        .config("spark.local.dir", f"{tmp}/local").config("spark.checkpoint.dir", f"{tmp}/checkpoint").config("spark.driver.memory", "4g").getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
     yield s

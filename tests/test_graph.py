@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import seq as S
 from strandloom.operators import encode, paths, scaffold, walk
-from strandloom.operators.graph import Graph
+from strandloom.operators.graph import Graph, positional_kmers
+from strandloom.operators.ids import row_numbers
 
 
 def unitigs(spark, seqs, k, stranded):
@@ -132,3 +133,60 @@ def test_save_and_load(spark, tmp_path):
     g.save(str(tmp_path / "g"))
     h = Graph.load(spark, str(tmp_path / "g"))
     assert h.k == 3 and h.stranded and h.fingerprint() == g.fingerprint() and h.stats().first().nodes == 7
+
+
+def test_inside_a_node(spark):
+    g = unitigs(spark, ["AACCGT", "GGATTACAGG"], 3, True)
+    c = contigs(spark, "ACCG", "GATTACAG", "GATTTCAG", "TTTTT")
+    walks, trims = walk.embed(c, g)
+    got = {r.seq_id: (r.status, r.start_offset, r.end_offset, r.n_nodes) for r in trims.collect()}
+    assert got == {"0": ("OK", 1, 1, 1), "1": ("OK", 1, 1, 1), "2": ("INSIDE_NODE", None, None, None), "3": ("INSIDE_NODE", None, None, None)}
+    assert {r.seq_id: r.seq for r in walk.extract(walks, trims, g).collect()} == {"0": "ACCG", "1": "GATTACAG"}
+    found = {(r.kmer, r.nid, r.offset) for r in g.search_anywhere(spark.createDataFrame([("CCG",), ("TTA",), ("AAA",)], "kmer string")).collect()}
+    assert found == {("CCG", 0, 2), ("TTA", 2, 3), ("AAA", None, None)}
+    assert {(r.kmer, r.nid) for r in g.search(spark.createDataFrame([("AAC",), ("CCG",)], "kmer string"), "L").collect()} == {("AAC", 0), ("CCG", None)}
+
+
+@pytest.mark.parametrize(("k", "n", "stranded", "params"), [(3, 90, True, encode.Params(2, 6, 3)), (5, 120, False, encode.Params(3, 5, 4, max_contig_nodes=37))])
+def test_joins_beyond_the_bound(spark, k, n, stranded, params):
+    rng = random.Random(n + k)
+    seq = "".join(rng.choice("ACGT") for _ in range(n))
+    seq += seq[40:70] * 2 + "ACACACACACACACAC" + seq[:30]
+    g = Graph.from_sequences(spark.createDataFrame([("0", seq)], "seq_id string, seq string"), ["seq_id"], k, stranded).compacted().materialised()
+    c = contigs(spark, seq, seq[17:80], seq[60:])
+    w = walk.embed(c, g, broadcast_nodes=0)[0]
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(w) == rows(walk.embed(c, g)[0])
+    small = encode.greedy(w, g, params)
+    assert rows(encode.greedy(w, g, params, 0)) == rows(small)
+    assert rows(encode.decode(small, g, 0)) == rows(encode.decode(small, g)) == rows(w.select("seq_id", "contig_idx", "step", "nid"))
+
+
+def test_shortest_paths(spark):
+    edges = spark.createDataFrame([(0, 1), (0, 2), (1, 3), (2, 3), (3, 0), (3, 4), (5, 5)], "src long, dst long")
+    pairs = spark.createDataFrame([(0, 4), (0, 0), (5, 5), (4, 0), (3, 4)], "src long, dst long")
+    got = {}
+    for r in paths.shortest(edges, pairs).orderBy("i").collect():
+        got.setdefault((r.src, r.dst), []).append(r.nid)
+    assert got == {(0, 4): [1, 3, 4], (0, 0): [1, 3, 0], (5, 5): [5], (3, 4): [4]}
+
+
+def test_long_sequence(spark):
+    """A sequence of many chunks gives the k-mers of its whole, and a walk of it numbers them in order over blocks."""
+    rng = random.Random(6)
+    seq = "".join(rng.choices("ACGT", k=40_000)) + "N" + "".join(rng.choices("ACGT", k=20_000))
+    rows = positional_kmers(spark.createDataFrame([("a", seq), ("b", "ACG"), ("c", "")], "seq_id string, seq string"), 13, True).where("seq_id = 'a'").orderBy("pos").collect()
+    back = seq[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    n = len(seq)
+    assert [(r.pos, r.kmer, r.canon) for r in rows] == [(i, seq[i : i + 13], min(seq[i : i + 13], back[n - i - 13 : n - i])) for i in range(n - 12)]
+    numbers = row_numbers(spark.range(0, 3000, 3).selectExpr("'a' as key", "id"), ["key"], "id", "step", 64)
+    assert sorted((r.id, r.step) for r in numbers.collect()) == [(3 * i, i) for i in range(1000)]
+
+
+def test_packing_bases(spark):
+    seqs = ["", "A", "ACTG", "GGTCA", "ACGT" * 9 + "C"]
+    df = spark.createDataFrame([(s,) for s in seqs], "s string").select("s", S.pack_bases(F.col("s")).alias("b")).select("s", "b", S.unpack_bases(F.col("b"), F.length("s")).alias("back"))
+    for r in df.collect():
+        assert r.back == r.s and len(r.b) == -(-len(r.s) // 4)
+    with pytest.raises(Exception, match="31"):
+        spark.createDataFrame([("A" * 32,)], "s string").select(S.pack(F.col("s"))).collect()

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from strandloom import cli
+from strandloom import cli, session
 from strandloom.operators.graph import Graph
 from strandloom.plans import pipeline
 from strandloom.sources import fasta
@@ -36,3 +36,20 @@ def test_stream(spark, tmp_path):
     embed.encode_stream(stream, g, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out/trims")).first().status == "OK"
     assert spark.read.parquet(str(tmp_path / "out/extensions")).count() >= 1
+
+
+def test_ids_follow_the_file(spark, tmp_path):
+    (tmp_path / "u.fa").write_text(">0\nAACCG\n>2\nCATGA\n>10\nTTGCA\n")
+    g = pipeline.build(spark, str(tmp_path / "u.fa"), str(tmp_path / "g"), 4, True)
+    assert [r.seq for r in g.unitigs.orderBy("id").collect()] == ["AACCG", "CATGA", "TTGCA"]
+    cli.main(["stats-g", "-g", str(tmp_path / "g")])
+    assert [r.line for r in g.printed().collect()] == ["Node 0: AACCG", "Node 1: CATGA", "Node 2: TTGCA"]
+
+
+def test_scratch(spark):
+    import os
+
+    with session.scratch(spark):
+        gone = session.materialise(spark.range(3), "gone").inputFiles()[0]
+        kept = session.materialise(spark.range(3), "kept", keep=True)
+    assert not os.path.exists(gone.removeprefix("file://")) and kept.count() == 3

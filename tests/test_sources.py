@@ -29,3 +29,7 @@ def test_tsv_and_logs(spark, tmp_path):
     (tmp_path / "log").write_text("R:10-3\nSP:12\nNN\n>x\n")
     assert sorted(tuple(r) for r in fasta.parse_extensions(spark.read.text(str(tmp_path / "log"))).collect()) == [("NN", 1), ("R", 10), ("SP", 12)]
     (tmp_path / "ls").write_text("-rw-r--r-- 1 u g 123 Jan 1 10:00 yeast8.k23.bin\ntotal 5\n")
+    assert [tuple(r) for r in fasta.parse_sizes(spark.read.text(str(tmp_path / "ls"))).collect()] == [(8, 23, "bin", 123)]
+    (tmp_path / "stats").write_text("yeast8.k23.bin nodes: 1,204 edges: 2_310 average length: 31.5\nno numbers here\nx4_k31 Edges 7, Nodes 5\n")
+    got = sorted(tuple(r) for r in fasta.parse_stats(spark.read.text(str(tmp_path / "stats"))).collect())
+    assert got == [(4, 31, 5, 7, None), (8, 23, 1204, 2310, 31.5)]
