@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strandloom.functions import seq as S
 from strandloom.operators import cluster, encode, paths, scaffold, walk
 from strandloom.operators.graph import Graph, positional_kmers
-from strandloom.session import materialise, table
+from strandloom.session import few_partitions, materialise, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -24,21 +24,25 @@ def query(sql: str | None = None):
     return put
 
 
-
 LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
 CYCLE = ("ACGT" * 7)[:26] * 2
 
-# Views: bases of the texts, gapped sequences of the texts, event strings by user, and these without gaps.
+# Views: bases of the texts, gapped sequences of the texts, event strings by user.
 DNA_SQL = "SELECT doc_id, regexp_replace(translate(text, 'acgt', 'ACGT'), '[^ACGT]', '', 'g') AS seq FROM documents"
 SCAF_SQL = f"SELECT doc_id::VARCHAR AS seq_id, regexp_replace(translate(replace(text, ' ', ''), '{LETTERS}', '{CYCLE}'), '[^ACGT]', 'N', 'g') AS seq FROM documents"
 _EVT = "string_agg(CASE event_type WHEN 'view' THEN 'A' WHEN 'click' THEN 'C' WHEN 'signup' THEN 'T' WHEN 'purchase' THEN 'G' ELSE 'N' END, '' ORDER BY ts, event_id)"
-EVT_SQL = f"SELECT user_id::VARCHAR AS seq_id, 0 AS contig_idx, {_EVT} AS seq FROM events GROUP BY user_id"
-EVT0_SQL = f"SELECT user_id::VARCHAR AS seq_id, 0 AS contig_idx, {_EVT} AS seq FROM events WHERE event_type <> 'error' GROUP BY user_id"
+EVT_SQL = f"SELECT user_id::VARCHAR AS seq_id, {_EVT} AS seq FROM events GROUP BY user_id"
+
+
+def _contigs_sql(k):
+    """(seq_id, contig_idx, seq, cid) of the event strings: stretches without N of at least k bases; cid names both ids."""
+    pieces = f"SELECT seq_id, unnest(string_split(seq, 'N')) AS seq, generate_subscripts(string_split(seq, 'N'), 1) AS i FROM ({EVT_SQL})"
+    return f"SELECT *, seq_id || '/' || contig_idx AS cid FROM (SELECT seq_id, (row_number() OVER (PARTITION BY seq_id ORDER BY i) - 1)::INT AS contig_idx, seq FROM ({pieces}) WHERE length(seq) >= {k})"
 
 
 def _spread(spark, df, key):
-    """One file is one row group, so rows are dealt out before they are exploded."""
-    return df.repartition(spark.sparkContext.defaultParallelism * 2, key)
+    """Rows dealt out before they are exploded, where the scan has fewer tasks than there are cores (one file here is one row group)."""
+    return df.repartition(spark.sparkContext.defaultParallelism * 2, key) if few_partitions(df) else df
 
 
 def dna(spark, sf_dir):
@@ -51,18 +55,20 @@ def gapped(spark, sf_dir):
     return docs.select(F.col("doc_id").cast("string").alias("seq_id"), F.regexp_replace(F.translate(F.replace("text", F.lit(" "), F.lit("")), LETTERS, CYCLE), "[^ACGT]", "N").alias("seq"))
 
 
-def event_strings(spark, sf_dir, gaps=False):
+def event_strings(spark, sf_dir):
+    """(seq_id, seq): one base an event in order of time, N for errors."""
     e = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type")
-    if not gaps:
-        e = e.where("event_type <> 'error'")
     code = F.coalesce(*[F.when(F.col("event_type") == t, c) for t, c in (("view", "A"), ("click", "C"), ("signup", "T"), ("purchase", "G"))], F.lit("N"))
     e = e.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", code.alias("c")))).alias("x"))
-    return e.select(F.col("user_id").cast("string").alias("seq_id"), F.lit(0).alias("contig_idx"), F.array_join(F.transform("x", lambda x: x["c"]), "").alias("seq"))
+    return e.select(F.col("user_id").cast("string").alias("seq_id"), F.array_join(F.transform("x", lambda x: x["c"]), "").alias("seq"))
+
+
+def event_contigs(spark, sf_dir, k):
+    return scaffold.contigs(event_strings(spark, sf_dir), k).select("seq_id", "contig_idx", "seq")
 
 
 def event_graph(spark, sf_dir, k, stranded=True, multiplicity=1):
-    seqs = event_strings(spark, sf_dir).select("seq_id", "seq")
-    return Graph.from_sequences(seqs, ["seq_id"], k, stranded, multiplicity).materialised()
+    return Graph.from_sequences(event_strings(spark, sf_dir), ["seq_id"], k, stranded, multiplicity).materialised()
 
 
 def _kmers_sql(source, k, keep="doc_id"):
@@ -84,14 +90,15 @@ edges AS MATERIALIZED (SELECT o.nid AS src, e.nid AS dst, c.code AS base FROM on
 
 @query(f"SELECT kmer, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, least(kmer, {RC.format('kmer')}) AS kmer FROM {_kmers_sql(DNA_SQL, 7)}) GROUP BY kmer")
 def canonical_kmer_spectrum(spark, sf_dir):
-    k = dna(spark, sf_dir).select("doc_id", F.explode(S.kmers(F.col("seq"), 7)).alias("kmer"))
-    per_doc = k.select("doc_id", S.canonical(F.col("kmer")).alias("kmer")).groupBy("kmer", "doc_id").count()
+    k = positional_kmers(dna(spark, sf_dir), 7, True)
+    per_doc = k.groupBy(F.col("canon").alias("kmer"), "doc_id").count()
     return per_doc.groupBy("kmer").agg(F.sum("count").alias("n"), F.count("*").alias("docs"))
 
 
 @query(f"SELECT kmer, count(*) AS n FROM {_kmers_sql(SCAF_SQL, 11, 'seq_id')} WHERE NOT contains(kmer, 'N') GROUP BY kmer")
 def stranded_kmer_spectrum(spark, sf_dir):
-    return positional_kmers(gapped(spark, sf_dir), 11).where("kmer not like '%N%'").groupBy("kmer").agg(F.count("*").alias("n"))
+    pieces = gapped(spark, sf_dir).select(F.explode(F.split("seq", "N")).alias("seq"))
+    return positional_kmers(pieces, 11).groupBy("kmer").agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT kmer, count(DISTINCT doc_id) AS docs FROM {_kmers_sql(DNA_SQL, 5)} GROUP BY kmer")
@@ -130,10 +137,9 @@ def kmer_end_index(spark, sf_dir):
     return Graph.from_sequences(dna(spark, sf_dir), ["doc_id"], 7, False).ends()
 
 
-@query(f"SELECT side, kmer, count(*) AS n FROM (SELECT 'L' AS side, left(seq, 5) AS kmer FROM ({EVT0_SQL}) WHERE length(seq) >= 5 UNION ALL SELECT 'R', right(seq, 5) FROM ({EVT0_SQL}) WHERE length(seq) >= 5) GROUP BY side, kmer HAVING count(*) > 1")
+@query(f"SELECT side, kmer, count(*) AS n FROM (SELECT 'L' AS side, left(seq, 5) AS kmer FROM ({_contigs_sql(5)}) UNION ALL SELECT 'R', right(seq, 5) FROM ({_contigs_sql(5)})) GROUP BY side, kmer HAVING count(*) > 1")
 def duplicate_end_check(spark, sf_dir):
-    seqs = event_strings(spark, sf_dir).where("length(seq) >= 5")
-    return Graph.from_unitigs(seqs, ["seq_id"], 5, True).duplicate_ends()
+    return Graph.from_unitigs(event_contigs(spark, sf_dir, 5), ["seq_id", "contig_idx"], 5, True).duplicate_ends()
 
 
 @query(f"WITH {_nodes_sql(DNA_SQL, 7, False, 'doc_id')} FROM edges")
@@ -154,7 +160,7 @@ def graph_stats(spark, sf_dir):
 
 
 def _neighbours_sql(first, side, expr):
-    return f"""WITH {_nodes_sql(EVT0_SQL, 5, False, 'seq_id')}, f AS (SELECT o.nid, c.code, e.nid AS hit FROM onodes AS o, (VALUES ('A', 0), ('C', 1), ('T', 2), ('G', 3)) AS c(b, code) JOIN ends AS e ON e.side = '{side}' AND e.kmer = {expr})
+    return f"""WITH {_nodes_sql(EVT_SQL, 5, False, 'seq_id')}, f AS (SELECT o.nid, c.code, e.nid AS hit FROM onodes AS o, (VALUES ('A', 0), ('C', 1), ('T', 2), ('G', 3)) AS c(b, code) JOIN ends AS e ON e.side = '{side}' AND e.kmer = {expr})
 SELECT onodes.nid, coalesce(string_agg(hit::VARCHAR, ',' ORDER BY code), '') AS neighbours FROM onodes LEFT JOIN f USING (nid) GROUP BY onodes.nid"""
 
 
@@ -168,12 +174,12 @@ def node_neighbors_left(spark, sf_dir):
     return event_graph(spark, sf_dir, 5, False).neighbours("L")
 
 
-_WALK = f"WITH {_nodes_sql(EVT0_SQL, 4, True, 'seq_id')}, walk AS (SELECT seq_id, 0 AS contig_idx, pos AS step, pos, nid FROM {_kmers_sql(EVT0_SQL, 4, 'seq_id')} JOIN ends USING (kmer) WHERE side = 'L')"
+_WALK = f"WITH {_nodes_sql(EVT_SQL, 4, True, 'seq_id')}, walk AS MATERIALIZED (SELECT seq_id, contig_idx, cid, pos AS step, pos, nid FROM {_kmers_sql(_contigs_sql(4), 4, 'seq_id, contig_idx, cid')} JOIN ends USING (kmer) WHERE side = 'L')"
 
 
 def _walks(spark, sf_dir, k=4):
     g = event_graph(spark, sf_dir, k)
-    return g, materialise(walk.walk(event_strings(spark, sf_dir), g), "walks")
+    return g, materialise(walk.walk(materialise(event_contigs(spark, sf_dir, k), "contigs"), g), "walks")
 
 
 @query(f"{_WALK} SELECT seq_id, contig_idx, step::INT AS step, pos::INT AS pos, nid FROM walk")
@@ -181,13 +187,13 @@ def sequence_walk(spark, sf_dir):
     return _walks(spark, sf_dir)[1]
 
 
-@query(f"SELECT seq_id, seq AS spelled FROM ({EVT0_SQL}) WHERE length(seq) >= 4")
+@query(f"SELECT seq_id, contig_idx, seq AS spelled FROM ({_contigs_sql(4)})")
 def walk_spell_roundtrip(spark, sf_dir):
     g, w = _walks(spark, sf_dir)
-    return walk.spell(w, g).select("seq_id", "spelled")
+    return walk.spell(w, g)
 
 
-_UNITIGS = f"""WITH RECURSIVE {_nodes_sql(EVT0_SQL, 5, True, 'seq_id', 2)},
+_UNITIGS = f"""WITH RECURSIVE {_nodes_sql(EVT_SQL, 5, True, 'seq_id', 2)},
 joints AS (SELECT src, dst FROM edges WHERE src <> dst AND src IN (SELECT src FROM edges GROUP BY src HAVING count(*) = 1) AND dst IN (SELECT dst FROM edges GROUP BY dst HAVING count(*) = 1)),
 fwd AS (SELECT nid AS head, nid AS cur, seq FROM onodes WHERE nid NOT IN (SELECT dst FROM joints) UNION ALL SELECT head, dst, fwd.seq || right(o.seq, 1) FROM fwd JOIN joints ON cur = src JOIN onodes AS o ON o.nid = dst),
 open_ AS (SELECT head, max_by(seq, length(seq)) AS seq, min(cur) AS low FROM fwd GROUP BY head),
@@ -201,10 +207,9 @@ def unitigs(spark, sf_dir):
     return event_graph(spark, sf_dir, 5, True, 2).compacted().unitigs
 
 
-_CONTIGS5 = f"SELECT seq_id, contig_idx, seq FROM ({EVT0_SQL})"
 _OFFSETS = f"""{_UNITIGS},
-q AS ({_CONTIGS5}), nodes AS (SELECT row_number() OVER (ORDER BY low, seq) - 1 AS id, seq AS node, length(seq) AS len FROM compact),
-p AS (SELECT seq_id, pos, kmer FROM {_kmers_sql(EVT0_SQL, 5, 'seq_id')}),
+q AS MATERIALIZED (SELECT cid AS seq_id, seq, seq_id AS sid, contig_idx FROM ({_contigs_sql(1)})), nodes AS MATERIALIZED (SELECT row_number() OVER (ORDER BY low, seq) - 1 AS id, seq AS node, length(seq) AS len FROM compact),
+p AS MATERIALIZED (SELECT seq_id, pos, kmer FROM {_kmers_sql('SELECT seq_id, seq FROM q', 5, 'seq_id')}),
 l AS (SELECT seq_id, pos, len, node FROM p JOIN nodes ON kmer = left(node, 5)),
 z AS (SELECT seq_id FROM l WHERE pos = 0),
 r AS (SELECT seq_id, min(pos) AS pos, arg_min(node, pos) AS node FROM p JOIN nodes ON kmer = right(node, 5) WHERE seq_id NOT IN (FROM z) GROUP BY seq_id),
@@ -215,20 +220,20 @@ chain AS (SELECT seq_id, min(pos) AS cur FROM c GROUP BY seq_id UNION ALL SELECT
 g AS (SELECT c.* FROM c SEMI JOIN chain ON c.seq_id = chain.seq_id AND c.pos = chain.cur),
 m AS (SELECT seq_id, min(pos) AS first, max(pos) AS last_pos, max_by(len, pos) AS last_len, max_by(next, pos) AS last_next, count(*) AS n_nodes,
   bool_and(substr(seq, greatest(pos, 0) + 1, least(len + least(pos, 0), length(seq) - greatest(pos, 0))) = substr(node, 1 - least(pos, 0), least(len + least(pos, 0), length(seq) - greatest(pos, 0)))) AS equal FROM g JOIN q USING (seq_id) GROUP BY seq_id),
-s AS (SELECT q.seq_id, q.contig_idx, CASE WHEN length(seq) < 5 THEN 'TOO_SHORT' WHEN n_nodes IS NULL THEN 'INSIDE_NODE' WHEN NOT equal THEN 'UNITIG_NOT_MATCHING' WHEN last_next + 5 <= length(seq) THEN 'KMER_NOT_FOUND' ELSE 'OK' END AS status,
+s AS (SELECT q.sid AS seq_id, q.contig_idx, CASE WHEN length(seq) < 5 THEN 'TOO_SHORT' WHEN n_nodes IS NULL THEN 'INSIDE_NODE' WHEN NOT equal THEN 'UNITIG_NOT_MATCHING' WHEN last_next + 5 <= length(seq) THEN 'KMER_NOT_FOUND' ELSE 'OK' END AS status,
   greatest(-first, 0) AS start_offset, last_pos + last_len - length(seq) AS end_offset, n_nodes FROM q LEFT JOIN m USING (seq_id))"""
 
 
 @query(f"{_OFFSETS} SELECT seq_id, contig_idx, CASE WHEN status = 'OK' THEN start_offset END::INT AS start_offset, CASE WHEN status = 'OK' THEN end_offset END::INT AS end_offset, CASE WHEN status = 'OK' THEN n_nodes END AS n_nodes FROM s")
 def walk_offsets(spark, sf_dir):
     g = event_graph(spark, sf_dir, 5, True, 2).compacted().materialised()
-    return walk.offsets(event_strings(spark, sf_dir), g).drop("status")
+    return walk.offsets(materialise(event_contigs(spark, sf_dir, 1), "contigs"), g).drop("status")
 
 
 @query(f"{_OFFSETS} SELECT status, count(*) AS n FROM s GROUP BY status")
 def walk_errors(spark, sf_dir):
     g = event_graph(spark, sf_dir, 5, True, 2).compacted().materialised()
-    return walk.offsets(event_strings(spark, sf_dir), g).groupBy("status").agg(F.count("*").alias("n"))
+    return walk.offsets(materialise(event_contigs(spark, sf_dir, 1), "contigs"), g).groupBy("status").agg(F.count("*").alias("n"))
 
 
 _K = 31
@@ -260,43 +265,63 @@ def scaffold_roundtrip(spark, sf_dir):
     return scaffold.assemble(scaffold.contigs(seqs, _K), scaffold.gaps_exact(seqs, _K))
 
 
-@query(f"WITH RECURSIVE {_nodes_sql(EVT0_SQL, 4, True, 'seq_id')}, b AS (SELECT src, dst AS nid, 1 AS dist FROM edges UNION SELECT b.src, e.dst, dist + 1 FROM b JOIN edges AS e ON e.src = b.nid WHERE dist < 6) SELECT src, nid, min(dist) AS dist FROM b GROUP BY src, nid")
+@query(f"WITH RECURSIVE {_nodes_sql(EVT_SQL, 4, True, 'seq_id')}, b AS (SELECT src, dst AS nid, 1 AS dist FROM edges UNION SELECT b.src, e.dst, dist + 1 FROM b JOIN edges AS e ON e.src = b.nid WHERE dist < 6) SELECT src, nid, min(dist) AS dist FROM b GROUP BY src, nid")
 def bfs_distance(spark, sf_dir):
     g = event_graph(spark, sf_dir, 4)
-    return paths.bfs(g.edges(), g.oriented(), 6).select("src", "nid", "dist")
+    return paths.bfs(g.edge_table(), g.oriented(), 6).select("src", "nid", "dist")
+
+
+#: The SQL searches to this depth; the queries search until nothing new is reached.
+_DEPTH = 24
+_PATHS = f"""{_WALK.replace('WITH raw', 'WITH RECURSIVE raw', 1)}, b AS (SELECT src, dst AS nid, 1 AS dist, 1::HUGEINT AS ways FROM (SELECT src, dst FROM edges WHERE src IN (SELECT nid FROM walk))
+  UNION ALL SELECT src, nid, dist, ways FROM (SELECT f.src, e.dst AS nid, f.dist + 1 AS dist, sum(f.ways)::HUGEINT AS ways FROM b AS f JOIN edges AS e ON e.src = f.nid WHERE f.dist < {_DEPTH} GROUP BY f.src, e.dst, f.dist)),
+dist AS MATERIALIZED (SELECT src, nid, min(dist) AS dist, arg_min(ways, dist) AS ways FROM b GROUP BY src, nid),
+pairs AS MATERIALIZED (SELECT seq_id, contig_idx, a.nid AS src, z.nid AS dst FROM walk AS a JOIN (SELECT cid, max_by(nid, step) AS nid FROM walk GROUP BY cid) AS z USING (cid) WHERE a.step = 0)"""
 
 
-_PATHS = f"""{_WALK.replace('WITH raw', 'WITH RECURSIVE raw', 1)}, b AS (SELECT src, dst AS nid, 1 AS dist, 1::HUGEINT AS ways FROM (SELECT src, dst FROM edges)
-  UNION ALL SELECT src, nid, dist, ways FROM (SELECT f.src, e.dst AS nid, f.dist + 1 AS dist, sum(f.ways)::HUGEINT AS ways FROM b AS f JOIN edges AS e ON e.src = f.nid WHERE f.dist < 5 GROUP BY f.src, e.dst, f.dist)),
-dist AS (SELECT src, nid, min(dist) AS dist, arg_min(ways, dist) AS ways FROM b GROUP BY src, nid)"""
+def _ends(w):
+    return w.groupBy("seq_id", "contig_idx").agg(F.min_by("nid", "step").alias("src"), F.max_by("nid", "step").alias("dst"))
 
 
-@query(f"{_PATHS} SELECT seq_id, a.nid AS src, z.nid AS dst, dist, ways::BIGINT AS n_paths FROM walk AS a JOIN (SELECT seq_id, max_by(nid, step) AS nid FROM walk GROUP BY seq_id) AS z USING (seq_id) LEFT JOIN dist ON dist.src = a.nid AND dist.nid = z.nid WHERE a.step = 0")
+@query(f"{_PATHS} SELECT seq_id, contig_idx, pairs.src, dst, dist, ways::BIGINT AS n_paths FROM pairs LEFT JOIN dist ON dist.src = pairs.src AND dist.nid = dst")
 def shortest_path_pairs(spark, sf_dir):
     g, w = _walks(spark, sf_dir)
-    ends = w.groupBy("seq_id").agg(F.min_by("nid", "step").alias("src"), F.max_by("nid", "step").alias("dst"))
-    dist = paths.bfs(g.edges(), ends.select(F.col("src").alias("nid")), 5).withColumnRenamed("nid", "dst")
-    return ends.join(dist, ["src", "dst"], "left").select("seq_id", "src", "dst", "dist", F.col("n_paths").cast("bigint").alias("n_paths"))
+    ends = materialise(_ends(w), "ends")
+    dist = paths.bfs(g.edge_table(), ends.select(F.col("src").alias("nid"))).withColumnRenamed("nid", "dst")
+    return ends.join(dist, ["src", "dst"], "left").select("seq_id", "contig_idx", "src", "dst", "dist", F.col("n_paths").cast("bigint").alias("n_paths"))
 
 
-@query(f"""{_PATHS}, j AS (SELECT a.seq_id, a.contig_idx, a.step, z.step - a.step AS j, z.step - a.step = 1 OR coalesce(dist = z.step - a.step AND ways = 1, false) AS good FROM walk AS a JOIN walk AS z ON a.seq_id = z.seq_id AND z.step BETWEEN a.step + 1 AND a.step + 5 LEFT JOIN dist ON dist.src = a.nid AND dist.nid = z.nid),
-n AS (SELECT seq_id, contig_idx, step, coalesce(min(j) FILTER (NOT good) - 1, max(j)) AS length FROM j GROUP BY seq_id, contig_idx, step)
-SELECT n.seq_id, n.contig_idx, n.step::INT AS step, walk.nid AS target, length::INT AS length FROM n JOIN walk ON walk.seq_id = n.seq_id AND walk.step = n.step + n.length""")
+@query(f"""{_PATHS}, back AS (SELECT DISTINCT pairs.src, dst, dist AS i, dst AS nid FROM pairs JOIN dist ON dist.src = pairs.src AND dist.nid = dst
+  UNION ALL SELECT r.src, r.dst, r.i - 1, min(d.nid) FROM back AS r JOIN edges AS e ON e.dst = r.nid JOIN dist AS d ON d.src = r.src AND d.nid = e.src AND d.dist = r.i - 1 WHERE r.i > 1 GROUP BY r.src, r.dst, r.i)
+SELECT src, dst, i, nid FROM back""")
+def shortest_path_nodes(spark, sf_dir):
+    g, w = _walks(spark, sf_dir)
+    return paths.shortest(g.edge_table(), _ends(w))
+
+
+def _prefix_sql(most):
+    return f"""j AS (SELECT a.cid, a.step, z.step - a.step AS j, z.step - a.step = 1 OR coalesce(dist = z.step - a.step AND ways = 1, false) AS good FROM walk AS a JOIN walk AS z ON a.cid = z.cid AND z.step BETWEEN a.step + 1 AND a.step + {most} LEFT JOIN dist ON dist.src = a.nid AND dist.nid = z.nid),
+n AS MATERIALIZED (SELECT cid, step, coalesce(min(j) FILTER (NOT good) - 1, max(j)) AS length FROM j GROUP BY cid, step)"""
+
+
+@query(f"{_PATHS}, {_prefix_sql(5)} SELECT w.seq_id, w.contig_idx, n.step::INT AS step, w.nid AS target, length::INT AS length FROM n JOIN walk AS w ON w.cid = n.cid AND w.step = n.step + n.length")
 def unique_shortest_prefix(spark, sf_dir):
     g, w = _walks(spark, sf_dir)
-    return paths.unique_prefix(w, g.edges(), 5)
+    return paths.unique_prefix(w, g.edge_table(), 5)
 
 
 _REP = 3
-_LZ = f"""{_WALK.replace('WITH raw', 'WITH RECURSIVE raw', 1)}, same AS (SELECT a.seq_id, a.step AS p, o, b.nid = a.nid AS eq FROM walk AS a, range(0, 256) AS r(o) JOIN walk AS b ON b.seq_id = a.seq_id AND b.step = a.step - 1 - o),
-isl AS (SELECT *, row_number() OVER (PARTITION BY seq_id, o ORDER BY p) - row_number() OVER (PARTITION BY seq_id, o, eq ORDER BY p) AS g FROM same),
-len AS (SELECT seq_id, o, p, max(p) OVER (PARTITION BY seq_id, o, eq, g) - p + 1 AS run FROM isl WHERE eq),
-best AS (SELECT seq_id, p, max(run) AS run, arg_min(o, (-run, o)) AS o FROM len GROUP BY seq_id, p HAVING max(run) >= {_REP}),
-pick AS (SELECT seq_id, 0::BIGINT AS fin, -1::BIGINT AS p, 0::BIGINT AS run, 0::BIGINT AS o FROM (SELECT DISTINCT seq_id FROM walk)
-  UNION ALL SELECT seq_id, p + run, p, run, o FROM (SELECT b.seq_id, b.p, b.run, b.o, row_number() OVER (PARTITION BY b.seq_id ORDER BY b.p) AS r FROM pick JOIN best AS b ON b.seq_id = pick.seq_id AND b.p >= greatest(pick.fin, 1)) WHERE r = 1)"""
+_LZ_STEPS = f"""same AS (SELECT a.cid, a.step AS p, o, b.nid = a.nid AS eq FROM walk AS a, range(0, 256) AS r(o) JOIN walk AS b ON b.cid = a.cid AND b.step = a.step - 1 - o),
+isl AS (SELECT *, row_number() OVER (PARTITION BY cid, o ORDER BY p) - row_number() OVER (PARTITION BY cid, o, eq ORDER BY p) AS g FROM same),
+len AS (SELECT cid, o, p, max(p) OVER (PARTITION BY cid, o, eq, g) - p + 1 AS run FROM isl WHERE eq),
+best AS (SELECT cid, p, max(run) AS run, arg_min(o, (-run, o)) AS o FROM len GROUP BY cid, p HAVING max(run) >= {_REP}),
+pick AS (SELECT cid, 0::BIGINT AS fin, -1::BIGINT AS p, 0::BIGINT AS run, 0::BIGINT AS o FROM (SELECT DISTINCT cid FROM walk)
+  UNION ALL SELECT cid, p + run, p, run, o FROM (SELECT b.cid, b.p, b.run, b.o, row_number() OVER (PARTITION BY b.cid ORDER BY b.p) AS r FROM pick JOIN best AS b ON b.cid = pick.cid AND b.p >= greatest(pick.fin, 1)) WHERE r = 1)"""
+_LZ = f"{_WALK.replace('WITH raw', 'WITH RECURSIVE raw', 1)}, {_LZ_STEPS}"
+_IDS = "split_part(cid, '/', 1) AS seq_id, split_part(cid, '/', 2)::INT AS contig_idx"
 
 
-@query(f"{_LZ} SELECT seq_id, 0 AS contig_idx, p::INT AS pos, run::INT AS run, o::INT AS \"offset\" FROM pick WHERE run > 0")
+@query(f"{_LZ} SELECT {_IDS}, p::INT AS pos, run::INT AS run, o::INT AS \"offset\" FROM pick WHERE run > 0")
 def lz_repetitions(spark, sf_dir):
     return encode.repetitions(_walks(spark, sf_dir)[1], encode.Params(min_rep=_REP))
 
@@ -306,23 +331,77 @@ def basic_encoding(spark, sf_dir):
     return encode.basic(_walks(spark, sf_dir)[1]).select("seq_id", "contig_idx", F.array_join(F.col("nids").cast("array<string>"), ",").alias("nids"))
 
 
-@query(f"SELECT seq_id, seq AS decoded FROM ({EVT0_SQL}) WHERE length(seq) >= 4")
+@query(f"SELECT seq_id, contig_idx, seq AS decoded FROM ({_contigs_sql(4)})")
 def greedy_encode_roundtrip(spark, sf_dir):
     g, w = _walks(spark, sf_dir)
-    ext = materialise(encode.greedy(w, g, encode.Params(min_sp=3, min_rep=_REP)), "extensions")
-    return walk.spell(encode.decode(ext, g), g).select("seq_id", F.col("spelled").alias("decoded"))
+    ext = materialise(encode.greedy(w, g, encode.Params(min_sp=_SP, min_rep=_REP)), "extensions")
+    return walk.spell(encode.decode(ext, g), g).withColumnRenamed("spelled", "decoded")
+
+
+# The encoder's steps: from each step of a walk the next move, and the moves that are met from step 0 on.
+_SP = 3
+_GREEDY = f"""{_PATHS}, {_prefix_sql(100)}, {_LZ_STEPS},
+size AS (SELECT cid, max(step) + 1 AS n FROM walk GROUP BY cid),
+ahead AS (SELECT w.cid, w.step, w.nid, size.n, min(pick.p) AS p FROM walk AS w JOIN size USING (cid) LEFT JOIN pick ON pick.cid = w.cid AND pick.run > 0 AND pick.p > w.step GROUP BY w.cid, w.step, w.nid, size.n),
+move AS MATERIALIZED (SELECT a.cid, a.step, CASE WHEN a.p = a.step + 1 THEN 'R' WHEN least(length, coalesce(a.p, a.n) - 1 - a.step) >= {_SP} THEN 'TN' ELSE 'NN' END AS kind,
+  CASE WHEN a.p = a.step + 1 THEN k.run ELSE least(length, coalesce(a.p, a.n) - 1 - a.step) END AS adv, k.o FROM ahead AS a JOIN n ON n.cid = a.cid AND n.step = a.step LEFT JOIN pick AS k ON k.cid = a.cid AND k.p = a.p AND k.run > 0),
+met AS (SELECT cid, 0::BIGINT AS step FROM size UNION ALL SELECT met.cid, met.step + adv FROM met JOIN move ON move.cid = met.cid AND move.step = met.step),
+moves AS MATERIALIZED (SELECT move.* FROM met JOIN move ON move.cid = met.cid AND move.step = met.step)"""
 
 
-@query()
+@query(f"""{_GREEDY}, rows AS (SELECT kind, CASE kind WHEN 'NN' THEN adv ELSE 1 END AS e, adv AS c FROM moves UNION ALL SELECT 'TN', 1, 1 FROM size),
+per AS (SELECT k.kind, coalesce(sum(e), 0) AS extensions, coalesce(sum(c), 0) AS nodes FROM (VALUES ('TN'), ('NN'), ('R')) AS k(kind) LEFT JOIN rows USING (kind) GROUP BY k.kind),
+both_ AS (FROM per UNION ALL SELECT 'total', sum(extensions), sum(nodes) FROM per) SELECT kind, extensions::BIGINT AS extensions, nodes::BIGINT AS nodes, 100 * nodes / max(nodes) OVER () AS percent FROM both_""")
 def encoding_stats(spark, sf_dir):
     g, w = _walks(spark, sf_dir)
-    return encode.stats_table(encode.greedy(w, g, encode.Params(min_sp=3, min_rep=_REP)), w)
+    return encode.stats_table(encode.greedy(w, g, encode.Params(min_sp=_SP, min_rep=_REP)), w)
 
 
-@query()
+@query(f"""{_GREEDY}, node AS (SELECT cid, step, 'TN(Node(' || CASE WHEN nid % 2 = 0 THEN '+' ELSE '-' END || nid // 2 || '))' AS line FROM walk),
+said AS (SELECT cid, -1 AS step, line FROM node WHERE step = 0 UNION ALL SELECT m.cid, m.step, line FROM moves AS m JOIN node ON node.cid = m.cid AND node.step = m.step + adv WHERE kind = 'TN'
+  UNION ALL SELECT cid, step, 'R(' || adv || '-' || o || ')' FROM moves WHERE kind = 'R'
+  UNION ALL SELECT a.cid, a.step, 'NN(' || min(base) || ')' FROM (SELECT cid, step + unnest(range(0, adv)) AS step FROM moves WHERE kind = 'NN') AS m JOIN walk AS a ON a.cid = m.cid AND a.step = m.step
+    JOIN walk AS z ON z.cid = a.cid AND z.step = a.step + 1 JOIN edges ON src = a.nid AND dst = z.nid GROUP BY a.cid, a.step)
+SELECT {_IDS}, row_number() OVER (PARTITION BY cid ORDER BY step) - 1 AS ext_idx, line FROM said""")
 def greedy_log(spark, sf_dir):
     g, w = _walks(spark, sf_dir)
-    return encode.log_lines(encode.greedy(w, g, encode.Params(min_sp=3, min_rep=_REP)))
+    return encode.log_lines(encode.greedy(w, g, encode.Params(min_sp=_SP, min_rep=_REP)))
+
+
+_KS = 15
+
+
+@query(f"SELECT seq_id, coalesce(string_agg(CASE WHEN length(piece) >= {_KS} THEN piece ELSE repeat('N', length(piece)) END, 'N' ORDER BY i), '') AS seq FROM (SELECT seq_id, unnest(string_split(seq, 'N')) AS piece, generate_subscripts(string_split(seq, 'N'), 1) AS i FROM ({SCAF_SQL})) GROUP BY seq_id")
+def scaffold_encode_roundtrip(spark, sf_dir):
+    """Gapped sequences to contigs, walks over their unitigs, extensions, and all the way back."""
+    seqs = materialise(gapped(spark, sf_dir), "gapped")
+    graph = Graph.from_sequences(seqs, ["seq_id"], _KS, True).compacted().materialised()
+    contigs = materialise(scaffold.contigs(seqs, _KS), "contigs")
+    walks, trims = walk.embed(contigs, graph)
+    ext = materialise(encode.greedy(materialise(walks, "walks"), graph), "extensions")
+    return scaffold.assemble(walk.extract(encode.decode(ext, graph), trims, graph), scaffold.gaps_exact(seqs, _KS))
+
+
+_LOOK = f"SELECT DISTINCT kmer FROM {_kmers_sql(EVT_SQL, 5, 'seq_id')} WHERE NOT contains(kmer, 'N')"
+
+
+def _looked_up(spark, sf_dir):
+    g = event_graph(spark, sf_dir, 5, True, 2).compacted().materialised()
+    kmers = positional_kmers(event_strings(spark, sf_dir), 5).where(~F.contains("kmer", F.lit("N"))).select("kmer").distinct()
+    return g, kmers
+
+
+@query(f"{_UNITIGS}, nodes AS (SELECT 2 * (row_number() OVER (ORDER BY low, seq) - 1) AS nid, seq AS node FROM compact), look AS ({_LOOK}) SELECT kmer, nid FROM look LEFT JOIN nodes ON kmer = left(node, 5)")
+def search_kmer(spark, sf_dir):
+    g, kmers = _looked_up(spark, sf_dir)
+    return g.search(kmers, "L")
+
+
+@query(f"""{_UNITIGS}, nodes AS (SELECT 2 * (row_number() OVER (ORDER BY low, seq) - 1) AS nid, seq AS node FROM compact), look AS ({_LOOK}),
+every AS (SELECT nid, i - 1 AS "offset", substr(node, i::INT, 5) AS kmer FROM nodes, LATERAL (SELECT unnest(range(1, length(node) - 3)) AS i)) SELECT kmer, nid, "offset"::INT AS "offset" FROM look LEFT JOIN every USING (kmer)""")
+def search_kmer_anywhere(spark, sf_dir):
+    g, kmers = _looked_up(spark, sf_dir)
+    return g.search_anywhere(kmers)
 
 
 # Extension rows by a rule from the events, for the operators that work on any extension list.
@@ -388,14 +467,14 @@ q AS (SELECT DISTINCT source AS query, kmer FROM k), r AS (SELECT DISTINCT lang
 m AS (SELECT n.query, n.reference, coalesce(common, 0) AS common, size, coalesce(common, 0) / size AS score FROM (SELECT query, size, reference FROM (SELECT query, count(*) AS size FROM q GROUP BY query), (SELECT DISTINCT reference FROM r)) AS n LEFT JOIN (SELECT query, reference, count(*) AS common FROM q JOIN r USING (kmer) GROUP BY query, reference) AS c USING (query, reference))"""
 
 
-def _containment(spark, sf_dir):
+def _containment(spark, sf_dir, zeros=False):
     x = _by_name(spark, sf_dir)
-    return cluster.containment(x.select("query", "seq"), x.select("reference", "seq"), 9)
+    return cluster.containment(x.select("query", "seq"), x.select("reference", "seq"), 9, zeros)
 
 
 @query(f"{_CONTAIN} FROM m")
 def containment_matrix(spark, sf_dir):
-    return _containment(spark, sf_dir)
+    return _containment(spark, sf_dir, True)
 
 
 @query(f"{_CONTAIN} SELECT query, first(reference ORDER BY score DESC, reference) AS reference, max(score) AS score FROM m GROUP BY query")
@@ -403,7 +482,7 @@ def best_cluster(spark, sf_dir):
     return cluster.best(_containment(spark, sf_dir))
 
 
-_GRAMS = f"{_WALK}, g AS (SELECT gram, genome, count(*) AS cnt FROM (SELECT seq_id AS genome, nid || '-' || lead(nid) OVER w || '-' || lead(nid, 2) OVER w AS gram FROM walk WINDOW w AS (PARTITION BY seq_id ORDER BY step)) WHERE gram IS NOT NULL GROUP BY gram, genome), c AS (SELECT gram, count(*) AS genomes, sum(cnt) AS total FROM g GROUP BY gram)"
+_GRAMS = f"{_WALK}, g AS (SELECT gram, genome, count(*) AS cnt FROM (SELECT seq_id AS genome, nid || '-' || lead(nid) OVER w || '-' || lead(nid, 2) OVER w AS gram FROM walk WINDOW w AS (PARTITION BY cid ORDER BY step)) WHERE gram IS NOT NULL GROUP BY gram, genome), c AS (SELECT gram, count(*) AS genomes, sum(cnt) AS total FROM g GROUP BY gram)"
 
 
 def _grams(spark, sf_dir):
