@@ -311,19 +311,25 @@ def unique_shortest_prefix(spark, sf_dir):
 
 
 _REP = 3
-_LZ_STEPS = f"""same AS (SELECT a.cid, a.step AS p, o, b.nid = a.nid AS eq FROM walk AS a, range(0, 256) AS r(o) JOIN walk AS b ON b.cid = a.cid AND b.step = a.step - 1 - o),
+_LZ_STEPS = f"""same AS (SELECT a.cid, a.step AS p, a.step - 1 - b.step AS o, b.nid = a.nid AS eq FROM walk AS a JOIN walk AS b ON b.cid = a.cid AND b.step < a.step AND b.step >= a.step - 256),
 isl AS (SELECT *, row_number() OVER (PARTITION BY cid, o ORDER BY p) - row_number() OVER (PARTITION BY cid, o, eq ORDER BY p) AS g FROM same),
 len AS (SELECT cid, o, p, max(p) OVER (PARTITION BY cid, o, eq, g) - p + 1 AS run FROM isl WHERE eq),
 best AS (SELECT cid, p, max(run) AS run, arg_min(o, (-run, o)) AS o FROM len GROUP BY cid, p HAVING max(run) >= {_REP}),
 pick AS (SELECT cid, 0::BIGINT AS fin, -1::BIGINT AS p, 0::BIGINT AS run, 0::BIGINT AS o FROM (SELECT DISTINCT cid FROM walk)
   UNION ALL SELECT cid, p + run, p, run, o FROM (SELECT b.cid, b.p, b.run, b.o, row_number() OVER (PARTITION BY b.cid ORDER BY b.p) AS r FROM pick JOIN best AS b ON b.cid = pick.cid AND b.p >= greatest(pick.fin, 1)) WHERE r = 1)"""
-_LZ = f"{_WALK.replace('WITH raw', 'WITH RECURSIVE raw', 1)}, {_LZ_STEPS}"
 _IDS = "split_part(cid, '/', 1) AS seq_id, split_part(cid, '/', 2)::INT AS contig_idx"
 
 
-@query(f"{_LZ} SELECT {_IDS}, p::INT AS pos, run::INT AS run, o::INT AS \"offset\" FROM pick WHERE run > 0")
+# Repetitions in what each user did, errors too: any list of numbers can have them.
+_ACTS = """WITH RECURSIVE walk AS MATERIALIZED (SELECT user_id::VARCHAR || '/0' AS cid, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS step, length(event_type) AS nid FROM events)"""
+
+
+@query(f"{_ACTS}, {_LZ_STEPS} SELECT {_IDS}, p::INT AS pos, run::INT AS run, o::INT AS \"offset\" FROM pick WHERE run > 0")
 def lz_repetitions(spark, sf_dir):
-    return encode.repetitions(_walks(spark, sf_dir)[1], encode.Params(min_rep=_REP))
+    e = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type")
+    step = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
+    acts = e.select(F.col("user_id").cast("string").alias("seq_id"), F.lit(0).alias("contig_idx"), step.alias("step"), F.length("event_type").cast("long").alias("nid"))
+    return encode.repetitions(acts, encode.Params(min_rep=_REP))
 
 
 @query(f"{_WALK} SELECT seq_id, contig_idx, string_agg(nid::VARCHAR, ',' ORDER BY step) AS nids FROM walk GROUP BY seq_id, contig_idx")
