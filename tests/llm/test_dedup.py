@@ -33,7 +33,41 @@ def test_exact_batches(spark):
     index.add(frame(spark, [(1, "a"), (2, "b")])).count()
     got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in index.add(frame(spark, [(9, "a "), (10, "c"), (11, "c")])).collect()}
     assert got == {9: (1, 2, False), 10: (10, 2, True), 11: (10, 2, False)}
-    assert index.read().count() == 3
+    assert index.view().count() == 3
+    # a third batch sees the rows of both before it
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in index.add(frame(spark, [(0, "a   "), (12, "c"), (13, "d")])).collect()}
+    assert got == {0: (1, 3, False), 12: (10, 3, False), 13: (13, 1, True)}
+    got = {r.keep_id: r.group_size for r in index.view("best").collect()}
+    assert got == {0: 3, 2: 1, 10: 3, 13: 1}
+    index.drop()
+    assert index.read() is None
+
+
+def test_exact_batch_repeated(spark):
+    """A batch that is added again, as after a failure past its append, gives the same rows and leaves the same index."""
+    index = exact_dedup.DigestIndex(spark, f"index_{uuid.uuid4().hex}", 4)
+    index.add(frame(spark, [(1, "a"), (2, "b")]), batch="x").count()
+    rows = [(5, "b"), (6, "c"), (7, "c"), (None, "c")]
+    runs = [sorted(map(str, index.add(frame(spark, rows), batch="y").collect())) for _ in range(2)]
+    assert runs[0] == runs[1] and sum("kept=True" in r for r in runs[0]) == 1
+    assert index.read().count() == 4 and {r.keep_id: r.group_size for r in index.view("first").collect()} == {1: 1, 2: 2, 6: 3}
+    again = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in index.add(frame(spark, [(1, "a"), (2, "b")]), batch="x").collect()}
+    assert again == {1: (1, 1, True), 2: (2, 2, True)}
+    index.drop()
+
+
+@pytest.mark.parametrize("batches", [1, 2, 3])
+def test_exact_in_batches(spark, batches):
+    rng = random.Random(9)
+    rows = [(i, rng.choice("abc") * rng.randrange(1, 4) + " " * rng.randrange(3)) for i in range(60)] + [(None, "a"), (7, "zz"), (7, "zz")]
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(t.replace(" ", ""), []).append((-len(t), i is None, i or 0))
+    got = exact_dedup.dedup(frame(spark, rows), batches).collect()
+    assert len(got) == len(rows) and sum(r.kept for r in got) == len(groups)
+    expect = {hashlib.sha256(t.encode()).hexdigest(): (min(g)[2], len(g)) for t, g in groups.items()}
+    assert {r.text_sha256: (r.keep_id, r.group_size) for r in got} == expect
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("digest_index")]
 
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
