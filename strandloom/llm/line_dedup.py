@@ -2,7 +2,7 @@
 
 A line is normalised (lower case, white space as single spaces) and read as words; two lines match when one word
 replaced, added or removed turns one into the other, or when they are equal. Lines of under `least` words match equal lines
-only, and those of under `exact` words (by default `least`) never match. Empty lines stay, whatever `exact` is.
+only, and those of under `exact` words (by default `least`) never match; the query has exact=1, so that equal lines of any length meet. Empty lines stay, whatever `exact` is.
 
 1. Equal lines are collapsed to their earliest occurrence by 128-bit hashes (partial sums first, so a hot line is cheap).
 2. One edit leaves the first or the second half of a pair untouched, so only lines that share a half with another distinct
@@ -12,6 +12,9 @@ only, and those of under `exact` words (by default `least`) never match. Empty l
    costs a subtraction. Equal variants meet in an aggregation that keeps the earliest line, never pairs within a group.
 4. The earliest match is verified word by word, and every later line goes. A chain of matches collapses to its earliest line.
 
+Hot keys (a half, a variant or an earliest line that very many lines share) meet their one row by a broadcast of those rows, so no task
+holds them all.
+
 Defined cases: null and empty texts stay as they are; a null id ranks last; rows that share an id count as one document.
 """
 
@@ -24,7 +27,7 @@ from strandloom.llm.skew import join_counted
 from strandloom.session import materialise
 
 LEAST = 8
-#: Lines up to this number are broadcast to fetch their words; beyond it both sides are shuffled.
+#: Tables of lines and of met variants with up to this many rows are broadcast; larger ones are shuffled, their hot keys apart.
 BROADCAST_LINES = 1_000_000
 
 
@@ -49,22 +52,23 @@ def _hashed(lines: DataFrame, least: int, short: bool) -> DataFrame:
 RANK = ["none", "id", "line_no", "h1", "h2"]
 
 
-def _near(distinct: DataFrame, docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
+def _near(distinct: DataFrame, docs: DataFrame, id_col: str, text_col: str, least: int, broadcast: int) -> DataFrame:
     """(h1, h2, keep_id, keep_line): distinct lines with an earlier line at one edit, and the earliest such line."""
-    keys = distinct.select("h1", "h2", F.explode("halves").alias("key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    few = keys.join(shared, "key", "left_semi").select("h1", "h2").distinct()
-    few = materialise(distinct.select("h1", "h2", "id", "line_no").join(few, ["h1", "h2"]), "lines")
+    keys = distinct.select("h1", "h2", "id", "line_no", F.explode("halves").alias("key"))
+    shared = materialise(keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "shared-halves")
+    met = keys.join(F.broadcast(shared.select("key")), "key", "left_semi") if shared.count() <= broadcast else join_counted(keys, shared, ["key"], "c", keys.count())
+    few = materialise(met.select("h1", "h2", "id", "line_no").distinct(), "lines")
     at = few.select("h1", "h2", F.col("id").alias("f_id"), F.col("line_no").alias("f_line"))
     in_docs = at.select("f_id").distinct()
-    if few.count() <= BROADCAST_LINES:
+    if few.count() <= broadcast:
         at, in_docs = F.broadcast(at), F.broadcast(in_docs)
     those = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(in_docs, F.col("id").eqNullSafe(F.col("f_id")), "left_semi")
     text = _lines(those, "id", "text", least).withColumn("t1", F.xxhash64("norm"))
     text = text.join(at, F.col("id").eqNullSafe(F.col("f_id")) & (F.col("line_no") == F.col("f_line")) & (F.col("t1") == F.col("h1")))
     text = materialise(text.select("h1", "h2", "id", "line_no", "n", "norm").dropDuplicates(["h1", "h2"]), "norms")
 
-    w = text.select("h1", "h2", F.col("id").isNull().alias("none"), "id", "line_no", "n", F.posexplode(F.split("norm", " ")).alias("i", "word"))
+    # Lines are dealt before they are cut into words, so the words aren't shuffled.
+    w = text.repartition("h1", "h2").select("h1", "h2", F.col("id").isNull().alias("none"), "id", "line_no", "n", F.posexplode(F.split("norm", " ")).alias("i", "word"))
     placed = lambda seed, i: F.shiftrightunsigned(F.xxhash64(F.lit(seed), "word", i), 24)  # noqa: E731  40 bits: sums can't overflow
     w = w.select("*", *[placed(s, F.col("i") - d).alias(f"g{s}{d}") for s in (1, 2) for d in (0, 1)])
     line = Window.partitionBy("h1", "h2")
@@ -78,14 +82,18 @@ def _near(distinct: DataFrame, docs: DataFrame, id_col: str, text_col: str, leas
     variants = materialise(variants, "variants")
     keys = ["n", "i", "v1", "v2"]
     kinds = {k: F.min(F.when(F.col("kind") == k, F.col("own"))).alias(k) for k in ("place", "closed", "whole")}
-    met = variants.groupBy(*keys).agg(*kinds.values(), F.count("*").alias("c")).where("c > 1").drop("c")
+    met = materialise(variants.groupBy(*keys).agg(*kinds.values(), F.count("*").alias("c")).where("c > 1"), "met")
+    with_met = variants.join(F.broadcast(met.drop("c")), keys) if met.count() <= broadcast else join_counted(variants, met, keys, "c", variants.count())
     # A closed-up variant matches a whole line, and the other way round; two closed-up variants may be two edits apart.
-    earliest = variants.join(met, keys).select("own", F.when(F.col("kind") == "place", F.col("place")).when(F.col("kind") == "closed", F.col("whole")).otherwise(F.col("closed")).alias("best"))
+    earliest = with_met.select("own", F.when(F.col("kind") == "place", F.col("place")).when(F.col("kind") == "closed", F.col("whole")).otherwise(F.col("closed")).alias("best"))
     earliest = earliest.where("best < own").groupBy("own").agg(F.min("best").alias("best"))
 
     a, b = F.split("a_norm", " "), F.split("b_norm", " ")
     pairs = earliest.select(F.col("own.h1").alias("h1"), F.col("own.h2").alias("h2"), F.col("best.id").alias("keep_id"), F.col("best.line_no").alias("keep_line"), F.col("best.h1").alias("b1"), F.col("best.h2").alias("b2"))
-    pairs = pairs.join(text.select("h1", "h2", F.col("norm").alias("a_norm")), ["h1", "h2"]).join(text.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("norm").alias("b_norm")), ["b1", "b2"])
+    pairs = materialise(pairs, "earliest")
+    first = pairs.groupBy("b1", "b2").agg(F.count("*").alias("c"))  # the earliest line of a template may be that of very many
+    first = materialise(text.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("norm").alias("b_norm")).join(first, ["b1", "b2"]), "first-lines")
+    pairs = join_counted(pairs, first, ["b1", "b2"], "c", pairs.count()).join(text.select("h1", "h2", F.col("norm").alias("a_norm")), ["h1", "h2"])
     pairs = pairs.select("h1", "h2", "keep_id", "keep_line", F.when(F.size(a) >= F.size(b), a).otherwise(b).alias("long"), F.when(F.size(a) >= F.size(b), b).otherwise(a).alias("short"))
     same = F.coalesce(F.array_position(F.zip_with("long", "short", lambda x, y: x.eqNullSafe(y)), F.lit(False)), F.lit(0)).cast("int")  # first place they differ, from 1
     pairs = pairs.withColumn("p", same).where("p > 0")
@@ -95,14 +103,14 @@ def _near(distinct: DataFrame, docs: DataFrame, id_col: str, text_col: str, leas
     return pairs.where(one).select("h1", "h2", "keep_id", "keep_line")
 
 
-def dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, exact: int | None = None) -> DataFrame:
+def dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, exact: int | None = None, broadcast: int = BROADCAST_LINES) -> DataFrame:
     """One row per removed line: id, line_no (from 0), keep_id, keep_line, exact (is it equal to a kept-or-earlier line)."""
     floor = least if exact is None else min(exact, least)
     found = materialise(_hashed(_lines(docs, id_col, text_col, floor), least, floor < least), "line-hashes")
     rank = F.struct(F.col("id").isNull().alias("none"), "id", "line_no")
     distinct = found.groupBy("h1", "h2").agg(F.min(rank).alias("first"), F.count("*").alias("c"), F.max("halves").alias("halves"))
     distinct = materialise(distinct.select("h1", "h2", F.col("first.id").alias("id"), F.col("first.line_no").alias("line_no"), "c", "halves"), "distinct-lines")
-    near = materialise(_near(distinct, docs, id_col, text_col, least), "near-lines")
+    near = materialise(_near(distinct, docs, id_col, text_col, least, broadcast), "near-lines")
     table = distinct.select("h1", "h2", "id", "line_no", "c").join(near, ["h1", "h2"], "left").where("c > 1 or keep_line is not null")
     equal = F.col("keep_line").isNull()
     table = table.select("h1", "h2", "c", F.when(equal, F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("keep_line", "line_no").alias("keep_line"), equal.alias("exact"))
@@ -116,7 +124,8 @@ def _marked(docs: DataFrame, id_col: str, text_col: str, least: int, exact: int
     """(row, gone): every row of docs and the numbers of its removed lines, null where there are none."""
     gone = dropped(docs, id_col, text_col, least, exact).groupBy(F.col(id_col).alias("gone_id")).agg(F.collect_set("line_no").alias("gone"))
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    return row.join(gone, F.col(f"row.{id_col}").eqNullSafe(F.col("gone_id")), "left").select("row", "gone")
+    # The numbers of a few lines are hashed and the texts go by them, instead of a sort of texts.
+    return row.join(gone.hint("shuffle_hash"), F.col(f"row.{id_col}").eqNullSafe(F.col("gone_id")), "left").select("row", "gone")
 
 
 def _kept(text):
@@ -130,9 +139,9 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     return m.select(F.col("row").withField(text_col, text).alias("row")).select("row.*")
 
 
-def report(docs: DataFrame, least: int = LEAST) -> DataFrame:
+def report(docs: DataFrame, least: int = LEAST, exact: int = 1) -> DataFrame:
     """Per document: doc_id, n_lines, n_dropped, text without the removed lines."""
-    m = _marked(docs.select("doc_id", "text"), "doc_id", "text", least)
+    m = _marked(docs.select("doc_id", "text"), "doc_id", "text", least, exact)
     text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(_kept(F.col("row.text")))
     lines = F.coalesce(F.length("row.text") - F.length(F.translate("row.text", "\n", "")) + 1, F.lit(0))
     return m.select("row.doc_id", lines.cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"), text.alias("text"))
@@ -140,14 +149,14 @@ def report(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
 ORACLE = f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS ln, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents),
 o AS (SELECT doc_id, line_no, lower(trim(regexp_replace(ln, '\\s+', ' ', 'g'))) AS norm FROM l),
-w AS (SELECT *, string_split(norm, ' ') AS ws FROM o WHERE len(string_split(norm, ' ')) >= {LEAST}),
-d AS (SELECT norm, any_value(ws) AS ws, min((doc_id, line_no)) AS first, count(*) AS c FROM w GROUP BY norm),
+w AS (SELECT *, string_split(norm, ' ') AS ws FROM o WHERE norm <> ''),
+a AS (SELECT norm, any_value(ws) AS ws, min((doc_id, line_no)) AS first, count(*) AS c FROM w GROUP BY norm), d AS (FROM a WHERE len(ws) >= {LEAST}),
 v AS (SELECT norm, first, i, array_to_string(ws[:i - 1], ' ') || ' | ' || array_to_string(ws[i + 1:], ' ') AS place, trim(array_to_string(ws[:i - 1], ' ') || ' ' || array_to_string(ws[i + 1:], ' ')) AS closed FROM d, LATERAL (SELECT unnest(range(1, len(ws) + 1)) AS i)),
 pairs AS (SELECT a.norm, b.first AS best FROM v AS a JOIN v AS b ON a.place = b.place AND a.i = b.i AND b.first < a.first
   UNION ALL SELECT a.norm, d.first FROM v AS a JOIN d ON a.closed = d.norm WHERE d.first < a.first
   UNION ALL SELECT d.norm, b.first FROM d JOIN v AS b ON b.closed = d.norm WHERE b.first < d.first),
 near AS (SELECT norm, min(best) AS best FROM pairs GROUP BY norm),
-gone AS (SELECT DISTINCT doc_id, line_no FROM w JOIN d USING (norm) LEFT JOIN near USING (norm) WHERE (doc_id, line_no) <> coalesce(best, d.first))
+gone AS (SELECT DISTINCT doc_id, line_no FROM w JOIN a USING (norm) LEFT JOIN near USING (norm) WHERE (doc_id, line_no) <> coalesce(best, a.first))
 SELECT doc_id, coalesce(len(string_split(text, chr(10))), 0)::BIGINT AS n_lines, coalesce(len(gs), 0)::BIGINT AS n_dropped,
   CASE WHEN gs IS NULL THEN text ELSE array_to_string(list_filter(string_split(text, chr(10)), lambda x, i: NOT list_contains(gs, i - 1)), chr(10)) END AS text
 FROM documents LEFT JOIN (SELECT doc_id, list(line_no) AS gs FROM gone GROUP BY doc_id) USING (doc_id)"""

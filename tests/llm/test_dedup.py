@@ -248,6 +248,10 @@ def test_lines_brute(spark):
     # a later occurrence of an equal line goes with it; an earlier match is sought from a line's first occurrence
     got = {(r.doc_id, r.line_no) for r in line_dedup.dropped(frame(spark, rows)).collect()}
     assert got == expect
+    # with nothing broadcast but hot keys, and with many copies of one template
+    rows += [(100 + i, f"this line of a template is for number {i} only\nthanks") for i in range(1500)] + [(5000, "word " * 300_000)]
+    wide = line_dedup.dropped(frame(spark, rows), exact=1, broadcast=0)
+    assert wide.where("doc_id >= 100").count() == 2 * 1499 and {(r.doc_id, r.line_no) for r in wide.where("doc_id < 100").collect()} == expect
 
 
 def test_substrings(spark):
