@@ -1,10 +1,10 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Words become symbols: insult, threat, target, negation, reported speech, other. Three small transducers over these
-symbols are composed into one machine: reported speech marks what follows it, negation marks the next few words, and
-the scorer turns a marked insult or threat into a weight. Insults and threats are a look-up of classes, and a target
-marks its neighbourhood in a loop ahead of the machine; these three aren't transducers. Only clauses that hold an insult or a threat are run through it; a text's score is a logistic curve over
-its summed clause weights.
+Words become symbols: insult, threat, target, negation, reported speech, other. Five transducers over these symbols are composed:
+reported speech marks what follows it, negation marks the next few words, target marks the next few words, insult weighs marked
+and unmarked insults, and threat weighs threats at a target. Since a target may also follow the insult, the target transducer
+runs over the reversed clause first; so a clause takes two passes, whatever it holds. Only clauses with an insult or a threat
+are run through the machine; a text's score is a logistic curve over its summed clause weights.
 
 The insult lexicon is learned: a unit (a word, or its first 4 to 8 bytes) counts if it marks labelled toxic
 rows, with a weight by its log odds. Candidates are units in at least a fixed share of the toxic rows, so their number is bounded by the mean
@@ -74,7 +74,8 @@ class Transducer:
 ALPHABET = 64
 
 
-def _reported() -> Transducer:
+def reported() -> Transducer:
+    """Marks all that follows reported speech."""
     t = Transducer(0, {}, 2)
     for x in range(ALPHABET):
         t.arcs[0, x] = (int(x & 7 == REPORT), x, 0.0)
@@ -82,7 +83,7 @@ def _reported() -> Transducer:
     return t
 
 
-def _counted(of: int, reach: int, mark: int) -> Transducer:
+def nearby(of: int, reach: int, mark: int) -> Transducer:
     """Marks the `reach` symbols after one of class `of`."""
     t = Transducer(0, {}, reach + 1)
     for s in range(reach + 1):
@@ -92,30 +93,43 @@ def _counted(of: int, reach: int, mark: int) -> Transducer:
     return t
 
 
-def _scorer() -> Transducer:
+def weighed(kind: int, plain: float, targeted: float) -> Transducer:
+    """Weighs the symbols of one class by their marks."""
     t = Transducer(0, {}, 1)
     for x in range(ALPHABET):
-        kind = x & 7
-        w = BASE["insult"] if kind == INSULT else BASE["threat"] if kind == THREAT and x & 32 else 0.0
-        w *= (BASE["targeted"] if x & 32 and kind == INSULT else 1) * (BASE["negated"] if x & 16 else 1) * (BASE["reported"] if x & 8 else 1)
-        t.arcs[0, x] = (0, x, w)
+        w = (targeted if x & 32 else plain) * (BASE["negated"] if x & 16 else 1) * (BASE["reported"] if x & 8 else 1)
+        t.arcs[0, x] = (0, x, w if x & 7 == kind else 0.0)
     return t
 
 
-def grammar() -> Transducer:
-    """The composed machine. Targets are marked ahead of it from both sides, since they may follow the insult."""
-    return _reported().then(_counted(NEGATION, REACH, 16), ALPHABET).then(_scorer(), ALPHABET)
+@dataclass
+class Grammar:
+    """A transducer for the reversed clause, and the composed machine that reads its output from the left."""
+
+    back: Transducer
+    machine: Transducer
+
 
+def grammar() -> Grammar:
+    target = nearby(TARGET, NEAR, 32)
+    insult = weighed(INSULT, BASE["insult"], BASE["insult"] * BASE["targeted"])
+    threat = weighed(THREAT, 0.0, BASE["threat"])
+    machine = reported()
+    for t in (nearby(NEGATION, REACH, 16), target, insult, threat):
+        machine = machine.then(t, ALPHABET)
+    return Grammar(target, machine)
 
-def clause_weight(machine: Transducer, symbols: list[int], weights: list[float]) -> float:
+
+def clause_weight(g: Grammar, symbols: list[int], weights: list[float]) -> float:
     """Weight of one clause, in units of a plain insult; weights: of each word."""
-    near = [i for i, x in enumerate(symbols) if x == TARGET]
-    state, total = machine.start, 0.0
-    for i, x in enumerate(symbols):
-        if x in (INSULT, THREAT) and any(abs(i - j) <= NEAR for j in near):
-            x |= 32
-        state, _, w = machine.step(state, x)
-        total += w * weights[i]
+    back, state = [], g.back.start
+    for x in reversed(symbols):
+        state, y, _ = g.back.step(state, x)
+        back.append(y)
+    state, total = g.machine.start, 0.0
+    for x, own in zip(reversed(back), weights, strict=True):
+        state, _, w = g.machine.step(state, x)
+        total += w * own
     return total
 
 
@@ -257,7 +271,11 @@ def _scored(model):
     return run
 
 
-def label_rows(docs: DataFrame, labels: DataFrame, name: str, id_col: str = "doc_id", small: int = 2_000_000) -> DataFrame:
+#: Labels of up to so many rows are broadcast.
+BROADCAST_LABELS = 2_000_000
+
+
+def label_rows(docs: DataFrame, labels: DataFrame, name: str, id_col: str = "doc_id", small: int = BROADCAST_LABELS) -> DataFrame:
     """docs with a label y of 0 or 1. Labels are broadcast where they are few enough, else both sides are shuffled."""
     y = labels.where(F.col(name).isNotNull()).groupBy(id_col).agg((F.avg(name) >= 0.5).cast("int").alias("y"))
     return docs.join(F.broadcast(y) if labels.count() <= small else y, id_col)
