@@ -6,8 +6,9 @@ sample of labelled rows turns it into a margin. Decoding sums the logistic losse
 codeword, weighted by how well each bit did on that sample, and takes the nearest codeword. A text whose two
 nearest codewords are close is flagged.
 
-Trigram counts cover every labelled training row: one array per language and task, summed by a shuffle to at most
-languages x 2**18 rows. Scoring maps over texts with the broadcast weights (bits x 1 MB) and shuffles nothing.
+Trigram counts cover every labelled training row: one array per language and task, summed by a shuffle. A bit's two sides are summed
+in Spark too, so the driver gets one row a trigram, at most 2**18 with two numbers a bit, and the number of bits grows with the
+logarithm of the number of languages only. Scoring maps over texts with the broadcast weights (bits x 1 MB) and shuffles nothing.
 
 Defined cases: null texts and texts without a letter are `und` with score 0; a text with letters but no known
 trigram gets the language that an average margin of 0 decodes to, flagged. Without training rows everything is `und`.
@@ -24,10 +25,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.llm import words as W
-from strandloom.session import ship
+from strandloom.session import materialise, ship
 
 DIMS = 1 << 18
-MAX_LANGUAGES = 200
 
 
 def _classes() -> np.ndarray:
@@ -145,21 +145,12 @@ def fit(train: DataFrame, key: Column, text_col: str = "text", lang_col: str = "
     ship(spark)
     rows = train.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.pmod(F.xxhash64(key), F.lit(1 << 20)).alias("draw"))
     counts = rows.select("text", "lang").mapInArrow(_count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    counts = materialise(counts, "trigrams")
+    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
+    total = {r[0]: r[1] for r in counts.groupBy("lang").agg(F.sum("n")).collect()}
     langs = sorted(sizes)
-    table = counts.toPandas()
-    freq = np.zeros((len(langs), DIMS))
-    for i, lang in enumerate(langs):
-        own = table[table.lang == lang]
-        freq[i, own.gram] = own.n
     code = codewords(len(langs))
-    seen = freq.sum(0) > 0
-    freq = (freq + smooth * seen) / np.maximum((freq + smooth * seen).sum(1, keepdims=True), 1)
-    weights = np.zeros((code.shape[1], DIMS), np.float32)
-    for b, c in enumerate(code.T):
-        weights[b, seen] = np.log(freq[c > 0][:, seen].mean(0)) - np.log(freq[c < 0][:, seen].mean(0))
+    weights = _weights(counts, langs, total, code, smooth)
     ones = np.ones(code.shape[1])
     model = Model(langs, code, weights, ones * 4, ones * 0, ones)
     if code.shape[1]:
@@ -172,6 +163,26 @@ def fit(train: DataFrame, key: Column, text_col: str = "text", lang_col: str = "
     return model
 
 
+def _weights(counts: DataFrame, langs: list[str], total: dict[str, int], code: np.ndarray, smooth: float) -> np.ndarray:
+    """bits x DIMS: the log ratio of the mean smoothed shares of a trigram on a bit's two sides; 0 for trigrams that no text has."""
+    n_bits = code.shape[1]
+    weights = np.zeros((n_bits, DIMS), np.float32)
+    known = counts.select("gram").distinct().count()
+    if not n_bits or not known:
+        return weights
+    scale = [1 / (total.get(x, 0) + smooth * known) for x in langs]
+    sides = counts.sparkSession.createDataFrame([(x, s, [float(s) * (c > 0) for c in row], [float(s) * (c < 0) for c in row]) for x, s, row in zip(langs, scale, code.tolist(), strict=True)], "lang string, scale double, plus array<double>, minus array<double>")
+    summed = counts.join(F.broadcast(sides), "lang").groupBy("gram").agg(*[F.sum(F.col("n") * F.col(c)[b]).alias(f"{c}{b}") for c in ("plus", "minus") for b in range(n_bits)])
+    table = summed.toPandas()
+    at = table.gram.to_numpy()
+    scale = np.array(scale)
+    for b in range(n_bits):
+        on = code[:, b] > 0
+        share = [(table[f"{c}{b}"].to_numpy() + smooth * scale[side].sum()) / side.sum() for c, side in (("plus", on), ("minus", ~on))]
+        weights[b, at] = np.log(share[0]) - np.log(share[1])
+    return weights
+
+
 def _platt(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
     """Slope and shift of a ridge logistic curve for y in -1, +1, and 1 / (1 + its mean loss)."""
     a = np.stack([x, np.ones_like(x)], 1)
