@@ -3,9 +3,9 @@
 Words are runs of letters, digits and non-ASCII characters, A-Z as a-z. A window is 10 consecutive words
 of an item, or all words of a shorter item. A hit by hash is verified word for word.
 
-A broadcast holds at most `per_pass` windows. A larger benchmark is dealt into blocks of that size by hash,
-and the corpus rows flow through one scan after another in the same task, each with its own block; there is
-no shuffle either way and nothing is dropped.
+A broadcast holds at most about `per_pass` windows. A larger benchmark is dealt into blocks of that size by hash, and the corpus goes
+through one scan after another, each with its own block. The rows are written between two scans, so a task holds one block at a
+time. There is no shuffle either way and nothing is dropped.
 
 Defined cases: null and empty texts have no words and no hits. A null item text has no windows; an item
 whose id is null marks words but isn't listed. Equal items are all listed. Repeated rows give repeated results.
@@ -127,6 +127,8 @@ def scan(docs: DataFrame, items: DataFrame, size: int = 10, id_col: str = "doc_i
         own = found.where(F.pmod("hash", F.lit(passes)) == i) if passes > 1 else found
         block = spark.sparkContext.broadcast([tuple(r) for r in own.toLocalIterator()])
         df = df.mapInArrow(_scan(block), df.schema)
+        if i < passes - 1:
+            df = materialise(df, "scanned")
     out = df.select(
         F.col("id").alias(id_col), "n_words", F.coalesce(F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["last"] - x["first"]), F.lit(0).cast("long")).alias("n_hit"),
         "items", "spans", *(["text"] if keep_text else []),
