@@ -15,8 +15,8 @@ Sets are the distinct 5-word shingles of a text. Equal sets are one class, found
   central member leave room for a link (triangle inequality).
 
 The boundaries are set by cost: `limit` weighs comparing the members of a list against emitting their parts, the
-largest small size weighs its subsets against its prefix and the lists found there. Heavy shingles are kept as one bit map of
-a fixed size; a false bit moves a shingle to the end of the order everywhere alike and loses no link. Counts and prefixes
+largest small size weighs its subsets against its prefix and the lists found there. Heavy shingles are kept as one bit map whose
+size follows their number up to a bound; a false bit moves a shingle to the end of the order everywhere alike and loses no link. Counts and prefixes
 travel as sorted, difference-coded arrays, one per hash range and task, so whole sets never do, except those of candidates.
 
 Defined cases: null and empty texts have empty sets and link with nothing; rows with a null id have no component and link with
@@ -39,7 +39,7 @@ from strandloom.llm.skew import join_counted
 from strandloom.session import materialise, ship
 
 SHINGLE = 5
-BITS = 26  # of the heavy map: 8 MB
+#: Ids up to this number are broadcast; texts are shuffled to meet more of them.
 BROADCAST_IDS = 2_000_000
 FLUSH = 2_000_000
 MAX_SMALL = 12
@@ -104,15 +104,26 @@ def _unplaned(b: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
-def _counted(log_blocks: int):
-    """(block, sorted 32-bit shingle heads as differences, counts up to 255) of the rows of a task."""
+def map_bits(total: int) -> int:
+    """log2 of the heavy map's size for a number of shingles: 8 MB for up to 2 billion, then more, up to 128 MB. A map that is too full costs time, not links."""
+    return min(30, max(26, int(total).bit_length() - 5))
+
+
+def head_bits(total: int) -> int:
+    """Bits of a shingle's hash by which it is counted: 32 for up to 2 billion shingles; with all 64 no two are taken for one beyond that."""
+    return 32 if total < 1 << 31 else 64
+
+
+def _counted(log_blocks: int, head: int):
+    """(block, sorted shingle heads of `head` bits as differences, counts up to 255) of the rows of a task."""
+    kind, shift = np.dtype(f"<u{head // 8}"), np.uint64(64 - head)
 
     def flush(held):
         u, n = np.unique(np.concatenate(held), return_counts=True)
-        edges = np.searchsorted(u, np.arange(1 << log_blocks, dtype=np.uint64) << np.uint64(32 - log_blocks))
+        edges = np.searchsorted(u, (np.arange(1 << log_blocks, dtype=np.uint64) << np.uint64(head - log_blocks)).astype(kind))
         edges = np.append(edges, len(u))
         n = np.minimum(n, 255).astype(np.uint8)
-        out = [(i, _planes(np.diff(u[a:z], prepend=np.uint32(0))), n[a:z].tobytes()) for i, (a, z) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if z > a]
+        out = [(i, _planes(np.diff(u[a:z], prepend=kind.type(0))), n[a:z].tobytes()) for i, (a, z) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if z > a]
         cols = zip(*out, strict=True)
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["block", "heads", "counts"])
 
@@ -120,7 +131,7 @@ def _counted(log_blocks: int):
         held, size = [], 0
         for b in batches:
             for _, _, _, x in sets(*W.raw(b.column("text"))):
-                held.append((x >> np.uint64(32)).astype(np.uint32))
+                held.append((x >> shift).astype(kind))
                 size += len(x)
                 if size > FLUSH:
                     yield flush(held)
@@ -131,20 +142,20 @@ def _counted(log_blocks: int):
     return run
 
 
-def _heavy(log_blocks: int, limit: int):
+def _heavy(log_blocks: int, limit: int, head: int, map_log: int):
     """Per block of shingle heads: the bits of those that more than limit classes have, and sums for the cost model."""
-    width = 1 << (BITS - log_blocks)
+    width = 1 << (map_log - log_blocks)
 
     def run(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()
-        heads = np.concatenate([np.cumsum(_unplaned(x.as_py(), "<u4"), dtype=np.uint64) for x in table.column("heads")])
+        heads = np.concatenate([np.cumsum(_unplaned(x.as_py(), f"<u{head // 8}"), dtype=np.uint64) for x in table.column("heads")])
         counts = np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in table.column("counts")]).astype(np.int64)
         order = np.argsort(heads, kind="stable")
         heads, counts = heads[order], counts[order]
-        starts = np.flatnonzero(np.diff(heads, prepend=np.uint64(1 << 40)))
+        starts = np.concatenate(([0], np.flatnonzero(np.diff(heads)) + 1))
         df = np.add.reduceat(counts, starts)
         bits = np.zeros(width, bool)
-        bits[((heads[starts[df > limit]] >> np.uint64(32 - BITS)).astype(np.int64)) - block * width] = True
+        bits[((heads[starts[df > limit]] >> np.uint64(head - map_log)).astype(np.int64)) - block * width] = True
         light = df[df <= limit]
         return pa.table({"block": pa.array([block], pa.int32()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary()), "n1": pa.array([int(light.sum())]), "n2": pa.array([int((light * light).sum())])})
 
@@ -152,7 +163,7 @@ def _heavy(log_blocks: int, limit: int):
 
 
 def _is_heavy(bits: np.ndarray, x: np.ndarray) -> np.ndarray:
-    at = (x >> np.uint64(64 - BITS)).astype(np.int64)
+    at = (x >> np.uint64(64 - (8 * len(bits)).bit_length() + 1)).astype(np.int64)
     return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
 
 
@@ -306,10 +317,10 @@ def _arrays(bitmap):
     return run
 
 
-def _only(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+def _only(rows: DataFrame, ids: DataFrame, how: str, broadcast: int) -> DataFrame:
     """rows whose id is (left_semi) or isn't (left_anti) in ids; ids are broadcast while they are few."""
     ids = ids.select(F.col(ids.columns[0]).alias("id"))
-    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", how)
+    return rows.join(F.broadcast(ids) if ids.count() <= broadcast else ids, "id", how)
 
 
 def small_limit(n1: int, n2: int) -> int:
@@ -337,8 +348,9 @@ def _met(pairs: DataFrame, elements: DataFrame) -> DataFrame:
     )
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, n_shingles, component_id, group_rows (rows with an equal set)."""
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast: int = BROADCAST_IDS, map_log: int | None = None, head: int | None = None) -> DataFrame:
+    """Per row: id, n_shingles, component_id, group_rows (rows with an equal set). broadcast, map_log and head set the bounds of what is
+    broadcast, of the heavy map and of the counted hashes; by default the last two follow the number of shingles. None of them changes the result."""
     spark = docs.sparkSession
     ship(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -347,7 +359,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     classes = materialise(sized.where("n > 0 and id is not null").groupBy(*keys).agg(F.min("id").alias("node"), F.count("*").alias("copies")), "classes")
     totals = classes.agg(F.sum("n"), F.count("*")).first()
     if totals[1]:
-        labels = _components(texts, sized, classes, int(totals[0]), int(totals[1]))
+        labels = _components(texts, sized, classes, int(totals[0]), int(totals[1]), broadcast, map_log or map_bits(totals[0]), head or head_bits(totals[0]))
         classes = classes.join(labels, "node", "left").withColumn("component_id", F.coalesce("component_id", "node"))
     else:
         classes = classes.withColumn("component_id", F.col("node"))
@@ -359,20 +371,22 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return out.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("copies").alias("group_rows"))
 
 
-def _components(texts: DataFrame, sized: DataFrame, classes: DataFrame, total: int, n_classes: int) -> DataFrame:
+def _components(texts: DataFrame, sized: DataFrame, classes: DataFrame, total: int, n_classes: int, broadcast: int, map_log: int, head: int) -> DataFrame:
     """(node, component_id) of the classes that have links."""
     spark = texts.sparkSession
     mean = total / n_classes
     limit = int(min(64, max(8, 1 + 2 * 0.68 * mean / PAIR_COST)))
-    log_blocks = int(min(18, max(3, np.ceil(np.log2(total / (1 << 20) + 1)))))
+    log_blocks = int(min(18, map_log - 3, max(3, np.ceil(np.log2(total / (1 << 20) + 1)))))
     nodes = classes.select(F.col("node").alias("id"))
     copies = materialise(sized.where("n = 0").select("id").unionByName(sized.where("n > 0 and id is not null").join(nodes, "id", "left_anti").select("id")).where("id is not null").distinct(), "copies")
-    reps = _only(texts.where("id is not null"), copies, "left_anti")
-
-    counted = reps.select("text").mapInArrow(_counted(log_blocks), "block int, heads binary, counts binary")
-    blocks = counted.groupBy("block").applyInArrow(_heavy(log_blocks, limit), "block int, bits binary, n1 long, n2 long").collect()
-    width = 1 << (BITS - log_blocks - 3)
-    bits = bytearray(1 << (BITS - 3))
+    reps = _only(texts.where("id is not null"), copies, "left_anti", broadcast)
+    if copies.count() > broadcast:
+        reps = materialise(reps, "representatives")  # five scans read them, and the join has shuffled texts
+
+    counted = reps.select("text").mapInArrow(_counted(log_blocks, head), "block int, heads binary, counts binary")
+    blocks = counted.groupBy("block").applyInArrow(_heavy(log_blocks, limit, head, map_log), "block int, bits binary, n1 long, n2 long").collect()
+    width = 1 << (map_log - log_blocks - 3)
+    bits = bytearray(1 << (map_log - 3))
     for r in blocks:
         bits[r.block * width : (r.block + 1) * width] = r.bits
     small = small_limit(sum(r.n1 for r in blocks), sum(r.n2 for r in blocks))
@@ -383,10 +397,10 @@ def _components(texts: DataFrame, sized: DataFrame, classes: DataFrame, total: i
     pairs = _enough(pairs.groupBy("a", "b").agg(F.sum("c").alias("c")), found.where("kind = 'set'").select("node", F.col("key").alias("n"), F.col("block").alias("m")).dropDuplicates(["node"]))
     pairs = materialise(pairs, "pairs")
     sure = _small_links(found.where("kind = 'small'").select("key", "node", F.col("block").alias("side")))
-    lists = _heavy_lists(reps, found.where("kind = 'heavy'").select("node").distinct(), bitmap)
+    lists = _heavy_lists(reps, found.where("kind = 'heavy'").select("node").distinct(), bitmap, broadcast)
 
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(lists.select(F.col("node").alias("id"))).distinct()
-    elements = _only(reps, materialise(ids, "candidates"), "left_semi").mapInArrow(_arrays(bitmap), "node long, light array<long>, heavy array<long>")
+    elements = _only(reps, materialise(ids, "candidates"), "left_semi", broadcast).mapInArrow(_arrays(bitmap), "node long, light array<long>, heavy array<long>")
     elements = materialise(elements, "elements")
 
     # First every set meets its best partner only: groups of similar texts come together without their pairs.
@@ -417,9 +431,16 @@ def _components(texts: DataFrame, sized: DataFrame, classes: DataFrame, total: i
     placed = lists.select("key", "node", "n", "light").join(labels, "node", "left").withColumn("l", F.coalesce("component_id", "node"))
     mixed = placed.groupBy("key").agg(F.min("l").alias("lo"), F.max("l").alias("hi")).where("lo < hi").select("key")
     placed = materialise(placed.join(mixed, "key", "left_semi").join(away, "node", "left").join(far, "node", "left"), "apart")
-    x, y = (placed.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "light", "l", "pivot", "away", "top", "far")]) for s in "ab")
+    # Where all sets of a part have one top member, linked ones differ in their distance to it by a ninth of both sizes at most, so rings of
+    # that width meet their neighbours only, and a very large part is dealt over tasks. In other parts all sets meet.
+    wide = placed.groupBy("key").agg(F.max("n").alias("most"), ((F.min("top") == F.max("top")) & (F.count("top") == F.count("*"))).alias("one_top"))
+    ring = F.when(F.col("one_top"), F.floor(F.col("far") / F.ceil(2 * F.col("most") / 9))).otherwise(0)
+    placed = materialise(placed.join(wide, "key").withColumn("ring", ring), "rings")
+    cols = ("node", "n", "light", "l", "pivot", "away", "top", "far")
+    x = placed.select("key", "ring", *[F.col(c).alias(f"{c}_a") for c in cols])
+    y = placed.select("key", F.explode(F.array(F.col("ring") - 1, F.col("ring"), F.col("ring") + 1)).alias("ring"), *[F.col(c).alias(f"{c}_b") for c in cols])
     room = "5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b) and 9 * (light_a + light_b + greatest(if(pivot_a = pivot_b, abs(away_a - away_b), 0), if(top_a = top_b, abs(far_a - far_b), 0))) <= n_a + n_b"
-    across = x.join(y, "key").where(f"node_a < node_b and l_a <> l_b and {room}").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    across = x.join(y, ["key", "ring"]).where(f"node_a < node_b and l_a <> l_b and {room}").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
     rest = materialise(apart.unionByName(across).distinct(), "apart-pairs")
     if rest.isEmpty():
         return labels
@@ -442,9 +463,9 @@ def _small_links(keys: DataFrame) -> DataFrame:
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def _heavy_lists(reps: DataFrame, heavy: DataFrame, bitmap) -> DataFrame:
+def _heavy_lists(reps: DataFrame, heavy: DataFrame, bitmap, broadcast: int) -> DataFrame:
     """(key, node, n, light, weight): the rarest budget + 1 parts of each of the heavy sets, where another set has the part too; weight: how much company a set has over all of these."""
-    parts = _only(reps, materialise(heavy, "heavy"), "left_semi").mapInArrow(_parts(bitmap), "key long, node long, n long, light long, grp long, budget long")
+    parts = _only(reps, materialise(heavy, "heavy"), "left_semi", broadcast).mapInArrow(_parts(bitmap), "key long, node long, n long, light long, grp long, budget long")
     parts = materialise(parts, "parts")
     counts = materialise(parts.groupBy("key").agg(F.count("*").alias("c")), "part-counts")
     ranked = join_counted(parts, counts, ["key"], "c", parts.count()).withColumn("rank", F.row_number().over(Window.partitionBy("node", "grp").orderBy("c", "key")))
