@@ -171,6 +171,9 @@ def test_jaccard(spark):
     expect = jaccard_brute(rows)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join(frame(spark, rows)).collect()}
     assert got == expect
+    # nothing broadcast, a heavy map in which nearly all shingles are heavy, and whole hashes counted: the same result
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join(frame(spark, rows), broadcast=0, map_log=6, head=64).collect()}
+    assert got == expect
     kept = jaccard_join.keep_first(frame(spark, rows).withColumn("n", F.lit(1)).withColumn("node", F.lit(2)))
     assert {r.doc_id for r in kept.collect()} == {i for i, x in expect.items() if x[1] == i}
 

@@ -43,6 +43,49 @@ def test_language(spark, docs):
     assert kept.columns == [*rows.columns, "score", "id"] and not ids & {-1, -2, -3} and len(ids & set(truth)) > 0.99 * len(truth)
 
 
+def test_language_brute(spark, docs):
+    """The weights from plain counts of trigrams, and decoding restated for one text after another."""
+    rows = docs.select("doc_id", "text", "lang").where("doc_id < 60")
+    model = language_id.fit(rows, F.col("doc_id"))
+    counts, texts = {}, [(r.text, r.lang) for r in rows.collect() if r.text is not None and r.lang is not None]
+
+    def grams(text):
+        c = [int(language_id.CLASSES[x]) for x in text.encode()]
+        return [(c[i] << 12) | (c[i + 1] << 6) | c[i + 2] for i in range(len(c) - 2) if c[i + 1] > 0]
+
+    for t, lang in texts:
+        for g in grams(t):
+            counts.setdefault(lang, {}).setdefault(g, 0)
+            counts[lang][g] += 1
+    known = {g for c in counts.values() for g in c}
+    share = {x: {g: (counts[x].get(g, 0) + 0.5) / (sum(counts[x].values()) + 0.5 * len(known)) for g in known} for x in model.langs}
+    for b in range(model.code.shape[1]):
+        plus, minus = ([x for x, s in zip(model.langs, model.code[:, b], strict=True) if s == sign] for sign in (1, -1))
+        for g in sorted(known)[::97]:
+            expect = np.log(np.mean([share[x][g] for x in plus])) - np.log(np.mean([share[x][g] for x in minus]))
+            assert model.weights[b, g] == pytest.approx(expect, rel=1e-4, abs=1e-5)
+    got = {r.doc_id: r for r in language_id.predict(rows, model).collect()}
+    for r in rows.collect():
+        g = grams(r.text or "")
+        margin = [np.mean([model.weights[b, x] for x in g]) * model.slope[b] + model.shift[b] if g else model.shift[b] for b in range(model.code.shape[1])]
+        loss = [sum(model.trust[b] * np.log1p(np.exp(-margin[b] * s)) for b, s in enumerate(word)) for word in model.code.tolist()]
+        p = np.exp(min(loss) - np.array(loss)) / np.exp(min(loss) - np.array(loss)).sum()
+        if re.search(r"[^\W\d_]", r.text or ""):
+            assert got[r.doc_id].lang_pred == model.langs[int(np.argmin(loss))] and got[r.doc_id].score == pytest.approx(p.max(), rel=1e-3)
+
+
+def test_many_languages(spark):
+    """There is no bound on their number: every one of 230 has its own letters' order."""
+    rng = random.Random(3)
+    words = {f"l{i:03}": ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(12)] for i in range(230)}
+    rows = [(j, " ".join(rng.choices(w, k=40)), x) for j, (x, w) in enumerate((x, w) for x, w in words.items() for _ in range(3))]
+    rows += [(10_000, "long " * 200_000, "l000"), (10_000, "long " * 200_000, "l000")]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.col("doc_id"))
+    asked = [(i, " ".join(rng.choices(w, k=40))) for i, w in enumerate(words.values())]
+    got = {r.doc_id: r.lang_pred for r in language_id.predict(spark.createDataFrame(asked, DOCS), model).collect()}
+    assert len(model.langs) == 230 and np.mean([got[i] == x for i, x in enumerate(words)]) > 0.95
+
+
 def test_language_without_labels(spark):
     rows = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert language_id.report(rows).first().lang_pred == "und"
@@ -64,6 +107,27 @@ def test_quality(spark, docs, labels):
     assert got[-1].score == got[-2].score and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got.values())
 
 
+def test_quality_brute(spark, docs, labels):
+    """The compiled expression against the rules, one row after another."""
+    x = quality.stats(docs.select("doc_id", "text")).cache()
+    y = labels.where("quality is not null").select("doc_id", F.col("quality").alias("y"))
+    rules, intercept = quality.fit(x.join(y, "doc_id").select("y", *quality.STATS))
+    assert rules and any(len(r) > 1 for r, _ in rules)
+    got = {r.doc_id: r.score for r in x.select("doc_id", quality.compiled(rules, intercept).alias("score")).collect()}
+    for r in x.collect():
+        total = intercept
+        for rule, w in rules:
+            total += w * all((r[quality.STATS[i]] <= b) if sign == "<=" else (r[quality.STATS[i]] > b) for i, sign, b in rule)
+        assert got[r.doc_id] == pytest.approx(1 / (1 + np.exp(-total)))
+
+
+def test_quality_edges(spark):
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    rows = spark.createDataFrame([(1, "a b"), (1, "a b"), (2, "word " * 400_000)], DOCS)
+    assert {r.score for r in quality.report(rows, none).collect()} == {0.5} and quality.report(rows.where("false"), none).count() == 0
+    assert {r.score for r in quality.report(rows, spark.createDataFrame([(2, 1), (2, 1)], "doc_id long, quality int")).collect()} <= {0.5, 1.0}
+
+
 def test_statistics():
     text = "Ab ab. AB!! x|y\n12 é".encode()
     x = dict(zip(quality.STATS, quality.statistics(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0], strict=True))
@@ -86,6 +150,42 @@ def test_grammar():
     assert weight(h) == 0 and weight(h, t) > 1 and weight(n, r, t, i) == pytest.approx(0.45) and weight(n, o, o, o, i) == 1
 
 
+def test_grammar_brute():
+    """The composed machine against the marks told word by word."""
+    m, rng, base = toxicity.grammar(), random.Random(4), toxicity.BASE
+    for _ in range(300):
+        s = [rng.choice([0, 0, 0, 1, 2, 3, 4, 5]) for _ in range(rng.randrange(1, 25))]
+        own = [rng.random() for _ in s]
+        total = 0.0
+        for j, x in enumerate(s):
+            near = any(y == toxicity.TARGET and 0 < abs(j - k) <= toxicity.NEAR for k, y in enumerate(s))
+            w = base["insult"] * (base["targeted"] if near else 1) if x == toxicity.INSULT else base["threat"] * near if x == toxicity.THREAT else 0
+            w *= base["negated"] if toxicity.NEGATION in s[max(0, j - toxicity.REACH) : j] else 1
+            total += w * (base["reported"] if toxicity.REPORT in s[:j] else 1) * own[j]
+        assert toxicity.clause_weight(m, s, own) == pytest.approx(total)
+
+
+def test_grammar_is_linear():
+    import time
+
+    m, took = toxicity.grammar(), []
+    for n in (20_000, 80_000):
+        began = time.process_time()
+        toxicity.clause_weight(m, [toxicity.INSULT, toxicity.TARGET] * n, [1.0] * 2 * n)
+        took.append(time.process_time() - began)
+    assert took[1] < 12 * took[0]
+
+
+def test_toxicity_edges(spark, docs, labels):
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    rows = spark.createDataFrame([(1, "you idiot"), (1, "you idiot"), (2, "fine " * 400_000), (3, None)], DOCS)
+    got = sorted((r.doc_id, r.score) for r in toxicity.report(rows, none).collect())
+    assert len(got) == 4 and got[0] == got[1] and got[0][1] > got[2][1] == got[3][1] and toxicity.report(rows.where("false"), none).count() == 0
+    y = labels.select("doc_id", "toxic")
+    few, many = (toxicity.label_rows(docs.select("doc_id", "text"), y, "toxic", small=n).select("doc_id", "y") for n in (10**6, 0))
+    assert sorted(few.collect()) == sorted(many.collect())
+
+
 def test_packing(spark, docs):
     from public_tokenizers import path
     from tokenizers import Tokenizer
@@ -108,6 +208,9 @@ def test_packing(spark, docs):
             assert p.offset == at
             at += p.length
         assert at <= 4096
+    # Little padding: apart from the last sequence, what is left over is under a hundredth of the tokens or one sequence's worth.
+    tokens_in = sum(p.length for p in got)
+    assert len(by_sequence) <= -(-tokens_in // 4096) + max(1, tokens_in // 4096 // 20)
     assert packing.pack(rows.where("false")).count() == 0
 
 
