@@ -1,8 +1,8 @@
 """The training-data pipeline: five stages over `documents`, each written as Parquet and read again as the next one's docs.
 
 All stages but the last return the columns of documents. ORACLE_SQL is None: language identification and tokenisation
-can't be put in SQL. tests/llm compares operators with brute force and runs the line stage on a few rows; no test runs
-the stages in order.
+can't be put in SQL. tests/llm/test_corpus_pipeline.py runs the stages in order over a small corpus and compares the rows of
+each with a plain version of it. What a stage materialises on its way is deleted once its output is written.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.llm import decontaminate, jaccard_join, language_id, line_dedup, packing
-from strandloom.session import materialise, table
+from strandloom.session import materialise, scratch, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,5 +52,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        with scratch(spark):
+            docs = materialise(stage(spark, docs, sf_dir), name, keep=True)
     return STAGES[-1][1](spark, docs, sf_dir)
