@@ -261,17 +261,36 @@ def test_substrings(spark):
     a = "This passage of more than eight words is repeated here."
     b = "Another long sentence that stands in two of the texts!"
     rows = [(1, f"intro {a} {b}"), (2, f"Start. {a} End. short. short."), (3, f"{b.lower()}\nx"), (4, None), (5, ""), (6, "é " + a + "\n" + a), (None, a)]
-    got = sorted(((r.doc_id, r.start, r.end, r.unit, r.keep_id, r.keep_start) for r in substring_dedup.repeats(frame(spark, rows)).collect()), key=str)
+    got = sorted(((r.doc_id, r.start, r.end, r.unit, r.keep_id, r.keep_start) for r in substring_dedup.repeats(frame(spark, rows), passage=0).collect()), key=str)
     n = len(a) - 1
     assert (3, 0, len(b) - 1, "line", 1, 6 + len(a) + 1) in got
     assert (6, 3 + n + 1 - 1 + 1, 3 + n + 1 + n, "line", 2, 7) in got and (None, 0, n, "line", 2, 7) in got
     assert len(got) == 3
-    out = substring_dedup.clean(frame(spark, rows).withColumn("start", F.lit(1)))
+    out = substring_dedup.clean(frame(spark, rows).withColumn("start", F.lit(1)), passage=0)
     texts = {r.doc_id: r.text for r in out.collect()}
     assert texts[3] == "!\nx" and texts[4] is None and texts[None] == "." and texts[1] == rows[0][1]
     assert substring_dedup.repeats(frame(spark, [])).count() == 0
 
 
+def test_substrings_in_passages(spark):
+    """A shared line stays; repeated units with few words between them go as one passage, each of two texts with one id on its own."""
+    a, b = "one two three four five six seven eight nine ten.", "The second sentence of it has again a few more words than that."
+    own = "Here stands a sentence that no other text has at all."
+    rows = [
+        (1, f"{a} {b}"), (2, f"x {own} y. {a} {b} z"), (3, a), (4, f"{a} {own.upper()} of four. {b}"), (5, f"{a} short one. {b}"),
+        (6, a), (6, b), (7, f"{a} {b}"), (7, f"{a} {b}"), (None, f"{b} {a}"), (8, None), (9, ""),
+    ]
+    removed = lambda **p: {r.doc_id for r in substring_dedup.repeats(frame(spark, rows), **p).collect()}
+    assert removed(passage=0) == {2, 3, 4, 5, 6, 7, None}
+    assert removed(passage=20) == {2, 5, 7, None}
+    assert removed(passage=24) == set()
+    docs = frame(spark, rows)
+    got = [(r.doc_id, r.text) for r in substring_dedup.clean(docs).collect()]
+    assert len(got) == len(rows) and {(3, a), (4, rows[3][1]), (6, a), (6, b), (1, rows[0][1]), (8, None), (9, "")} <= set(got)
+    assert dict(got)[2] == f"x {own} y. . . z"
+    assert dict(got)[5].strip(" .") == "short one"
+
+
 @pytest.mark.parametrize("n", [3_000_000])
 def test_long_text(spark, n):
     long = "ab cd " * (n // 6)
