@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandloom.llm import conversations, decontaminate, exact_dedup, jaccard_join, language_id, line_dedup, manifest, packing, quality, secrets, substring_dedup, toxicity
+from strandloom.llm import conversations, decontaminate, exact_dedup, html_text, jaccard_join, language_id, line_dedup, manifest, packing, quality, secrets, substring_dedup, toxicity
 from strandloom.session import table
 
 
@@ -46,6 +46,10 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.report(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
 
 
+def op11_html_text(spark, sf_dir):
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op12_merkle_manifest(spark, sf_dir):
     return manifest.report(table(spark, sf_dir, "documents"))
 
@@ -54,5 +58,5 @@ def op13_conversation_repair(spark, sf_dir):
     return conversations.report(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_substring_dedup, op3_benchmark_decontamination, op4_exact_dedup, op5_packing, op6_language_id, op7_line_dedup, op8_secret_scan, op9_jaccard_join, op10_toxicity, op12_merkle_manifest, op13_conversation_repair)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_substring_dedup, op3_benchmark_decontamination, op4_exact_dedup, op5_packing, op6_language_id, op7_line_dedup, op8_secret_scan, op9_jaccard_join, op10_toxicity, op11_html_text, op12_merkle_manifest, op13_conversation_repair)}
 ORACLES = {"op2_substring_dedup": substring_dedup.ORACLE, "op3_benchmark_decontamination": decontaminate.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE, "op7_line_dedup": line_dedup.ORACLE, "op8_secret_scan": secrets.ORACLE, "op9_jaccard_join": jaccard_join.ORACLE, "op12_merkle_manifest": manifest.ORACLE, "op13_conversation_repair": conversations.ORACLE}
