@@ -7,9 +7,11 @@
 2. Within a host, pages are ordered by path, and each is paired with the nearest one before and after it that has other text. Lines of
    a pair are aligned by a longest common subsequence of their hashes; what both have is shared. A pair that shares
    half of its prose or more is a copy with edits, and says nothing about what is shared.
+   Lines that the landmarks give away needn't be aligned.
 3. Over all pairs of a host the share of shared lines of each place is counted. A place of which nearly all lines are shared is a template.
 4. Furniture, lines in templates, and shared lines go. Own text is only believed to be a template's if its place is shared in half of its lines
-   in at least EVIDENCE pages, since short paragraphs of articles may be equal by chance.
+   in at least EVIDENCE pairs, since short paragraphs of articles may be equal by chance.
+5. The pages are parsed once more, and only those that lose lines besides furniture meet a list of them.
 
 Pages of equal lines in a host are one unit: they are aligned once, so a group of copies costs one page. Hosts, units and partners with very
 many rows are split off from the joins (`skew.join_counted`); pairs come from gapless ids of a range-partitioned order, so a host isn't a task.
@@ -28,9 +30,11 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from strandloom.llm.skew import join_counted
 from strandloom.operators.ids import ordered_ids
@@ -41,7 +45,7 @@ PROSE_WORDS = 8
 #: Share of the prose of the smaller page from which on a pair is a copy.
 COPY = 0.5
 #: Shares of shared lines from which on a place is a template: for all lines, and for shared lines of own text.
-TEMPLATE, OWN_TEMPLATE, EVIDENCE = 0.9, 0.5, 4
+TEMPLATE, OWN_TEMPLATE, EVIDENCE = 0.9, 0.5, 20
 
 # Fixed values of the markup: elements that don't end a line, those without content, those whose content is no text, and those that are furniture.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -222,119 +226,171 @@ def _aligned(a: list[int], b: list[int], places: list[int]) -> list[int]:
     return out
 
 
-PARSED = "page_id long, url string, host string, path string, query string, sig long, full long, hashes array<long>, places array<long>, flags array<int>, texts array<string>"
 URL = re.compile(r"^(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#]*)([^?#]*)(.*)$", re.S)
+PARSED = "k1 long, k2 long, unit binary, sig binary, host string, path string, query string, hashes binary, places binary"
+#: Pages that lose lines beyond furniture: up to this number their lists are broadcast to the pages, beyond that the pages are shuffled to meet them.
+BROADCAST_PAGES = 200_000
 
 
-def parse(pages: DataFrame) -> DataFrame:
-    """PARSED rows; texts are null for furniture."""
-    ship(pages.sparkSession)
+def _in_parts(batches: Iterable[pa.RecordBatch], columns: list[str]) -> Iterator[list[tuple]]:
+    """Rows of batches, about 16 MB at a time."""
+    for b in batches:
+        step = max(1, int(b.num_rows * (1 << 24) / max(b.nbytes, 1)))
+        for at in range(0, b.num_rows, step):
+            part = b.slice(at, step)
+            yield list(zip(*[part.column(c).to_pylist() for c in columns], strict=True))
 
-    def of(page_id: int | None, url: str | None, page: str | None) -> tuple:
+
+def _keyed(pages: DataFrame) -> DataFrame:
+    """(k1, k2, page_id, url, html): rows with equal keys are equal."""
+    own = ["page_id", "url", "html"]
+    none = [F.col(c).isNull() for c in own]
+    return pages.select(F.xxhash64(*own, *none).alias("k1"), F.xxhash64(F.lit(2), *own, *none).alias("k2"), *own)
+
+
+def parse(keyed: DataFrame) -> DataFrame:
+    """PARSED rows: what identifies a page's lines but for furniture (unit) and their text (sig), their 64-bit hashes, and their places, 4 bytes each with the flags in the low bits."""
+    ship(keyed.sparkSession)
+    names, kinds = [f.split()[0] for f in PARSED.split(", ")], [pa.int64()] * 2 + [pa.binary()] * 2 + [pa.string()] * 3 + [pa.binary()] * 2
+
+    def of(k1: int, k2: int, url: str | None, page: str | None) -> tuple:
         m = URL.match(url or "")
         host, path, query = (m.group(1).lower(), m.group(2), m.group(3)) if m else ("", url or "", "")
-        found = lines(page or "")
-        hashes = [_hash(x[0]) for x in found]
-        sig = _hash(*[h for h, x in zip(hashes, found, strict=True) if not x[2] & FURNITURE])
-        full = _hash(*hashes, "|", *[x[1] for x in found], "|", *[x[2] for x in found])
-        return page_id, url, host, path, query, sig, full, hashes, [x[1] for x in found], [x[2] for x in found], [None if x[2] & FURNITURE else x[0] for x in found]
-
-    kinds = [pa.int64(), *[pa.string()] * 4, pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.string())]
+        found = [x for x in lines(page or "") if not x[2] & FURNITURE]
+        hashes = np.array([_hash(x[0]) for x in found], "<i8").tobytes()
+        places = np.array([x[1] & 0x7FFFFFF8 | x[2] for x in found], "<i4").tobytes()
+        digest = lambda *parts: hashlib.blake2b(host.encode(errors="surrogatepass") + b"\x00" + b"".join(parts), digest_size=16).digest()
+        return k1, k2, digest(hashes, places), digest(hashes), host, path, query, hashes, places
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [f.split()[0] for f in PARSED.split(", ")]
-        for b in batches:
-            step = max(1, int(b.num_rows * (1 << 24) / max(b.nbytes, 1)))
-            for at in range(0, b.num_rows, step):
-                part = b.slice(at, step)
-                rows = [of(*x) for x in zip(*[part.column(c).to_pylist() for c in ("page_id", "url", "html")], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=names)
+        for part in _in_parts(batches, ["k1", "k2", "url", "html"]):
+            rows = [of(*x) for x in part]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=names)
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, PARSED)
+    return keyed.select("k1", "k2", "url", "html").mapInArrow(run, PARSED)
 
 
 def units(parsed: DataFrame) -> DataFrame:
-    """(host, full, sig, c, path, query, uid): pages of a host with equal lines; path, query and uid are those of the first one."""
-    first = F.min(F.struct("path", "query", "uid"))
-    u = parsed.groupBy("host", "full").agg(F.min("sig").alias("sig"), first.alias("x"), F.count("*").alias("c"))
-    return materialise(u.select("host", "full", "sig", "c", "x.*"), "units")
+    """(unit, sig, host, c, path, query, hashes, places): pages of a host with equal lines; path and query are the first ones."""
+    same = [F.min(c).alias(c) for c in ("sig", "host", "hashes", "places")]
+    u = parsed.groupBy("unit").agg(*same, F.min(F.struct("path", "query")).alias("x"), F.count("*").alias("c"))
+    return materialise(u.select("unit", "sig", "host", "c", "x.*", "hashes", "places"), "units")
 
 
 def partners(found: DataFrame) -> DataFrame:
-    """(uid, other): each unit with the units of other text that come before and after its text's first page by path, on its host."""
-    texts = found.groupBy("host", "sig").agg(F.min(F.struct("path", "query", "uid")).alias("x"), F.count("*").alias("c")).select("host", "sig", "c", "x.*")
-    placed = materialise(ordered_ids(materialise(texts, "texts"), ["host", "path", "query", "uid"], "at"), "by-url")
+    """(unit, other): each unit with the units of other text that come before and after its text's first page by path, on its host."""
+    with_lines = found.where(F.octet_length("hashes") > 0)
+    texts = with_lines.groupBy("sig").agg(F.min("host").alias("host"), F.min(F.struct("path", "query", "unit")).alias("x"), F.count("*").alias("c")).select("sig", "host", "c", "x.*")
+    placed = materialise(ordered_ids(materialise(texts, "texts"), ["host", "path", "query", "unit"], "at").select("at", "host", "sig", "c", "unit"), "by-url")
     beside = placed.select("host", "sig", "c", F.explode(F.array(F.col("at") - 1, F.col("at") + 1)).alias("at"))
-    beside = beside.join(placed.select("at", F.col("host").alias("h"), F.col("uid").alias("other")), "at").where("h = host").select("host", "sig", "c", "other")
+    beside = beside.join(placed.select("at", F.col("host").alias("h"), F.col("unit").alias("other")).hint("merge"), "at").where("h = host").select("sig", "c", "other")
     beside = materialise(beside, "beside")
-    total = found.count()
-    return materialise(join_counted(found.select("host", "sig", "uid"), beside, ["host", "sig"], "c", total).select("uid", "other"), "partners")
+    return materialise(join_counted(with_lines.select("sig", "unit"), beside.hint("merge"), ["sig"], "c", found.count()).select("unit", "other"), "partners")
 
 
-def differences(parsed: DataFrame, found: DataFrame) -> DataFrame:
-    """(uid, host, places, flags, same): for each pair that is no copy, which lines of the unit the other page has too."""
+def differences(found: DataFrame) -> DataFrame:
+    """(unit, host, places, same): for each pair that is no copy, which lines of the unit the other page has too."""
     pairs = partners(found)
-    arrays = lambda p: parsed.select(F.col("uid").alias(f"{p}uid"), *[F.col(c).alias(f"{p}{c}") for c in ("hashes", "flags")])
     asked = pairs.groupBy("other").agg(F.count("*").alias("c"))
-    others = materialise(arrays("b_").join(asked, F.col("b_uid") == F.col("other")).select("other", "c", "b_hashes", "b_flags"), "others")
-    rows = join_counted(pairs, others, ["other"], "c", pairs.count()).drop("c")
-    mine = parsed.select("uid", "host", "places", F.col("hashes").alias("a_hashes"), "flags")
-    rows = rows.join(mine, "uid").select("uid", "host", "places", "flags", "a_hashes", "b_hashes", "b_flags")
-    ship(parsed.sparkSession)
+    others = asked.join(found.select(F.col("unit").alias("other"), F.col("hashes").alias("b_hashes"), F.col("places").alias("b_places")).hint("merge"), "other")
+    others = materialise(others, "others")
+    rows = join_counted(pairs, others.hint("merge"), ["other"], "c", pairs.count()).select("unit", "b_hashes", "b_places")
+    rows = rows.join(found.select("unit", "host", "hashes", "places").hint("merge"), "unit")
+    ship(found.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out, kept = [], []
-            for i, (a, fa, b, fb) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("a_hashes", "flags", "b_hashes", "b_flags")], strict=True)):
-                same = shared(a, b)
-                prose_a = np.array([f & PROSE and not f & FURNITURE for f in fa], bool)
-                prose_b = sum(bool(f & PROSE and not f & FURNITURE) for f in fb)
-                smaller = min(int(prose_a.sum()), prose_b)
-                if not smaller or (same & prose_a).sum() < COPY * smaller:
-                    out.append(same.tolist())
-                    kept.append(i)
-            part = batch.take(pa.array(kept, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("uid", "host", "places", "flags")], pa.array(out, pa.list_(pa.bool_()))], names=["uid", "host", "places", "flags", "same"])
-
-    return materialise(rows.mapInArrow(run, "uid long, host string, places array<long>, flags array<int>, same array<boolean>"), "differences")
+        for part in _in_parts(batches, ["unit", "host", "places", "hashes", "b_places", "b_hashes"]):
+            out = []
+            for unit, host, pa_, ha, pb, hb in part:
+                same = shared(np.frombuffer(ha, "<i8").tolist(), np.frombuffer(hb, "<i8").tolist())
+                prose = np.frombuffer(pa_, "<i4") & PROSE > 0
+                smaller = min(int(prose.sum()), int((np.frombuffer(pb, "<i4") & PROSE > 0).sum()))
+                if not smaller or (same & prose).sum() < COPY * smaller:
+                    out.append((unit, host, pa_, np.packbits(same, bitorder="little").tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.binary(), pa.string(), pa.binary(), pa.binary()))], names=["unit", "host", "places", "same"])
 
+    return materialise(rows.mapInArrow(run, "unit binary, host string, places binary, same binary"), "differences")
 
-def templates(different: DataFrame) -> DataFrame:
-    """(host, place, rate, n_pages): the share of shared lines of each place of a host, and the pages that were compared."""
-    per = different.select("host", "uid", F.explode(F.arrays_zip("places", "same")).alias("x")).groupBy("host", "uid", F.col("x.places").alias("place")).agg(F.count("*").alias("n"), F.count_if("x.same").alias("s"))
-    return per.groupBy("host", "place").agg((F.sum("s") / F.sum("n")).alias("rate"), F.count("*").alias("n_pages"))
 
+def _bits(same: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(same, np.uint8), bitorder="little", count=n).astype(bool)
 
-def _decided(parsed: DataFrame, found: DataFrame) -> DataFrame:
-    """(host, full, c, gone): which lines of a unit go, besides furniture."""
-    different = differences(parsed, found)
+
+def templates(different: DataFrame) -> DataFrame:
+    """(host, place, rate, n_pages): the share of shared lines of each place of a host, and the pairs that were compared."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _in_parts(batches, ["host", "places", "same"]):
+            counts: dict[tuple[str, int], list[int]] = {}
+            for host, places, same in part:
+                p = np.frombuffer(places, "<i4") >> 3
+                which, at = np.unique(p, return_inverse=True)
+                lines_, shared_ = np.bincount(at, minlength=len(which)), np.bincount(at, weights=_bits(same, len(p)), minlength=len(which))
+                for w, n, s in zip(which.tolist(), lines_.tolist(), shared_.tolist(), strict=True):
+                    c = counts.setdefault((host, w), [0, 0, 0])
+                    c[0], c[1], c[2] = c[0] + n, c[1] + int(s), c[2] + 1
+            rows = [(*k, *c) for k, c in counts.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), *[pa.int64()] * 4))], names=["host", "place", "n", "s", "pairs"])
+
+    per = different.select("host", "places", "same").mapInArrow(run, "host string, place long, n long, s long, pairs long")
+    return per.groupBy("host", "place").agg((F.sum("s") / F.sum("n")).alias("rate"), F.sum("pairs").alias("n_pages"))
+
+
+@F.pandas_udf(ArrayType(LongType()))
+def _distinct_places(places: pd.Series) -> pd.Series:
+    return places.map(lambda x: np.unique(np.frombuffer(x, "<i4") >> 3).tolist())
+
+
+def losses(found: DataFrame) -> DataFrame:
+    """(unit, c, gone): the units that lose lines besides furniture, and a bit a line."""
+    different = differences(found)
     likely = materialise(templates(different).where(F.col("rate") >= OWN_TEMPLATE), "templates")
-    rows = parsed.select("uid", "host", "places", "flags").join(found.select("uid", "full", "c"), "uid")
+    own = found.where(F.octet_length("hashes") > 0).select("unit", "host", "places")
+    if likely.count() <= BROADCAST_PAGES:
+        own = own.join(F.broadcast(likely.select("host").distinct()), "host", "left_semi")
     # Each unit's places that may be templates: places are few a page, hosts may be large.
-    own = rows.select("uid", "host", F.explode(F.array_distinct("places")).alias("place"))
+    own = materialise(own.select("unit", "host", F.explode(_distinct_places("places")).alias("place")), "places")
     counted = materialise(own.groupBy("host", "place").agg(F.count("*").alias("c")).join(likely, ["host", "place"]), "template-places")
-    own = join_counted(own, counted, ["host", "place"], "c", own.count()).groupBy("uid").agg(F.collect_list(F.struct("place", "rate", "n_pages")).alias("likely"))
-    both = different.groupBy("uid").agg(F.collect_list("same").alias("same"))
-    rows = rows.join(own, "uid", "left").join(both, "uid", "left").select("host", "full", "c", "places", "flags", "likely", "same")
+    own = join_counted(own, counted, ["host", "place"], "c", own.count()).groupBy("unit").agg(F.collect_list(F.struct("place", "rate", "n_pages")).alias("likely"))
+    both = different.where(F.regexp_like(F.hex("same"), F.lit("[^0]"))).groupBy("unit").agg(F.collect_list("same").alias("same"))
+    asked = materialise(own.join(both, "unit", "full"), "asked")
+    rows = found.select("unit", "c", "places").join(asked, "unit").select("unit", "c", "places", "likely", "same")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _in_parts(batches, ["unit", "c", "places", "likely", "same"]):
+            out = []
+            for unit, c, places, known, same in part:
+                p = np.frombuffer(places, "<i4")
+                rate = {x["place"]: x["rate"] for x in known or () if x["n_pages"] >= EVIDENCE}
+                rates = np.array([rate.get(x, 0.0) for x in (p >> 3).tolist()])
+                either = np.logical_or.reduce([_bits(x, len(p)) for x in same or ()], initial=False) if same else np.zeros(len(p), bool)
+                mine = p & OWN > 0
+                gone = (rates >= TEMPLATE) | either & (~mine | (rates >= OWN_TEMPLATE))
+                if gone.any():
+                    out.append((unit, c, np.packbits(gone, bitorder="little").tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.binary(), pa.int64(), pa.binary()))], names=["unit", "c", "gone"])
+
+    return materialise(rows.mapInArrow(run, "unit binary, c long, gone binary"), "losses")
+
+
+def extract(pages: DataFrame, broadcast_pages: int = BROADCAST_PAGES) -> DataFrame:
+    """Per page: page_id, url, text, n_chars. Pages are read twice; they are only shuffled where more than broadcast_pages of them lose lines besides furniture."""
+    keyed = _keyed(pages)
+    parsed = materialise(parse(keyed), "parsed")
+    lost = losses(units(parsed))
+    per = join_counted(parsed.select("k1", "k2", "unit"), lost, ["unit"], "c", parsed.count()).select("k1", "k2", "gone").dropDuplicates(["k1", "k2"])
+    per = materialise(per, "page-losses")
+    rows = keyed.join(F.broadcast(per) if per.count() <= broadcast_pages else per.hint("merge"), ["k1", "k2"], "left").select("page_id", "url", "html", "gone")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            gone = []
-            for places, flags, known, same in zip(*[b.column(c).to_pylist() for c in ("places", "flags", "likely", "same")], strict=True):
-                rate = {x["place"]: x["rate"] for x in known or ()}
-                sure = {x["place"] for x in known or () if x["n_pages"] >= EVIDENCE}
-                either = np.logical_or.reduce([np.array(s, bool) for s in same]) if same else np.zeros(len(flags), bool)
-                gone.append([(p in sure and (s or rate[p] >= TEMPLATE)) if f & OWN else bool(s or p in sure and rate[p] >= TEMPLATE) for p, f, s in zip(places, flags, either.tolist(), strict=True)])
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("host", "full", "c")], pa.array(gone, pa.list_(pa.bool_()))], names=["host", "full", "c", "gone"])
-
-    return materialise(rows.mapInArrow(run, "host string, full long, c long, gone array<boolean>"), "decided")
-
-
-def extract(pages: DataFrame) -> DataFrame:
-    """Per page: page_id, url, text, n_chars."""
-    parsed = materialise(parse(pages).withColumn("uid", F.monotonically_increasing_id()), "parsed")
-    found = units(parsed)
-    decided = _decided(parsed, found)
-    rows = join_counted(parsed.select("page_id", "url", "host", "full", "texts"), decided, ["host", "full"], "c", parsed.count())
-    text = F.array_join(F.zip_with("texts", "gone", lambda t, g: F.when(~g, t)), " ")
-    return rows.select("page_id", "url", text.alias("text")).select("*", F.char_length("text").cast("long").alias("n_chars"))
+        for part in _in_parts(batches, ["page_id", "url", "html", "gone"]):
+            out = []
+            for page_id, url, page, gone in part:
+                kept = [x[0] for x in lines(page or "") if not x[2] & FURNITURE]
+                if gone is not None:
+                    kept = [x for x, g in zip(kept, _bits(gone, len(kept)).tolist(), strict=True) if not g]
+                out.append((page_id, url, " ".join(kept)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string()))], names=["page_id", "url", "text"])
+
+    texts = rows.mapInArrow(run, "page_id long, url string, text string")
+    return texts.select("*", F.char_length("text").cast("long").alias("n_chars"))
