@@ -120,21 +120,26 @@ def dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     return gone.select("id", "line_no", "keep_id", "keep_line", "exact").distinct().withColumnRenamed("id", id_col)
 
 
-def _marked(docs: DataFrame, id_col: str, text_col: str, least: int, exact: int | None = None) -> DataFrame:
-    """(row, gone): every row of docs and the numbers of its removed lines, null where there are none."""
-    gone = dropped(docs, id_col, text_col, least, exact).groupBy(F.col(id_col).alias("gone_id")).agg(F.collect_set("line_no").alias("gone"))
+def _marked(docs: DataFrame, id_col: str, text_col: str, least: int, exact: int | None = None, broadcast: int = BROADCAST_LINES) -> DataFrame:
+    """(row, gone): every row of docs and the numbers of its removed lines in order, null where there are none."""
+    gone = dropped(docs, id_col, text_col, least, exact, broadcast).groupBy(F.col(id_col).alias("gone_id")).agg(F.sort_array(F.collect_set("line_no")).alias("gone"))
+    gone = materialise(gone, "gone-by-document")
+    few = (gone.agg(F.sum(F.size("gone"))).first()[0] or 0) <= broadcast
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    # The numbers of a few lines are hashed and the texts go by them, instead of a sort of texts.
-    return row.join(gone.hint("shuffle_hash"), F.col(f"row.{id_col}").eqNullSafe(F.col("gone_id")), "left").select("row", "gone")
+    # Few numbers go to the texts; more are hashed and the texts go by them, instead of a sort of texts.
+    return row.join(F.broadcast(gone) if few else gone.hint("shuffle_hash"), F.col(f"row.{id_col}").eqNullSafe(F.col("gone_id")), "left").select("row", "gone")
 
 
 def _kept(text):
-    return F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(F.col("gone"), i)), "\n")
+    """The lines between those that go, in slices, so that a text costs its number of lines. What is in an array of one is evaluated once."""
+    lines, ends = F.array(F.split(text, "\n")), lambda x: F.array(F.concat(F.array(F.lit(-1)), F.col("gone"), F.array(F.size(x))))
+    part = lambda x, e: F.transform(F.sequence(F.lit(1), F.size(e) - 1), lambda i: F.slice(x, F.get(e, i - 1) + 2, F.get(e, i) - F.get(e, i - 1) - 1))
+    return F.get(F.transform(lines, lambda x: F.get(F.transform(ends(x), lambda e: F.array_join(F.flatten(part(x, e)), "\n")), F.lit(0))), F.lit(0))
 
 
-def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, exact: int | None = None) -> DataFrame:
+def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, exact: int | None = None, broadcast: int = BROADCAST_LINES) -> DataFrame:
     """docs without the removed lines, all columns kept."""
-    m = _marked(docs, id_col, text_col, least, exact)
+    m = _marked(docs, id_col, text_col, least, exact, broadcast)
     text = F.when(F.col("gone").isNull(), F.col(f"row.{text_col}")).otherwise(_kept(F.col(f"row.{text_col}")))
     return m.select(F.col("row").withField(text_col, text).alias("row")).select("row.*")
 

@@ -297,3 +297,13 @@ def test_long_text(spark, n):
     rows = [(1, long), (2, "x"), (3, "q" * n)]
     assert {r.doc_id: r.n_words for r in decontaminate.report(frame(spark, rows), frame(spark, [(1, "cd ab cd")], "item_id long, text string")).collect()} == {1: n // 3, 2: 1, 3: 1}
     assert {r.doc_id: r.n_shingles for r in jaccard_join.join(frame(spark, rows)).collect()} == {1: 2, 2: 1, 3: 1}
+
+
+@pytest.mark.parametrize("broadcast", [line_dedup.BROADCAST_LINES, 0])
+def test_lines_of_long_texts(spark, broadcast):
+    """A text of very many lines costs their number; first, last and all lines of a text may go."""
+    long = "\n".join(f"line {i % 40_000} of so many that it matters a lot" for i in range(80_000))
+    rows = [(1, "a b\nc d"), (2, "a b\nkept\nc d"), (3, "c d\na b"), (4, "x y\na b"), (5, "a b\nz"), (6, None), (7, ""), (9, long)]
+    got = {r.doc_id: r.text for r in line_dedup.clean(frame(spark, rows), least=50, exact=1, broadcast=broadcast).collect()}
+    assert got.pop(9) == long[: len(long) // 2]
+    assert got == {1: "a b\nc d", 2: "kept", 3: "", 4: "x y", 5: "z", 6: None, 7: ""}
