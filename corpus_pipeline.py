@@ -2,7 +2,8 @@
 
 All stages but the last return the columns of documents. ORACLE_SQL is None: language identification and tokenisation
 can't be put in SQL. tests/llm/test_corpus_pipeline.py runs the stages in order over a small corpus and compares the rows of
-each with a plain version of it. What a stage materialises on its way is deleted once its output is written.
+each with a plain version of it. What a stage materialises on its way is deleted once its output is written, and
+its input too; the last one's goes with the block (`session.scratch`) that the caller is in, since the result is lazy.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.llm import decontaminate, jaccard_join, language_id, line_dedup, packing
-from strandloom.session import materialise, scratch, table
+from strandloom.session import delete, discard_later, new_path, scratch, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,8 +51,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
+        path = new_path(spark, name)
         with scratch(spark):
-            docs = materialise(stage(spark, docs, sf_dir), name, keep=True)
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
+        if before:
+            delete(spark, before)
+        before = path
+    discard_later(before)
     return STAGES[-1][1](spark, docs, sf_dir)

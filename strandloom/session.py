@@ -10,11 +10,13 @@ import uuid
 import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: dict[str, str] = {}
-_written: list[str] = []
+#: What the innermost `scratch` block of this thread deletes; a thread that was started elsewhere has none.
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
 
 
 def get_session(name: str = "strandloom") -> SparkSession:
@@ -38,27 +40,41 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{scratch_root(spark)}/strandloom/{name}-{uuid.uuid4().hex}"
+
+
+def discard_later(path: str) -> None:
+    """The surrounding `scratch` block, if there is one, deletes path when it ends."""
+    if _written.get() is not None:
+        _written.get().append(path)
+
+
 def materialise(df: DataFrame, name: str = "t", keep: bool = False) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: a lost executor never reruns what lies before it. A surrounding `scratch` deletes it unless keep."""
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/strandloom/{name}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     if not keep:
-        _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+        discard_later(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Deletes the tables materialised in the block when it ends, so results must be written, collected or kept inside it."""
-    before = len(_written)
+    """Deletes the tables materialised in the block, by the same thread, when it ends, so results must be written, collected or kept inside it."""
+    token = _written.set([])
     try:
         yield
     finally:
-        for path in _written[before:]:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-        del _written[before:]
+        for path in _written.get():
+            delete(spark, path)
+        _written.reset(token)
 
 
 def few_partitions(df: DataFrame) -> bool:

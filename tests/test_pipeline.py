@@ -53,3 +53,32 @@ def test_scratch(spark):
         gone = session.materialise(spark.range(3), "gone").inputFiles()[0]
         kept = session.materialise(spark.range(3), "kept", keep=True)
     assert not os.path.exists(gone.removeprefix("file://")) and kept.count() == 3
+
+
+def test_scratch_of_threads(spark):
+    """A block deletes what its own thread wrote, and an inner block leaves what the outer one wrote."""
+    import os
+    import threading
+
+    paths, go, done = {}, threading.Event(), threading.Event()
+    path_of = lambda name: session.materialise(spark.range(2), name).inputFiles()[0].removeprefix("file://")
+
+    def other():
+        with session.scratch(spark):
+            paths["other"] = path_of("other")
+            go.set()
+            done.wait(60)
+            assert os.path.exists(paths["other"])
+
+    t = threading.Thread(target=other)
+    t.start()
+    go.wait(60)
+    with session.scratch(spark):
+        outer = path_of("outer")
+        with session.scratch(spark):
+            inner = path_of("inner")
+        assert os.path.exists(outer) and not os.path.exists(inner)
+    assert not os.path.exists(outer) and os.path.exists(paths["other"])
+    done.set()
+    t.join()
+    assert not os.path.exists(paths["other"])
