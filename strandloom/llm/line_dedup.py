@@ -33,8 +33,11 @@ BROADCAST_LINES = 1_000_000
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
     """Rows (id, line_no, norm, n) of the lines with enough words, none of them empty."""
-    # White space other than single spaces is rare, so it is looked for in whole texts, once; a line's words are counted where it is split off.
-    text = F.lower(F.regexp_replace(F.col(text_col), r"\x20?[\x09\x0B-\x0D][\x20\x09\x0B-\x0D]*|\x20{2,}", " "))
+    # White space other than single spaces is rare: texts without any are told by plain searches, the others meet a pattern. A line's words are counted where it is split off.
+    raw, odd = F.col(text_col), F.lit(False)
+    for x in ("  ", "\t", "\x0b", "\x0c", "\r"):
+        odd = odd | F.contains(raw, F.lit(x))
+    text = F.lower(F.when(odd, F.regexp_replace(raw, r"\x20?[\x09\x0B-\x0D][\x20\x09\x0B-\x0D]*|\x20{2,}", " ")).otherwise(raw))
     counted = lambda x: F.struct(x.alias("norm"), (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("n"))
     rows = docs.select(F.col(id_col).alias("id"), F.posexplode(F.transform(F.split(text, "\n"), lambda x: counted(F.trim(x)))).alias("line_no", "line"))
     rows = rows.select("id", "line_no", "line.norm", "line.n").where(F.col("n") >= least)
@@ -148,7 +151,7 @@ def report(docs: DataFrame, least: int = LEAST, exact: int = 1) -> DataFrame:
     """Per document: doc_id, n_lines, n_dropped, text without the removed lines."""
     m = _marked(docs.select("doc_id", "text"), "doc_id", "text", least, exact)
     text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(_kept(F.col("row.text")))
-    lines = F.coalesce(F.length("row.text") - F.length(F.translate("row.text", "\n", "")) + 1, F.lit(0))
+    lines = F.coalesce(F.octet_length("row.text") - F.octet_length(F.replace("row.text", F.lit("\n"), F.lit(""))) + 1, F.lit(0))
     return m.select("row.doc_id", lines.cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"), text.alias("text"))
 
 
