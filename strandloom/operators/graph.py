@@ -7,10 +7,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions import seq as S
+from strandloom.operators import minimizers
 from strandloom.operators.ids import ordered_ids
 from strandloom.session import materialise
 
@@ -51,7 +52,14 @@ class Graph:
 
     @staticmethod
     def from_sequences(seqs: DataFrame, order: list[str], k: int, stranded: bool, multiplicity: int = 1) -> Graph:
-        """One node a distinct k-mer (of at least `multiplicity` occurrences) in the orientation seen first, ids by first occurrence. Not compacted."""
+        """One node a distinct k-mer (of at least `multiplicity` occurrences) in the orientation seen first, ids by first occurrence. Not compacted.
+
+        K-mers of up to 63 bases are counted by minimizers as pairs of longs; longer ones as strings.
+        """
+        if k <= minimizers.WIDEST:
+            nodes = minimizers.counts(seqs, order, k, not stranded).where(F.col("n") >= multiplicity)
+            kmer = S.unpack_limbs(F.col("hi"), F.col("lo"), k)
+            return Graph.from_unitigs(nodes.select("first", F.when(F.col("first") % 2 == 1, S.revcomp(kmer)).otherwise(kmer).alias("seq")), ["first"], k, stranded)
         kmers = positional_kmers(seqs, k, not stranded).where(~F.contains("kmer", F.lit("N")))
         first = F.min(F.struct(*order, "pos", "kmer"))
         nodes = kmers.groupBy(F.col("kmer" if stranded else "canon").alias("key")).agg(first.alias("first"), F.count("*").alias("n")).where(F.col("n") >= multiplicity).select("first.*")
@@ -146,42 +154,59 @@ class Graph:
         return self.unitigs.agg(F.bit_xor(F.xxhash64("id", "seq"))).first()[0] or 0
 
     def compacted(self) -> Graph:
-        """Unitigs: chains of nodes whose joints have no other edge, by pointer doubling; ids by the least node of each."""
-        edges = self.edge_table()
-        out, into = edges.groupBy("src").agg(F.count("*").alias("o")), edges.groupBy("dst").agg(F.count("*").alias("i"))
-        joints = edges.join(out.where("o = 1"), "src").join(into.where("i = 1"), "dst").where("src <> dst")
-        if not self.stranded:
-            joints = joints.where(F.col("dst") != F.col("src").bitwiseXOR(1))
-        joints = materialise(joints.select("src", "dst"), "joints")
-        nodes = self.oriented().select("nid")
-        # Each node points at the node before it; after each round at one twice as far. steps: how far; least: the least node on the way.
-        at = nodes.join(joints.select(F.col("dst").alias("nid"), F.col("src").alias("to")), "nid", "left")
-        at = materialise(at.select("nid", "to", F.when(F.col("to").isNull(), 0).otherwise(1).cast("long").alias("steps"), F.least("nid", "to").alias("least")), "chain")
-        total = nodes.count()
-        for _ in range(max(1, total.bit_length())):
+        """Unitigs: chains of nodes whose joints have no other edge; ids by the least node of each. In a canonical graph, a k-mer that is its own reverse complement joins nothing.
+
+        Joints are contracted where they lie, by minimizers; what is left are far fewer stretches, which pointer doubling chains.
+        """
+        if 2 <= self.k <= minimizers.WIDEST + 1:
+            joints = minimizers.joints(self.oriented(), self.k, not self.stranded)
+        else:
+            joints = self._joints()
+        stretches = materialise(minimizers.contracted(joints), "stretches")
+        chains, cut = self._chains(stretches)
+        if cut is not None:
+            # Cycles are cut before their least node, and its reverse after it.
+            joints = stretches.select(F.when(F.col("off") == 1, F.col("start")).otherwise(F.lag("nid").over(Window.partitionBy("start").orderBy("off"))).alias("src"), F.col("nid").alias("dst"))
+            cut_dst, cut_src = cut.where("nid % 2 = 0").select(F.col("nid").alias("dst")), cut.where("nid % 2 = 1").select(F.col("nid").alias("src"))
+            stretches = materialise(minimizers.contracted(joints.join(cut_dst, "dst", "left_anti").join(cut_src, "src", "left_anti").select("src", "dst")), "stretches")
+            chains, cut = self._chains(stretches)
+        return self._spelled(stretches, chains)
+
+    def _joints(self) -> DataFrame:
+        """minimizers.joints for k-mers of any length, as strings."""
+        j = F.lit(self.k - 1)
+        ends = self.oriented().select("nid", F.explode(F.array(F.struct(F.left("seq", j).alias("j"), F.lit(False).alias("out")), F.struct(F.right("seq", j).alias("j"), F.lit(True).alias("out")))).alias("e")).select("nid", "e.*")
+        src, dst = F.when(F.col("out"), F.col("nid")), F.when(~F.col("out"), F.col("nid"))
+        met = ends.groupBy("j").agg(F.max(src).alias("src"), F.max(dst).alias("dst"), F.count(src).alias("o"), F.count(dst).alias("i")).where("o = 1 and i = 1 and src <> dst").select("src", "dst")
+        return met if self.stranded else met.where(F.col("dst") != F.col("src").bitwiseXOR(1))
+
+    def _chains(self, stretches: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+        """(start, head, steps) of stretches: the first node of the chain each is in and the steps from it; and (nid) of the nodes where cycles are to be cut, if there are any."""
+        number = F.col("nid") if self.stranded else F.shiftright("nid", 1)
+        least = stretches.groupBy("start").agg(F.min(number).alias("least"))
+        ends = stretches.where("last").select("start", F.col("nid").alias("end"), F.col("off").alias("n")).join(least, "start")
+        ends = materialise(ends, "stretch-ends")
+        before = ends.select(F.col("end").alias("start"), F.col("start").alias("to"), F.col("n").alias("steps"))
+        # to: a stretch further back, null at the head of a chain; steps: from `head` to this stretch's start.
+        at = ends.select("start", "least").join(before, "start", "left")
+        at = materialise(at.select("start", "to", F.coalesce("to", "start").alias("head"), F.coalesce("steps", F.lit(0)).alias("steps"), "least"), "chain")
+        for _ in range(ends.count().bit_length() + 1):
             if at.where("to is not null").isEmpty():
                 break
-            b = at.select(F.col("nid").alias("to"), F.col("to").alias("to2"), F.col("steps").alias("s2"), F.col("least").alias("l2"))
-            at = materialise(
-                at.join(b, "to", "left").select("nid", F.when(F.col("to").isNull(), None).otherwise(F.col("to2")).alias("to"), (F.col("steps") + F.coalesce("s2", F.lit(0))).alias("steps"), F.least("least", "l2").alias("least")), "chain"
-            )
-        # Pure cycles still point somewhere: they are cut before their least node.
-        cycles = at.where("to is not null").select("nid", "least")
-        if not cycles.isEmpty():
-            cut = joints.join(cycles.where("nid = least").select(F.col("nid").alias("dst")), "dst", "left_anti")
-            return Graph(self.unitigs, self.k, self.stranded)._chained(cut)
-        return self._chained(joints)
-
-    def _chained(self, joints: DataFrame) -> Graph:
-        """Unitigs along joints, which form paths."""
+            b = at.select(F.col("start").alias("to"), F.col("to").alias("to2"), F.col("head").alias("h2"), F.col("steps").alias("s2"), F.col("least").alias("l2"))
+            on = at.where("to is not null").join(b, "to").select("start", F.col("to2").alias("to"), F.col("h2").alias("head"), (F.col("steps") + F.col("s2")).alias("steps"), F.least("least", "l2").alias("least"))
+            at = materialise(at.where("to is null").unionByName(on), "chain")
+        rings = at.where("to is not null").select("start", F.col("least").alias("ring"))
+        if rings.isEmpty():
+            return at.select("start", "head", "steps"), None
+        cut = stretches.join(rings, "start").where((F.col("nid") == F.col("ring")) if self.stranded else (number == F.col("ring"))).select("nid")
+        return at.select("start", "head", "steps"), materialise(cut, "cuts")
+
+    def _spelled(self, stretches: DataFrame, chains: DataFrame) -> Graph:
+        """Unitigs of nodes along their chains."""
         nodes = self.oriented()
-        at = nodes.select("nid").join(joints.select(F.col("dst").alias("nid"), F.col("src").alias("to")), "nid", "left")
-        at = materialise(at.select("nid", "to", F.coalesce("to", "nid").alias("head"), F.when(F.col("to").isNull(), 0).otherwise(1).cast("long").alias("steps")), "heads")
-        while not at.where("to is not null").isEmpty():
-            b = at.select(F.col("nid").alias("head"), F.col("to").alias("to2"), F.col("head").alias("h2"), F.col("steps").alias("s2"))
-            at = materialise(
-                at.join(b, "head").select("nid", F.when(F.col("to").isNotNull() & F.col("to2").isNotNull(), F.col("to2")).alias("to"), F.col("h2").alias("head"), (F.col("steps") + F.when(F.col("head") == F.col("nid"), 0).otherwise(F.col("s2"))).alias("steps")), "heads"
-            )
+        at = stretches.join(chains, "start").select("nid", "head", (F.col("steps") + F.col("off")).alias("steps"))
+        at = nodes.select("nid").join(at, "nid", "left").select("nid", F.coalesce("head", "nid").alias("head"), F.coalesce("steps", F.lit(0)).alias("steps"))
         piece = F.when(F.col("steps") == 0, F.col("seq")).otherwise(F.substring("seq", F.lit(self.k), F.length("seq")))
         pieces = at.join(nodes, "nid").groupBy("head").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("steps", piece.alias("p")))), lambda x: x["p"]), "").alias("seq"), F.min("nid").alias("low"))
         if not self.stranded:  # of a chain and its reverse, the one with the least sequence stays

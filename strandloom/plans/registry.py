@@ -85,7 +85,7 @@ def _nodes_sql(source, k, stranded, order, multiplicity=1):
     return f"""raw AS (SELECT {key} AS key, first(kmer ORDER BY {order}, pos) AS seq, min(({order}, pos)) AS first_at FROM {_kmers_sql(source, k, order)} WHERE NOT contains(kmer, 'N') GROUP BY 1 HAVING count(*) >= {multiplicity}),
 unitigs AS MATERIALIZED (SELECT row_number() OVER (ORDER BY first_at) - 1 AS id, seq FROM raw), onodes AS MATERIALIZED ({both}),
 ends AS MATERIALIZED (SELECT side, kmer, arg_min(nid, (nid % 2, nid)) AS nid FROM (SELECT 'L' AS side, left(seq, {k}) AS kmer, nid FROM onodes UNION ALL SELECT 'R', right(seq, {k}), nid FROM onodes) GROUP BY side, kmer),
-edges AS MATERIALIZED (SELECT o.nid AS src, e.nid AS dst, c.code AS base FROM onodes AS o, (VALUES ('A', 0), ('C', 1), ('T', 2), ('G', 3)) AS c(b, code) JOIN ends AS e ON e.side = 'L' AND e.kmer = right(o.seq, {k} - 1) || c.b)"""
+edges AS MATERIALIZED (SELECT o.nid AS src, e.nid AS dst, o.code AS base FROM (SELECT nid, code, right(seq, {k} - 1) || b AS kmer FROM onodes, (VALUES ('A', 0), ('C', 1), ('T', 2), ('G', 3)) AS c(b, code)) AS o JOIN ends AS e ON e.side = 'L' AND e.kmer = o.kmer)"""
 
 
 @query(f"SELECT kmer, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, least(kmer, {RC.format('kmer')}) AS kmer FROM {_kmers_sql(DNA_SQL, 7)}) GROUP BY kmer")
@@ -299,6 +299,25 @@ def shortest_path_nodes(spark, sf_dir):
     return paths.shortest(g.edge_table(), _ends(w))
 
 
+_FAR, _KP = 12, 13
+_PAIRS_13 = f"""WITH RECURSIVE {_nodes_sql(SCAF_SQL, _KP, True, 'seq_id')}, pieces AS (SELECT unnest(string_split(seq, 'N')) AS seq FROM ({SCAF_SQL})),
+pairs AS MATERIALIZED (SELECT DISTINCT a.nid AS src, z.nid AS dst FROM pieces AS p JOIN onodes AS a ON a.seq = left(p.seq, {_KP}) JOIN onodes AS z ON z.seq = substr(p.seq, {_FAR + 1}, {_KP}) WHERE length(p.seq) >= {_FAR + _KP}),
+b AS (SELECT src, dst AS nid, 1 AS dist FROM edges WHERE src IN (SELECT src FROM pairs) UNION SELECT b.src, e.dst, dist + 1 FROM b JOIN edges AS e ON e.src = b.nid WHERE dist < {_FAR}),
+dist AS MATERIALIZED (SELECT src, nid, min(dist) AS dist FROM b GROUP BY src, nid),
+back AS (SELECT pairs.src, dst, dist AS i, dst AS nid FROM pairs JOIN dist ON dist.src = pairs.src AND dist.nid = dst
+  UNION ALL SELECT r.src, r.dst, r.i - 1, min(d.nid) FROM back AS r JOIN edges AS e ON e.dst = r.nid JOIN dist AS d ON d.src = r.src AND d.nid = e.src AND d.dist = r.i - 1 WHERE r.i > 1 GROUP BY r.src, r.dst, r.i)"""
+
+
+@query(f"{_PAIRS_13} SELECT src, dst, i, nid FROM back")
+def shortest_path_bidirectional(spark, sf_dir):
+    """Shortest paths between nodes that are 12 steps apart in a contig, in a graph of 13-mers that the data don't fill, searched from both ends."""
+    seqs = materialise(gapped(spark, sf_dir), "gapped")
+    g = Graph.from_sequences(seqs, ["seq_id"], _KP, True).materialised()
+    c = scaffold.contigs(seqs, _FAR + _KP).select(F.left("seq", F.lit(_KP)).alias("kmer"), F.substring("seq", _FAR + 1, _KP).alias("to"))
+    src = g.search(c, "L").select(F.col("nid").alias("src"), F.col("to").alias("kmer"))
+    return paths.shortest(g.edge_table(), g.search(src, "L").select("src", F.col("nid").alias("dst")))
+
+
 def _prefix_sql(most):
     return f"""j AS (SELECT a.cid, a.step, z.step - a.step AS j, z.step - a.step = 1 OR coalesce(dist = z.step - a.step AND ways = 1, false) AS good FROM walk AS a JOIN walk AS z ON a.cid = z.cid AND z.step BETWEEN a.step + 1 AND a.step + {most} LEFT JOIN dist ON dist.src = a.nid AND dist.nid = z.nid),
 n AS MATERIALIZED (SELECT cid, step, coalesce(min(j) FILTER (NOT good) - 1, max(j)) AS length FROM j GROUP BY cid, step)"""
