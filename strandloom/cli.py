@@ -55,7 +55,7 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
         Graph.load(spark, a.graph).stats().show(truncate=False)
     elif a.command == "encode":
         params = Params(a.min_depth, a.max_depth, a.min_rep, max_contig_nodes=a.max_contig_nodes)
-        trims = pipeline.encode(fasta.sequences(fasta.read_fasta(spark, a.input)), Graph.load(spark, a.graph), a.output, params)
+        trims = pipeline.encode(fasta.sequences(fasta.read_sequences(spark, a.input)), Graph.load(spark, a.graph), a.output, params)
         trims.groupBy("status").count().show()
     elif a.command == "decode":
         fasta.write_fasta(pipeline.decode(spark, a.input, Graph.load(spark, a.graph)), a.output)

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strandloom.functions import seq as S
-from strandloom.operators import cluster, encode, paths, scaffold, walk
+from strandloom.operators import cluster, encode, minimizers, paths, scaffold, walk
 from strandloom.operators.graph import Graph, positional_kmers
 from strandloom.session import few_partitions, materialise, table
 
@@ -127,6 +127,17 @@ def kmer_print_roundtrip(spark, sf_dir):
     return k.select("kmer", S.unpack(S.pack(F.col("kmer")), 6).alias("printed"), S.extend_right(F.col("kmer"), F.lit("G")).alias("right_g"), S.extend_left(F.col("kmer"), F.lit("T")).alias("left_t"))
 
 
+@query(" UNION ALL ".join(f"SELECT {k} AS k, least(kmer, {RC.format('kmer')}) AS kmer, count(*) AS n FROM {_kmers_sql(SCAF_SQL, k, 'seq_id')} WHERE NOT contains(kmer, 'N') GROUP BY ALL" for k in (31, 47)))
+def canonical_kmers_wide(spark, sf_dir):
+    """K-mers of one and of two longs, counted by minimizers."""
+    seqs, out = materialise(gapped(spark, sf_dir), "gapped"), None
+    for k in (31, 47):
+        kmer = S.unpack_limbs(F.col("hi"), F.col("lo"), k)
+        rows = minimizers.counts(seqs, ["seq_id"], k, True).select(F.lit(k).alias("k"), S.canonical(kmer).alias("kmer"), "n")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @query(f"WITH {_nodes_sql(DNA_SQL, 7, False, 'doc_id')} SELECT id, seq FROM unitigs")
 def graph_nodes_from_seq(spark, sf_dir):
     return Graph.from_sequences(dna(spark, sf_dir), ["doc_id"], 7, False).unitigs
@@ -207,6 +218,17 @@ def unitigs(spark, sf_dir):
     return event_graph(spark, sf_dir, 5, True, 2).compacted().unitigs
 
 
+# Of a chain and its reverse one stays; a ring is cut before the node of least number, in its own orientation.
+@query(f"""WITH RECURSIVE {_nodes_sql(DNA_SQL, 11, False, 'doc_id')}, j AS (SELECT j, max(nid) FILTER (o) AS src, max(nid) FILTER (NOT o) AS dst FROM (SELECT nid, right(seq, 10) AS j, true AS o FROM onodes UNION ALL SELECT nid, left(seq, 10), false FROM onodes) GROUP BY j HAVING count_if(o) = 1 AND count_if(NOT o) = 1),
+joints AS MATERIALIZED (SELECT src, dst FROM j WHERE src <> dst AND dst <> xor(src, 1)),
+fwd AS (SELECT nid AS head, nid AS cur, seq FROM onodes WHERE nid NOT IN (SELECT dst FROM joints) UNION ALL SELECT head, dst, fwd.seq || right(o.seq, 1) FROM fwd JOIN joints ON cur = src JOIN onodes AS o ON o.nid = dst),
+ring AS (SELECT nid AS head, nid AS cur, seq FROM onodes WHERE nid NOT IN (SELECT cur FROM fwd) UNION ALL SELECT head, dst, ring.seq || right(o.seq, 1) FROM ring JOIN joints ON cur = src JOIN onodes AS o ON o.nid = dst WHERE dst <> head),
+every AS (SELECT max_by(seq, length(seq)) AS seq, min(cur) AS low FROM fwd GROUP BY head UNION ALL SELECT max_by(seq, length(seq)), min(cur) FROM ring GROUP BY head HAVING head = 2 * min(cur // 2)),
+one AS (SELECT least(seq, {RC.format('seq')}) AS seq, min(low) AS low FROM every GROUP BY 1) SELECT row_number() OVER (ORDER BY low) - 1 AS id, seq FROM one""")
+def unitigs_canonical(spark, sf_dir):
+    return Graph.from_sequences(dna(spark, sf_dir), ["doc_id"], 11, False).materialised().compacted().unitigs
+
+
 _OFFSETS = f"""{_UNITIGS},
 q AS MATERIALIZED (SELECT cid AS seq_id, seq, seq_id AS sid, contig_idx FROM ({_contigs_sql(1)})), nodes AS MATERIALIZED (SELECT row_number() OVER (ORDER BY low, seq) - 1 AS id, seq AS node, length(seq) AS len FROM compact),
 p AS MATERIALIZED (SELECT seq_id, pos, kmer FROM {_kmers_sql('SELECT seq_id, seq FROM q', 5, 'seq_id')}),

@@ -22,14 +22,34 @@ def read_fasta(spark: SparkSession, path: str | list[str], place: bool = False)
 
 
 def read_fastq(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(header, seq, quality) of FASTQ files of four lines a record; lines are numbered by file and place, without a global sort in one task."""
+    """(header, seq, quality) of FASTQ files of four lines a record; lines are numbered by file and place, without a global sort in one task.
+
+    A record without '@', without '+', or with as many signs of quality as it has not bases raises.
+    """
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
     lines = ordered_ids(lines.where("trim(value) <> ''"), ["file", "block", "at"], "line")
     first = lines.groupBy("file").agg(F.min("line").alias("first"))
     place = lines.join(first, "file").withColumn("n", F.col("line") - F.col("first"))
     place = place.select("file", F.floor(F.col("n") / 4).alias("record"), (F.col("n") % 4).alias("i"), F.regexp_replace("value", "\r", "").alias("value"))
     per = place.groupBy("file", "record").agg(*[F.max(F.when(F.col("i") == i, F.col("value"))).alias(c) for i, c in enumerate(("h", "seq", "plus", "quality"))])
-    return per.select(F.regexp_replace("h", "^@", "").alias("header"), "seq", "quality")
+    right = F.startswith("h", F.lit("@")) & F.startswith("plus", F.lit("+")) & (F.length("seq") == F.length("quality"))
+    wrong = F.raise_error(F.concat(F.lit("no FASTQ record: line "), (F.col("record") * 4 + 1).cast("string"), F.lit(" of "), F.col("file")))
+    return per.select(F.when(F.coalesce(right, F.lit(False)), F.substring("h", F.lit(2), F.length("h"))).otherwise(wrong).alias("header"), "seq", "quality")
+
+
+def read_sequences(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(header, seq) of FASTA and FASTQ files, told apart by the first sign of each file; another first sign raises, an empty file has no records."""
+    found: dict[str, list[str]] = {">": [], "@": []}
+    for file in sorted(spark.read.text(path).inputFiles()):
+        first = spark.read.text(file).where("trim(value) <> ''").first()
+        if first is None:
+            continue
+        sign = first.value.lstrip()[:1]
+        if sign not in found:
+            raise ValueError(f"neither FASTA nor FASTQ: {file}")
+        found[sign].append(file)
+    out = read_fasta(spark, found[">"]) if found[">"] else spark.createDataFrame([], "header string, seq string")
+    return out.unionByName(read_fastq(spark, found["@"]).select("header", "seq")) if found["@"] else out
 
 
 def write_fasta(seqs: DataFrame, path: str, header: str = "seq_id") -> None:
@@ -48,15 +68,41 @@ def sequences(records: DataFrame) -> DataFrame:
     return records.select(F.substring_index("header", " ", 1).alias("seq_id"), S.normalise(F.col("seq")).alias("seq"))
 
 
-def read_tsv(spark: SparkSession, path: str, schema: str, skip: int = 4) -> DataFrame:
-    """Tab-separated rows after `skip` lines of each file."""
+def _tsv_lines(spark: SparkSession, path: str, skip: int) -> tuple[DataFrame, DataFrame]:
+    """Lines after the first `skip` of each file, and those first ones with their numbers from 1."""
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
     w = Window.partitionBy("file").orderBy("block", "at")
-    head = lines.where("block = 0").withColumn("r", F.row_number().over(w)).where(F.col("r") <= skip).select("file", "block", "at")
-    rows = lines.join(head, ["file", "block", "at"], "left_anti")
+    head = lines.where("block = 0").withColumn("r", F.row_number().over(w)).where(F.col("r") <= skip)
+    return lines.join(head.select("file", "block", "at"), ["file", "block", "at"], "left_anti"), head
+
+
+def read_tsv(spark: SparkSession, path: str, schema: str, skip: int = 4, header: bool = False) -> DataFrame:
+    """Tab-separated rows after `skip` lines of each file, and with `header` one more that names the columns."""
+    rows, _ = _tsv_lines(spark, path, skip + header)
     return rows.select(F.from_csv("value", F.lit(schema), {"sep": "\t"}).alias("x")).select("x.*")
 
 
+def read_wide(spark: SparkSession, path: str, skip: int = 4) -> DataFrame:
+    """(gram, genome, cnt) of tables with a column per genome: the line after `skip` names the columns, the first one the grams. Each file has its own header; empty cells give no rows."""
+    rows, head = _tsv_lines(spark, path, skip + 1)
+    names = head.where(F.col("r") == skip + 1).select("file", F.split(F.regexp_replace("value", "\r$", ""), "\t").alias("names"))
+    cells = rows.where("trim(value) <> ''").join(F.broadcast(names), "file").select("names", F.split(F.regexp_replace("value", "\r$", ""), "\t").alias("v"))
+    cells = cells.select(F.get("v", F.lit(0)).alias("gram"), F.posexplode(F.slice("v", F.lit(2), F.size("v"))).alias("i", "cnt"), "names")
+    return cells.select("gram", F.get("names", F.col("i") + 1).alias("genome"), F.col("cnt").try_cast("bigint").alias("cnt")).where("cnt is not null")
+
+
+def write_wide(counts: DataFrame, path: str, notes: list[str]) -> None:
+    """read_wide's format in one folder: notes first, then names, then a row a gram with 0 where a genome lacks it. Every file has the notes and the names."""
+    genomes = [r.genome for r in counts.select("genome").distinct().orderBy("genome").collect()]
+    wide = counts.groupBy("gram").pivot("genome", genomes).agg(F.sum("cnt"))
+    line = F.concat_ws("\t", "gram", *[F.coalesce(F.col(f"`{g}`"), F.lit(0)).cast("string") for g in genomes])
+    text = "\n".join([*notes, "\t".join(["gram", *genomes])])
+    part = F.spark_partition_id()
+    rows = wide.select(part.alias("p"), F.lit(1).alias("o"), line.alias("value"))
+    heads = rows.select("p").distinct().select("p", F.lit(0).alias("o"), F.lit(text).alias("value"))
+    rows.unionByName(heads).repartition("p").sortWithinPartitions("p", "o").select("value", "p").write.partitionBy("p").text(path)
+
+
 def parse_sizes(lines: DataFrame) -> DataFrame:
     """(n, k, filetype, filesize) of `ls -l` lines of files whose names end in <n>.k<k>.<type>, or <n>_k<k>.<type>."""
     pattern = r"(\d+)\s+\S+\s+\d+\s+\S+\s+\S*?(\d+)[._]k(\d+)\.(\w+)$"

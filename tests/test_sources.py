@@ -1,5 +1,8 @@
 import gzip
 
+import pytest
+
+from strandloom.operators import cluster
 from strandloom.sources import fasta
 
 
@@ -33,3 +36,32 @@ def test_tsv_and_logs(spark, tmp_path):
     (tmp_path / "stats").write_text("yeast8.k23.bin nodes: 1,204 edges: 2_310 average length: 31.5\nno numbers here\nx4_k31 Edges 7, Nodes 5\n")
     got = sorted(tuple(r) for r in fasta.parse_stats(spark.read.text(str(tmp_path / "stats"))).collect())
     assert got == [(4, 31, 5, 7, None), (8, 23, 1204, 2310, 31.5)]
+
+
+def test_formats_are_told_apart(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.txt").write_text(">a x\nACGT\nAC\n")
+    (tmp_path / "in/e").write_text("")
+    with gzip.open(tmp_path / "in/b.gz", "wt") as f:
+        f.write("@r1 y\nACGT\n+r1\n@II>\n@r2\nGG\n+\n@@\n")
+    got = sorted(tuple(r) for r in fasta.read_sequences(spark, str(tmp_path / "in")).collect())
+    assert got == [("a x", "ACGTAC"), ("r1 y", "ACGT"), ("r2", "GG")]
+    (tmp_path / "x.txt").write_text("ACGT\n")
+    with pytest.raises(ValueError, match="neither"):
+        fasta.read_sequences(spark, str(tmp_path / "x.txt"))
+    for text in ("@r\nACGT\n+\nII\n", "@r\nACGT\nACGT\nIIII\n", "@r\nAC\n+\nII\nr2\nAC\n+\nII\n", "@r\nAC\n"):
+        (tmp_path / "bad.fq").write_text(text)
+        with pytest.raises(Exception, match="no FASTQ record"):
+            fasta.read_sequences(spark, str(tmp_path / "bad.fq")).collect()
+
+
+def test_wide_tables(spark, tmp_path):
+    """Wide to long and back, with genomes that are known only from the header."""
+    (tmp_path / "w.tsv").write_text("#1\n#2\n#3\n#4\ngram\tyeast A\tmouse\n1-2\t3\t0\n2-2\t\t5\n")
+    assert [tuple(r) for r in fasta.read_tsv(spark, str(tmp_path / "w.tsv"), "g string, a int, b int", header=True).orderBy("g").collect()] == [("1-2", 3, 0), ("2-2", None, 5)]
+    long = fasta.read_wide(spark, str(tmp_path / "w.tsv"))
+    assert sorted(tuple(r) for r in long.collect()) == [("1-2", "mouse", 0), ("1-2", "yeast A", 3), ("2-2", "mouse", 5)]
+    assert sorted((r.genomes, r.grams) for r in cluster.rarity(long).collect()) == [(1, 2)]
+    fasta.write_wide(long.repartition(2), str(tmp_path / "back"), ["a", "b"])
+    back = fasta.read_wide(spark, str(tmp_path / "back"), 2)
+    assert sorted(tuple(r) for r in back.collect()) == [("1-2", "mouse", 0), ("1-2", "yeast A", 3), ("2-2", "mouse", 5), ("2-2", "yeast A", 0)]
