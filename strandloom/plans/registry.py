@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strandloom.functions import seq as S
-from strandloom.operators import cluster, encode, minimizers, paths, scaffold, walk
+from strandloom.operators import cluster, codec, encode, minimizers, paths, scaffold, walk
 from strandloom.operators.graph import Graph, positional_kmers
 from strandloom.session import few_partitions, materialise, table
 
@@ -415,6 +415,26 @@ def greedy_log(spark, sf_dir):
     return encode.log_lines(encode.greedy(w, g, encode.Params(min_sp=_SP, min_rep=_REP)))
 
 
+_VARINT = "CASE WHEN {0} < 251 THEN 1 WHEN {0} < 65536 THEN 3 WHEN {0} < 4294967296 THEN 5 ELSE 9 END"
+_VINT = "CASE " + " ".join(f"WHEN coalesce(nid, 0) < {1 << (7 * n)} THEN {n}" for n in range(1, 9)) + " ELSE 9 END"
+
+
+@query(f"""{_GREEDY}, said AS (SELECT cid, -1 AS step, 'TN' AS kind, nid, NULL AS nb FROM walk WHERE step = 0
+  UNION ALL SELECT m.cid, m.step, 'TN', w.nid, NULL FROM moves AS m JOIN walk AS w ON w.cid = m.cid AND w.step = m.step + adv WHERE kind = 'TN'
+  UNION ALL SELECT cid, step, 'R', NULL, adv FROM moves WHERE kind = 'R' UNION ALL SELECT cid, step + unnest(range(0, adv)), 'NN', NULL, NULL FROM moves WHERE kind = 'NN'),
+ch AS (SELECT *, (lag(kind) OVER w IS DISTINCT FROM kind)::INT AS c FROM said WINDOW w AS (PARTITION BY cid ORDER BY step)), islands AS (SELECT *, sum(c) OVER (PARTITION BY cid ORDER BY step) AS island FROM ch),
+blk AS (SELECT *, (row_number() OVER (PARTITION BY cid, island ORDER BY step) - 1) // 64 AS block FROM islands),
+per AS (SELECT cid, kind, count(*) AS n, sum({_VINT}) AS nid_bytes, sum({_VARINT.format('coalesce(nb, 0)')} + 1) AS rep_bytes FROM blk GROUP BY cid, island, block, kind)
+SELECT {_IDS}, sum(n)::BIGINT AS extensions, (sum(1 + CASE kind WHEN 'TN' THEN nid_bytes WHEN 'NN' THEN ceil(n / 4) ELSE rep_bytes END) + {_VARINT.format('count(*)')})::BIGINT AS bytes, true AS decodes FROM per GROUP BY cid""")
+def encoding_blobs(spark, sf_dir):
+    """Encodings as bytes: the size of each blob, and whether the walk comes back from it."""
+    g, w = _walks(spark, sf_dir)
+    blobs = materialise(codec.to_bytes(encode.greedy(w, g, encode.Params(min_sp=_SP, min_rep=_REP))), "blobs")
+    back = encode.decode(codec.from_bytes(blobs), g).withColumnRenamed("nid", "again")
+    same = w.select("seq_id", "contig_idx", "step", "nid").join(back, ["seq_id", "contig_idx", "step"], "full").groupBy("seq_id", "contig_idx").agg(F.bool_and(F.col("nid").eqNullSafe(F.col("again"))).alias("decodes"))
+    return blobs.select("seq_id", "contig_idx", "extensions", F.octet_length("blob").cast("long").alias("bytes")).join(same, ["seq_id", "contig_idx"])
+
+
 _KS = 15
 
 
@@ -472,10 +492,6 @@ def extension_runs(spark, sf_dir):
     return encode.runs(_extensions(spark, sf_dir), ["user_id"], "ext_idx")
 
 
-_VARINT = "CASE WHEN {0} < 251 THEN 1 WHEN {0} < 65536 THEN 3 WHEN {0} < 4294967296 THEN 5 ELSE 9 END"
-_VINT = "CASE " + " ".join(f"WHEN coalesce(nid, 0) < {1 << (7 * n)} THEN {n}" for n in range(1, 9)) + " ELSE 9 END"
-
-
 @query(f"""WITH {_RUNS}, per AS (SELECT user_id, kind, count(*) AS n, sum({_VINT}) AS nid_bytes, sum({_VARINT.format('coalesce(nb, 0)')} + 1) AS rep_bytes FROM blk GROUP BY user_id, island, block, kind)
 SELECT user_id, count(*) AS patches, (sum(1 + CASE kind WHEN 'TN' THEN nid_bytes WHEN 'NN' THEN ceil(n / 4) ELSE rep_bytes END) + {_VARINT.format('count(*)')})::BIGINT AS bytes FROM per GROUP BY user_id""")
 def encoded_bytes(spark, sf_dir):

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandloom.functions import seq as S
-from strandloom.operators import encode, paths, scaffold, walk
+from strandloom.operators import codec, encode, paths, scaffold, walk
 from strandloom.operators.graph import Graph, positional_kmers
 from strandloom.operators.ids import row_numbers
 
@@ -190,3 +190,78 @@ def test_packing_bases(spark):
         assert r.back == r.s and len(r.b) == -(-len(r.s) // 4)
     with pytest.raises(Exception, match="31"):
         spark.createDataFrame([("A" * 32,)], "s string").select(S.pack(F.col("s"))).collect()
+
+
+def test_blobs(spark):
+    rng = random.Random(2)
+    seq = "".join(rng.choice("ACGT") for _ in range(300)) + "ACAC" * 200
+    seq += seq[40:200]
+    g = Graph.from_sequences(spark.createDataFrame([("0", seq)], "seq_id string, seq string"), ["seq_id"], 5, False).compacted().materialised()
+    w, _ = walk.embed(contigs(spark, seq, seq[90:400]), g)
+    own = ["kind", "base", "nb", "off"]
+    for params in (encode.Params(2, 9, 3), encode.Params(2, 9, 3, max_contig_nodes=40)):
+        ext = encode.greedy(w, g, params)
+        blobs = codec.to_bytes(ext).collect()
+        sizes = {(r.seq_id, r.contig_idx, r.piece): r.bytes for r in encode.encoded_bytes(ext.selectExpr("*", f"floor(ext_idx / {encode.PIECE}) as piece"), ["seq_id", "contig_idx", "piece"], "ext_idx").collect()}
+        assert {(r.seq_id, r.contig_idx, r.piece): len(r.blob) for r in blobs} == sizes
+        df = spark.createDataFrame(blobs, codec.BLOB)
+        back = codec.from_bytes(df)
+        plain = lambda d: sorted((r.seq_id, r.ext_idx, r.kind, r.nid if r.kind == "TN" else None, r.base, r.nb if r.kind == "R" else 1, r.off) for r in d.collect())
+        assert plain(back) == plain(ext) and set(own) <= set(back.columns)
+        assert sorted(map(str, codec.to_bytes(back).collect())) == sorted(map(str, blobs))
+        assert sorted(map(str, encode.decode(back, g).collect())) == sorted(map(str, encode.decode(ext, g).collect()))
+        with pytest.raises(Exception, match="checksum"):
+            codec.from_bytes(df.withColumn("blob", F.expr("substring(blob, 1, length(blob) - 1)"))).collect()
+    blob = codec.pack(["TN", "TN", "R", "NN"], [0, (1 << 63) - 1, None, None], [None] * 3 + [2], [None, None, 70000, None], [None, None, 255, None])
+    assert codec.unpack(blob) == [("TN", 0, None, 1, None), ("TN", (1 << 63) - 1, None, 1, None), ("R", None, None, 70000, 255), ("NN", None, 2, 1, None)]
+    for wrong in (blob[:-1], blob + b"x", b"\x01\x03", b"\xff"):
+        with pytest.raises(ValueError):
+            codec.unpack(wrong)
+
+
+def test_paths_from_both_ends(spark):
+    """Random graphs: searches from both ends give the paths of a search from one end, and reach far fewer nodes."""
+    rng = random.Random(5)
+    n = 300
+    steps = sorted({(rng.randrange(n), rng.randrange(n)) for _ in range(500)})
+    edges = spark.createDataFrame([(a, b, i % 4) for i, (a, b) in enumerate(steps)], "src long, dst long, base int")
+    after = {}
+    for a, b in steps:
+        after.setdefault(a, []).append(b)
+    ball = 0
+
+    def one_sided(a, b):
+        nonlocal ball
+        parent, front = {}, [a]
+        while front:
+            found = {}
+            for v in front:
+                for u in after.get(v, []):
+                    if u not in parent and u not in found:
+                        found[u] = v
+            parent |= found
+            ball += len(found)
+            if b in found:
+                path = [b]
+                while parent[path[-1]] != a:
+                    path.append(parent[path[-1]])
+                return path[::-1]
+            front = sorted(found)
+        return None
+
+    pairs = sorted({(rng.randrange(n), rng.randrange(n)) for _ in range(50)} | {(i, i) for i in range(10)})
+    expect = {p: one_sided(*p) for p in pairs}
+    g = paths.Adjacency.of(edges)
+    assert {p: g.shortest(*p) for p in pairs} == expect and max(len(x or ()) for x in expect.values()) >= 10
+    df, got = spark.createDataFrame(pairs, "src long, dst long"), {}
+    for r in paths.shortest(edges, df).orderBy("i").collect():
+        got.setdefault((r.src, r.dst), []).append(r.nid)
+    assert got == {p: x for p, x in expect.items() if x}
+    assert sum(t.count() for t in paths._meet(edges, df, None)[1][1:]) < ball / 3
+
+
+def test_null_ids(spark):
+    rows = [(None, 0, i, 7) for i in range(6)] + [("a", 0, i, i % 2) for i in range(8)] + [("", 0, i, i) for i in range(5)]
+    w = spark.createDataFrame(rows, "seq_id string, contig_idx int, step int, nid long").repartition(1)
+    got = {(r.seq_id, r.pos, r.run, r.offset) for r in encode.repetitions(w, encode.Params(min_rep=3)).collect()}
+    assert got == {(None, 1, 5, 0), ("a", 2, 6, 1)}
