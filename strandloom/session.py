@@ -8,7 +8,7 @@ import shutil
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
@@ -77,6 +77,16 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         _written.reset(token)
 
 
+def settle(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """materialise(make()), after which what make() materialised on its way is deleted."""
+    path = new_path(spark, name)
+    with scratch(spark):
+        df = make()
+        df.write.parquet(path)
+    discard_later(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def few_partitions(df: DataFrame) -> bool:
     """Is df read in fewer tasks than there are cores?"""
     return df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism
