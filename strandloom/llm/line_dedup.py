@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.llm.skew import join_counted
-from strandloom.session import materialise
+from strandloom.session import materialise, settle
 
 LEAST = 8
 #: Tables of lines and of met variants with up to this many rows are broadcast; larger ones are shuffled, their hot keys apart.
@@ -113,7 +113,7 @@ def dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     rank = F.struct(F.col("id").isNull().alias("none"), "id", "line_no")
     distinct = found.groupBy("h1", "h2").agg(F.min(rank).alias("first"), F.count("*").alias("c"), F.max("halves").alias("halves"))
     distinct = materialise(distinct.select("h1", "h2", F.col("first.id").alias("id"), F.col("first.line_no").alias("line_no"), "c", "halves"), "distinct-lines")
-    near = materialise(_near(distinct, docs, id_col, text_col, least, broadcast), "near-lines")
+    near = settle(docs.sparkSession, lambda: _near(distinct, docs, id_col, text_col, least, broadcast), "near-lines")
     table = distinct.select("h1", "h2", "id", "line_no", "c").join(near, ["h1", "h2"], "left").where("c > 1 or keep_line is not null")
     equal = F.col("keep_line").isNull()
     table = table.select("h1", "h2", "c", F.when(equal, F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("keep_line", "line_no").alias("keep_line"), equal.alias("exact"))
