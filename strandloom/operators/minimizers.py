@@ -156,7 +156,8 @@ def counts(seqs: DataFrame, order: list[str], k: int, canonical: bool) -> DataFr
     """(hi, lo, first, n) of all k-mers without N: their limbs, occurrences, and `first` as in _counted, ascending by `order` and position."""
     ranked = ordered_ids(seqs.select(*order, "seq"), order, "rank").where(F.length("seq") >= k)
     cut = F.explode(F.sequence(F.lit(0), F.length("seq") - k, F.lit(PIECE))).alias("pos")
-    rows = ranked.select("rank", F.col("seq").cast("binary").alias("seq"), cut).select("rank", "pos", F.substring("seq", F.col("pos") + 1, F.lit(PIECE + k - 1)).alias("seq"))
+    rank = F.when(F.col("rank") < 1 << 31, F.col("rank")).otherwise(F.raise_error(F.lit("more than 2^31 records")).cast("long")).alias("rank")
+    rows = ranked.select(rank, F.col("seq").cast("binary").alias("seq"), cut).select("rank", "pos", F.substring("seq", F.col("pos") + 1, F.lit(PIECE + k - 1)).alias("seq"))
     found = materialise(super_kmers(rows, k, canonical), "super-k-mers")
     per = found.groupBy("mini").agg(F.count("*").alias("c"))
     hot = per.where(F.col("c") >= max(1000, int(found.count() * HOT_SHARE))).select("mini", F.lit(True).alias("hot"))
