@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strandloom.functions import seq as S
-from strandloom.operators import cluster, codec, encode, minimizers, paths, scaffold, walk
+from strandloom.operators import cluster, codec, encode, grams, minimizers, paths, scaffold, walk
 from strandloom.operators.graph import Graph, positional_kmers
 from strandloom.session import few_partitions, materialise, table
 
@@ -567,6 +567,21 @@ def gram_summary(spark, sf_dir):
     return cluster.summary(_grams(spark, sf_dir))
 
 
+_SIZES = [1, 2, 3, 4, 5, 6, 8, 10, 12, 14, 16, 18, 20, 25, 30, 35, 40, 45, 50]
+
+
+@query(f"""WITH {_nodes_sql(DNA_SQL, 7, False, 'doc_id')}, walk AS MATERIALIZED (SELECT doc_id, pos AS step, nid FROM {_kmers_sql(DNA_SQL, 7)} JOIN ends USING (kmer) WHERE side = 'L'),
+g AS MATERIALIZED ({" UNION ALL ".join(f"SELECT {m} AS size, doc_id, string_agg(nid::VARCHAR, '-') OVER w AS gram, count(*) OVER w AS n FROM walk WINDOW w AS (PARTITION BY doc_id ORDER BY step ROWS BETWEEN CURRENT ROW AND {m - 1} FOLLOWING)" for m in _SIZES)}),
+c AS (SELECT size, gram, count(DISTINCT doc_id) AS genomes, count(*) AS total FROM g WHERE n = size GROUP BY size, gram)
+SELECT size::INT AS size, count(*) AS grams, count_if(total = 1) / count(*) AS unique_share, {", ".join(f"{f}({x}){c} AS {f}_{x}{e}".replace('mean(', 'avg(') for x in ('total', 'genomes') for c, e in (('', ''), (' FILTER (total > 1)', '_repeated')) for f in ('mean', 'median'))}
+FROM c GROUP BY size""")
+def gram_series(spark, sf_dir):
+    seqs = materialise(dna(spark, sf_dir), "dna")
+    g = Graph.from_sequences(seqs, ["doc_id"], 7, False).materialised()
+    contigs = seqs.select(F.col("doc_id").cast("string").alias("seq_id"), F.lit(0).alias("contig_idx"), "seq")
+    return grams.series(grams.counts(walk.walk(contigs, g), _SIZES))
+
+
 @query("SELECT doc_id, regexp_replace(string_split(source || '|' || lang || ':' || doc_id || ' ' || left(text, 20), ' ')[1], '[^a-zA-Z0-9_.-]', '_', 'g') AS name FROM documents")
 def fasta_id_sanitise(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
