@@ -83,6 +83,40 @@ def test_gaps(spark, seq, compat, decoded):
     assert scaffold.assemble(scaffold.contigs(s, 3), scaffold.gaps_exact(s, 3)).first().seq == decoded
 
 
+@pytest.mark.parametrize("chunk", [1, 7, 1 << 20])
+def test_gaps_over_chunks(spark, chunk):
+    """Chunks of any size give what splitting on N gives: stretches over many chunks, edges at either end, no bases, a null id and a null sequence."""
+    rng = random.Random(chunk)
+    rows = [(str(i), "".join(rng.choices("ACGTN", [1, 1, 1, 1, rng.choice([1, 4, 20])], k=rng.randrange(1, 60)))) for i in range(40)]
+    rows += [("n", "N" * 25), ("b", "ACGTA" * 6), ("e", ""), (None, "NNACGNNACNACGTNN"), ("null", None)]
+    s = spark.createDataFrame(rows, "seq_id string, seq string")
+    want, exact, compat = set(), set(), set()
+    for name, seq in rows:
+        at, idx, end, unit = 0, 0, 0, 0
+        for piece in ("" if seq is None else seq).split("N"):
+            if len(piece) >= 3:
+                want.add((name, idx, at, piece))
+                exact.add((name, idx, at - end))
+                compat.add((name, idx, unit))
+                idx, end, unit = idx + 1, at + len(piece), 0
+            else:
+                unit += len(piece) or 1
+            at += len(piece) + 1
+        exact.add((name, idx, len(seq or "") - end))
+        compat.add((name, idx, unit))
+    of = lambda df: sorted(map(str, (tuple(r) for r in df.collect())))
+    assert of(scaffold.contigs(s, 3, chunk)) == sorted(map(str, want))
+    assert of(scaffold.gaps_exact(s, 3, chunk)) == sorted(map(str, exact))
+    assert of(scaffold.gaps_compat(s, 3, chunk)) == sorted(map(str, compat))
+
+
+def test_gap_of_millions(spark):
+    """30 million Ns are 30 rows on their way, in several tasks."""
+    s = spark.range(1).select(F.lit("x").alias("seq_id"), F.expr("concat('ACGT', repeat('N', 30000000), 'GGA', repeat('C', 1500000))").alias("seq"))
+    assert [(r.gap_idx, r.gap_len) for r in scaffold.gaps_exact(s, 4).orderBy("gap_idx").collect()] == [(0, 0), (1, 30_000_000), (2, 0)]
+    assert [(r.start, r.n) for r in scaffold.contigs(s, 4).select("start", F.length("seq").alias("n")).orderBy("start").collect()] == [(0, 4), (30_000_004, 1_500_003)]
+
+
 def test_repetitions():
     assert encode.repetitions_of(np.array([1, 2, 3, 1, 2, 3, 1, 2, 3, 4, 4, 4, 4, 4]), 3, 255) == [(3, 6, 2), (10, 4, 0)]
     assert encode.repetitions_of(np.array([ord(c) for c in "abcabcabcabx"]), 3, 255) == [(3, 8, 2)]
