@@ -17,7 +17,7 @@ from strandloom.sources import fasta
 
 def build(spark: SparkSession, unitig_files: str | list[str], out: str, k: int, stranded: bool = False) -> Graph:
     """Unitigs of FASTA files as a saved graph; ids are the records' places in the files, which follow each other by path."""
-    records = fasta.read_fasta(spark, unitig_files, place=True)
+    records = fasta.read_sequences(spark, unitig_files, place=True)
     numbered = ordered_ids(records, fasta.PLACE).select("id", S.normalise(F.col("seq")).alias("seq"))
     graph = Graph(materialise(numbered, "unitigs"), k, stranded).checked()
     graph.save(out)
@@ -63,9 +63,9 @@ def split_by_cluster(spark: SparkSession, genomes: str | list[str], out: str, k:
 
     Returns (genome, record, cluster), which is written too. Records of one name in several genomes stay apart.
     """
-    found = fasta.read_fasta(spark, genomes, place=True)
+    found = fasta.read_sequences(spark, genomes, place=True)
     records = found.select(
-        F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"\.(fa|fna|fasta)(\.gz)?$", "").alias("genome"), S.sanitise_id(F.col("header")).alias("record"), S.normalise(F.col("seq")).alias("seq")
+        F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"\.(fa|fna|fasta|fq|fastq)(\.b?gz)?$", "").alias("genome"), S.sanitise_id(F.col("header")).alias("record"), S.normalise(F.col("seq")).alias("seq")
     )
     records = materialise(records, "records")
     first = records.agg(F.min("genome")).first()[0]

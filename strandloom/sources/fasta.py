@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import seq as S
 from strandloom.operators.ids import ordered_ids
+from strandloom.sources import bgzf
 
 
 #: Where a record stands, in order: file, part of the file, place in that part.
@@ -21,8 +22,8 @@ def read_fasta(spark: SparkSession, path: str | list[str], place: bool = False)
     return rows.select(*(PLACE if place else []), F.substring_index("v", "\n", 1).alias("header"), F.when(F.contains("v", F.lit("\n")), F.regexp_replace(F.expr("substring(v, length(substring_index(v, '\\n', 1)) + 2)"), r"\s+", "")).otherwise("").alias("seq"))
 
 
-def read_fastq(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(header, seq, quality) of FASTQ files of four lines a record; lines are numbered by file and place, without a global sort in one task.
+def read_fastq(spark: SparkSession, path: str | list[str], place: bool = False) -> DataFrame:
+    """(header, seq, quality) of FASTQ files, and with `place` also PLACE, of four lines a record; lines are numbered by file and place, without a global sort in one task.
 
     A record without '@', without '+', or with as many signs of quality as it has not bases raises.
     """
@@ -34,13 +35,20 @@ def read_fastq(spark: SparkSession, path: str | list[str]) -> DataFrame:
     per = place.groupBy("file", "record").agg(*[F.max(F.when(F.col("i") == i, F.col("value"))).alias(c) for i, c in enumerate(("h", "seq", "plus", "quality"))])
     right = F.startswith("h", F.lit("@")) & F.startswith("plus", F.lit("+")) & (F.length("seq") == F.length("quality"))
     wrong = F.raise_error(F.concat(F.lit("no FASTQ record: line "), (F.col("record") * 4 + 1).cast("string"), F.lit(" of "), F.col("file")))
-    return per.select(F.when(F.coalesce(right, F.lit(False)), F.substring("h", F.lit(2), F.length("h"))).otherwise(wrong).alias("header"), "seq", "quality")
+    where = [F.col("file"), F.lit(0).cast("long").alias("block"), F.col("record").alias("at")] if place else []
+    return per.select(*where, F.when(F.coalesce(right, F.lit(False)), F.substring("h", F.lit(2), F.length("h"))).otherwise(wrong).alias("header"), "seq", "quality")
 
 
-def read_sequences(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(header, seq) of FASTA and FASTQ files, told apart by the first sign of each file; another first sign raises, an empty file has no records."""
-    found: dict[str, list[str]] = {">": [], "@": []}
+def read_sequences(spark: SparkSession, path: str | list[str], place: bool = False) -> DataFrame:
+    """(header, seq) of FASTA and FASTQ files, told apart by the first sign of each file, and with `place` also PLACE; another first sign raises, an empty file has no records.
+
+    BGZF files are read by ranges of blocks in many tasks, other compressed files in one task each.
+    """
+    found: dict[str, list[str]] = {">": [], "@": [], "bgzf": []}
     for file in sorted(spark.read.text(path).inputFiles()):
+        if file.endswith((".gz", ".bgz")) and bgzf.is_bgzf(file):
+            found["bgzf"].append(file)
+            continue
         first = spark.read.text(file).where("trim(value) <> ''").first()
         if first is None:
             continue
@@ -48,8 +56,13 @@ def read_sequences(spark: SparkSession, path: str | list[str]) -> DataFrame:
         if sign not in found:
             raise ValueError(f"neither FASTA nor FASTQ: {file}")
         found[sign].append(file)
-    out = read_fasta(spark, found[">"]) if found[">"] else spark.createDataFrame([], "header string, seq string")
-    return out.unionByName(read_fastq(spark, found["@"]).select("header", "seq")) if found["@"] else out
+    columns = [*(PLACE if place else []), "header", "seq"]
+    out = read_fasta(spark, found[">"], place) if found[">"] else spark.createDataFrame([], ", ".join({"block": "block long", "at": "at long"}.get(c, f"{c} string") for c in columns))
+    if found["@"]:
+        out = out.unionByName(read_fastq(spark, found["@"], place).select(columns))
+    out = out.unionByName(bgzf.read_bgzf(spark, found["bgzf"]).select(columns)) if found["bgzf"] else out
+    # Local paths come with one slash or three; PLACE orders them by name alone.
+    return out.withColumn("file", F.regexp_replace("file", "^file:/+", "file:///")) if place else out
 
 
 def write_fasta(seqs: DataFrame, path: str, header: str = "seq_id") -> None:
