@@ -1,4 +1,4 @@
-"""python -m strandloom.cli build | cluster | stats-g | encode | decode | stats-p; on a cluster through spark-submit, whose master and settings it keeps."""
+"""python -m strandloom.cli build | cluster | stats-g | encode | decode | stats-p | all; on a cluster through spark-submit, whose master and settings it keeps."""
 
 from __future__ import annotations
 
@@ -40,6 +40,13 @@ def main(args: list[str] | None = None) -> None:
         c.add_argument(a, {"-i": "--input", "-o": "--output", "-g": "--graph"}[a], required=True)
     c = sub.add_parser("stats-p", help="extensions and nodes of an encoding")
     c.add_argument("-i", "--input", required=True)
+    c = sub.add_parser("all", help="clusters of genomes, a graph and an encoding of each")
+    c.add_argument("-k", type=int, required=True)
+    c.add_argument("-i", "--input", required=True, nargs="+", help="files, one a genome")
+    c.add_argument("-o", "--output", required=True)
+    c.add_argument("-f", "--forward-only", action="store_true", help="k-mers and their reverse complements are apart")
+    c.add_argument("--one-graph", action="store_true", help="no clusters")
+    c.add_argument("--sketch", type=int, help="estimate clusters from so many hashes a record")
     a = p.parse_args(args)
     spark = get_session()
     with scratch(spark):
@@ -59,6 +66,10 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
         trims.groupBy("status").count().show()
     elif a.command == "decode":
         fasta.write_fasta(pipeline.decode(spark, a.input, Graph.load(spark, a.graph)), a.output)
+    elif a.command == "all":
+        for name in pipeline.whole(spark, a.input, a.output, a.k, not a.one_graph, a.forward_only, a.sketch):
+            print(name)
+            pipeline.statistics(spark, f"{a.output}/encodings/{name}").show(truncate=False)
     else:
         pipeline.statistics(spark, a.input).show(truncate=False)
 

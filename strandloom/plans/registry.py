@@ -6,8 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strandloom.functions import seq as S
-from strandloom.operators import cluster, codec, encode, grams, minimizers, paths, scaffold, walk
+from strandloom.operators import cluster, codec, encode, grams, minimizers, parse, paths, scaffold, walk
 from strandloom.operators.graph import Graph, positional_kmers
+from strandloom.operators.ids import ordered_ids
 from strandloom.session import few_partitions, materialise, table
 
 QUERIES: dict = {}
@@ -373,6 +374,15 @@ def lz_repetitions(spark, sf_dir):
     return encode.repetitions(acts, encode.Params(min_rep=_REP))
 
 
+# And in all that was done, as one walk over many tasks.
+@query(f"""WITH RECURSIVE walk AS MATERIALIZED (SELECT 'all/0' AS cid, row_number() OVER (ORDER BY ts, event_id) - 1 AS step, length(event_type) AS nid FROM events), {_LZ_STEPS}
+SELECT {_IDS}, p::INT AS pos, run::INT AS run, o::INT AS "offset" FROM pick WHERE run > 0""")
+def lz_repetitions_long(spark, sf_dir):
+    e = ordered_ids(table(spark, sf_dir, "events").select("ts", "event_id", "event_type"), ["ts", "event_id"], "step")
+    acts = e.select(F.lit("all").alias("seq_id"), F.lit(0).alias("contig_idx"), "step", F.length("event_type").cast("long").alias("nid"))
+    return parse.repetitions(acts, encode.Params(min_rep=_REP), 1 << 12)
+
+
 @query(f"{_WALK} SELECT seq_id, contig_idx, string_agg(nid::VARCHAR, ',' ORDER BY step) AS nids FROM walk GROUP BY seq_id, contig_idx")
 def basic_encoding(spark, sf_dir):
     return encode.basic(_walks(spark, sf_dir)[1]).select("seq_id", "contig_idx", F.array_join(F.col("nids").cast("array<string>"), ",").alias("nids"))

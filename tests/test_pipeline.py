@@ -27,6 +27,34 @@ def test_files_roundtrip(spark, tmp_path):
         pipeline.decode(spark, str(tmp_path / "enc"), other)
 
 
+@pytest.mark.parametrize("one", [False, True])
+def test_all(spark, tmp_path, one):
+    """Files of genomes to encodings by one command, and back."""
+    rng = random.Random(8)
+    x, y = ("".join(rng.choices("ACGT", k=150)) for _ in range(2))
+    want = {"a|chr1": x, "a|chr/2": y, "b|c1": y[:70] + "NNN" + y[60:], "b|c2": x[:90] + x[20:]}
+    for g in "ab":
+        (tmp_path / f"{g}.fa").write_text("".join(f">{n[2:]}\n{s}\n" for n, s in want.items() if n[0] == g))
+    cli.main(["all", "-k", "13", "-i", str(tmp_path / "a.fa"), str(tmp_path / "b.fa"), "-o", str(tmp_path / "out"), *(["--one-graph"] if one else [])])
+    names = sorted(p.name for p in (tmp_path / "out/encodings").iterdir())
+    assert names == (["all"] if one else ["chr1", "chr_2"])
+    got = {}
+    for n in names:
+        got |= {r.seq_id: r.seq for r in pipeline.decode(spark, str(tmp_path / f"out/encodings/{n}"), Graph.load(spark, str(tmp_path / f"out/graphs/{n}"))).collect()}
+    assert got == {k.replace("/", "_"): s for k, s in want.items()}
+
+
+def test_long_walks_go_in_blocks(spark, tmp_path):
+    seq = "".join(random.Random(9).choices("ACGT", k=900))
+    s = spark.createDataFrame([("a", seq + seq[100:700] + seq[200:400]), ("b", seq[:50])], "seq_id string, seq string")
+    g = Graph.from_sequences(s, ["seq_id"], 11, False).materialised()
+    for name, block in (("one", 1 << 16), ("many", 128)):
+        pipeline.encode(s, g, str(tmp_path / name), block=block)
+    one, many = (sorted(map(str, spark.read.parquet(str(tmp_path / n / "extensions")).select("seq_id", "ext_idx", "kind", "nid", "base", "nb", "off", "at").collect())) for n in ("one", "many"))
+    assert one == many
+    assert sorted(r.seq for r in pipeline.decode(spark, str(tmp_path / "many"), g).collect()) == sorted(r.seq for r in s.collect())
+
+
 def test_stream(spark, tmp_path):
     seq = "ACGTTGCAAGGT"
     s = spark.createDataFrame([("a", 0, seq)], "seq_id string, contig_idx int, seq string")
