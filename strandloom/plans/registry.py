@@ -375,7 +375,7 @@ def lz_repetitions(spark, sf_dir):
 
 
 # And in all that was done, as one walk over many tasks.
-@query(f"""WITH RECURSIVE walk AS MATERIALIZED (SELECT 'all/0' AS cid, row_number() OVER (ORDER BY ts, event_id) - 1 AS step, length(event_type) AS nid FROM events), {_LZ_STEPS}
+@query(f"""WITH RECURSIVE walk AS MATERIALIZED (SELECT 'all/0' AS cid, row_number() OVER (ORDER BY ts, event_id) - 1 AS step, length(event_type) AS nid FROM events), {_LZ_STEPS.replace('best AS (', 'best AS MATERIALIZED (')}
 SELECT {_IDS}, p::INT AS pos, run::INT AS run, o::INT AS "offset" FROM pick WHERE run > 0""")
 def lz_repetitions_long(spark, sf_dir):
     e = ordered_ids(table(spark, sf_dir, "events").select("ts", "event_id", "event_type"), ["ts", "event_id"], "step")
