@@ -30,9 +30,9 @@ def read_fastq(spark: SparkSession, path: str | list[str], place: bool = False)
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
     lines = ordered_ids(lines.where("trim(value) <> ''"), ["file", "block", "at"], "line")
     first = lines.groupBy("file").agg(F.min("line").alias("first"))
-    place = lines.join(first, "file").withColumn("n", F.col("line") - F.col("first"))
-    place = place.select("file", F.floor(F.col("n") / 4).alias("record"), (F.col("n") % 4).alias("i"), F.regexp_replace("value", "\r", "").alias("value"))
-    per = place.groupBy("file", "record").agg(*[F.max(F.when(F.col("i") == i, F.col("value"))).alias(c) for i, c in enumerate(("h", "seq", "plus", "quality"))])
+    numbered = lines.join(first, "file").withColumn("n", F.col("line") - F.col("first"))
+    numbered = numbered.select("file", F.floor(F.col("n") / 4).alias("record"), (F.col("n") % 4).alias("i"), F.regexp_replace("value", "\r", "").alias("value"))
+    per = numbered.groupBy("file", "record").agg(*[F.max(F.when(F.col("i") == i, F.col("value"))).alias(c) for i, c in enumerate(("h", "seq", "plus", "quality"))])
     right = F.startswith("h", F.lit("@")) & F.startswith("plus", F.lit("+")) & (F.length("seq") == F.length("quality"))
     wrong = F.raise_error(F.concat(F.lit("no FASTQ record: line "), (F.col("record") * 4 + 1).cast("string"), F.lit(" of "), F.col("file")))
     where = [F.col("file"), F.lit(0).cast("long").alias("block"), F.col("record").alias("at")] if place else []

@@ -24,6 +24,8 @@ def test_fastq(spark, tmp_path):
     (tmp_path / "r.fq").write_text("@r1 x\nACGT\n+\n@III\n@r2\nGG\n+\n@@\n")
     got = sorted(tuple(r) for r in fasta.read_fastq(spark, str(tmp_path / "r.fq")).collect())
     assert got == [("r1 x", "ACGT", "@III"), ("r2", "GG", "@@")]
+    placed = fasta.read_sequences(spark, str(tmp_path / "r.fq"), place=True).orderBy(fasta.PLACE)
+    assert placed.columns == [*fasta.PLACE, "header", "seq"] and [r.header for r in placed.collect()] == ["r1 x", "r2"]
 
 
 def test_tsv_and_logs(spark, tmp_path):
