@@ -7,10 +7,13 @@ only, and those of under `exact` words (by default `least`) never match; the que
 1. Equal lines are collapsed to their earliest occurrence by 128-bit hashes (partial sums first, so a hot line is cheap).
 2. One edit leaves the first or the second half of a pair untouched, so only lines that share a half with another distinct
    line go on. Nothing is lost, and few lines remain.
-3. Each of these emits its variants with one word left out, as hashes: once with the place (equal variants differ by a
-   replaced word) and once closed up (equal to a line that lacks the word). Hashes are sums over placed words, so a variant
-   costs a subtraction. Equal variants meet in an aggregation that keeps the earliest line, never pairs within a group.
-4. The earliest match is verified word by word, and every later line goes. A chain of matches collapses to its earliest line.
+3. The longer line of a pair, of N words, is cut into about sqrt(N) parts, the other one likewise but for a word less in one part. The
+   edit lies in one part and leaves what is before and after it untouched, so lines meet by their hash without a part.
+4. Where they do, a line emits its variants with one word of that part left out, as hashes: with the place if there is another
+   line of N words (equal variants differ by a replaced word), closed up if there is one of N - 1 (equal to a line that lacks
+   the word). Hashes are sums over placed words, so a variant costs a subtraction. So a line of n words has some 2 sqrt(n) hashes
+   without a part and sqrt(n) variants, not 2n. Equal variants meet in an aggregation that keeps the earliest line, never pairs within a group.
+5. The earliest match is verified word by word, and every later line goes. A chain of matches collapses to its earliest line.
 
 Hot keys (a half, a variant or an earliest line that very many lines share) meet their one row by a broadcast of those rows, so no task
 holds them all.
@@ -29,6 +32,8 @@ from strandloom.session import materialise, settle
 LEAST = 8
 #: Tables of lines and of met variants with up to this many rows are broadcast; larger ones are shuffled, their hot keys apart.
 BROADCAST_LINES = 1_000_000
+#: Lines are cut into so many parts at most: each costs a hash of the line.
+PARTS = 16
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
@@ -55,6 +60,20 @@ def _hashed(lines: DataFrame, least: int, short: bool) -> DataFrame:
 RANK = ["none", "id", "line_no", "h1", "h2"]
 
 
+def _parts(text: DataFrame) -> DataFrame:
+    """(h1, h2, longer, start, size, key): the parts of each line, as the longer line of a pair and as the other one, with the hash of the line without the part. Of two words at least in the longer line, so no part is empty."""
+    at = lambda p, total, count: F.floor(p * total / count).cast("int")
+
+    def cut(longer: int) -> F.Column:
+        total = F.col("n") + (1 - longer)  # words of the longer line
+        count = F.least(F.floor(F.sqrt(total)).cast("int"), F.lit(PARTS))
+        return F.transform(F.sequence(F.lit(0), count - 1), lambda p: F.struct(F.lit(longer).alias("longer"), total.alias("total"), p.alias("p"), at(p, total, count).alias("start"), (total - at(p + 1, total, count)).alias("after")))
+
+    x = text.select("h1", "h2", "n", "norm", F.explode(F.concat(cut(1), cut(0))).alias("x")).select("h1", "h2", "n", "norm", "x.*")
+    key = F.expr("xxhash64(total, p, substring_index(norm, ' ', start), substring_index(norm, ' ', -after))")
+    return x.select("h1", "h2", "longer", "start", (F.col("n") - F.col("start") - F.col("after")).alias("size"), key.alias("key"))
+
+
 def _near(distinct: DataFrame, docs: DataFrame, id_col: str, text_col: str, least: int, broadcast: int) -> DataFrame:
     """(h1, h2, keep_id, keep_line): distinct lines with an earlier line at one edit, and the earliest such line."""
     keys = distinct.select("h1", "h2", "id", "line_no", F.explode("halves").alias("key"))
@@ -70,22 +89,30 @@ def _near(distinct: DataFrame, docs: DataFrame, id_col: str, text_col: str, leas
     text = text.join(at, F.col("id").eqNullSafe(F.col("f_id")) & (F.col("line_no") == F.col("f_line")) & (F.col("t1") == F.col("h1")))
     text = materialise(text.select("h1", "h2", "id", "line_no", "n", "norm").dropDuplicates(["h1", "h2"]), "norms")
 
-    # Lines are dealt before they are cut into words, so the words aren't shuffled.
-    w = text.repartition("h1", "h2").select("h1", "h2", F.col("id").isNull().alias("none"), "id", "line_no", "n", F.posexplode(F.split("norm", " ")).alias("i", "word"))
+    parts = _parts(text)
+    shared = parts.groupBy("key").agg(F.sum("longer").alias("longs"), F.count("*").alias("c")).where("longs > 1 or longs > 0 and c > longs")
+    shared = materialise(shared, "shared-parts")
+    met = parts.join(F.broadcast(shared), "key") if shared.count() <= broadcast else join_counted(parts, shared, ["key"], "c", shared.agg(F.sum("c")).first()[0] or 0)
+    # Lines meet their parts before they are cut into words, so the words aren't shuffled.
+    inside = F.expr("substring_index(substring_index(norm, ' ', start + size), ' ', -size)")
+    w = met.join(text.select("h1", "h2", F.col("id").isNull().alias("none"), "id", "line_no", "norm"), ["h1", "h2"])
+    w = w.select("key", "h1", "h2", "none", "id", "line_no", "longer", "longs", "c", F.posexplode(F.split(inside, " ")).alias("i", "word"))
     placed = lambda seed, i: F.shiftrightunsigned(F.xxhash64(F.lit(seed), "word", i), 24)  # noqa: E731  40 bits: sums can't overflow
     w = w.select("*", *[placed(s, F.col("i") - d).alias(f"g{s}{d}") for s in (1, 2) for d in (0, 1)])
-    line = Window.partitionBy("h1", "h2")
+    line = Window.partitionBy("h1", "h2", "key")
     upto = line.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     w = w.select("*", *[F.sum(f"g{s}{d}").over(o).alias(f"{name}{s}{d}") for s in (1, 2) for d in (0, 1) for name, o in (("all", line), ("to", upto))])
     rank = F.struct(*RANK)
-    left_out = [F.struct(F.lit("place").alias("kind"), "n", "i", *[(F.col(f"all{s}0") - F.col(f"g{s}0")).alias(f"v{s}") for s in (1, 2)])]
-    closed = [F.struct(F.lit("closed").alias("kind"), (F.col("n") - 1).alias("n"), F.lit(-1).alias("i"), *[(F.col(f"to{s}0") - F.col(f"g{s}0") + F.col(f"all{s}1") - F.col(f"to{s}1")).alias(f"v{s}") for s in (1, 2)])]
-    whole = [F.struct(F.lit("whole").alias("kind"), "n", F.lit(-1).alias("i"), *[F.col(f"all{s}0").alias(f"v{s}") for s in (1, 2)])]
-    variants = w.select(rank.alias("own"), F.explode(F.when(F.col("i") == 0, F.array(*left_out, *closed, *whole)).otherwise(F.array(*left_out, *closed))).alias("x")).select("own", "x.*")
-    variants = materialise(variants, "variants")
-    keys = ["n", "i", "v1", "v2"]
+    left_out = F.struct(F.lit("place").alias("kind"), "i", *[(F.col(f"all{s}0") - F.col(f"g{s}0")).alias(f"v{s}") for s in (1, 2)])
+    closed = F.struct(F.lit("closed").alias("kind"), F.lit(-1).alias("i"), *[(F.col(f"to{s}0") - F.col(f"g{s}0") + F.col(f"all{s}1") - F.col(f"to{s}1")).alias(f"v{s}") for s in (1, 2)])
+    whole = F.struct(F.lit("whole").alias("kind"), F.lit(-1).alias("i"), *[F.col(f"all{s}0").alias(f"v{s}") for s in (1, 2)])
+    longer, others, shorter = F.col("longer") == 1, F.col("longs") > 1, F.col("c") > F.col("longs")
+    of_word = F.when(longer & others & shorter, F.array(left_out, closed)).when(longer & others, F.array(left_out)).when(longer, F.array(closed)).when(F.col("i") == 0, F.array(whole))
+    variants = materialise(w.select("key", rank.alias("own"), F.explode(of_word).alias("x")).select("key", "own", "x.*"), "variants")
+    keys = ["key", "i", "v1", "v2"]
     kinds = {k: F.min(F.when(F.col("kind") == k, F.col("own"))).alias(k) for k in ("place", "closed", "whole")}
-    met = materialise(variants.groupBy(*keys).agg(*kinds.values(), F.count("*").alias("c")).where("c > 1"), "met")
+    found = variants.groupBy(*keys).agg(*kinds.values(), F.count("*").alias("c")).where("place is not null and c > 1 or closed is not null and whole is not null")
+    met = materialise(found, "met")
     with_met = variants.join(F.broadcast(met.drop("c")), keys) if met.count() <= broadcast else join_counted(variants, met, keys, "c", variants.count())
     # A closed-up variant matches a whole line, and the other way round; two closed-up variants may be two edits apart.
     earliest = with_met.select("own", F.when(F.col("kind") == "place", F.col("place")).when(F.col("kind") == "closed", F.col("whole")).otherwise(F.col("closed")).alias("best"))

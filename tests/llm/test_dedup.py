@@ -307,3 +307,31 @@ def test_lines_of_long_texts(spark, broadcast):
     got = {r.doc_id: r.text for r in line_dedup.clean(frame(spark, rows), least=50, exact=1, broadcast=broadcast).collect()}
     assert got.pop(9) == long[: len(long) // 2]
     assert got == {1: "a b\nc d", 2: "kept", 3: "", 4: "x y", 5: "z", 6: None, 7: ""}
+
+
+@pytest.mark.parametrize("broadcast", [line_dedup.BROADCAST_LINES, 0])
+def test_lines_every_place(spark, monkeypatch, broadcast):
+    """One edit is found at any place of a line, two edits at none, and variants are left out near the edit only, not all over the line."""
+    lines, expect, words = [], set(), 0
+    for n in (8, 9, 10, 16, 17, 24, 25, 63, 64, 65, 290):
+        for at in range(n) if n < 60 else (0, 1, 7, 8, n // 2, n - 8, n - 2, n - 1):
+            for edit in ("replaced", "added", "removed", "two"):
+                line = [f"w{n}x{at}{edit}{i // 2}" for i in range(n)]  # words stand twice, side by side
+                other = {"replaced": [*line[:at], "z", *line[at + 1 :]], "added": [*line[:at], "z", *line[at:]], "removed": line[:at] + line[at + 1 :]}.get(edit) or [*line[:at], "z", *line[at + 1 : -1], "y", "y"]
+                if edit != "two" and min(len(line), len(other)) >= 8:
+                    expect.add(len(lines) + 1)
+                lines += [line, other]
+                words += len(line) + len(other)
+    made, write = [], line_dedup.materialise
+
+    def materialise(df, name):
+        out = write(df, name)
+        if name == "variants":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "materialise", materialise)
+    rows = [(i, " ".join(line)) for i, line in enumerate(lines)]
+    got = {(r.doc_id, r.keep_id) for r in line_dedup.dropped(frame(spark, rows), broadcast=broadcast).collect()}
+    assert got == {(i, i - 1) for i in expect}
+    assert made[0] < words
