@@ -16,7 +16,7 @@ only, and those of under `exact` words (by default `least`) never match; the que
 5. The earliest match is verified word by word, and every later line goes. A chain of matches collapses to its earliest line.
 
 Hot keys (a half, a variant or an earliest line that very many lines share) meet their one row by a broadcast of those rows, so no task
-holds them all.
+holds them all. Beyond `broadcast` rows, a bitmap of the keys that are sought thins halves, texts and lines before they are shuffled.
 
 Defined cases: null and empty texts stay as they are; a null id ranks last; rows that share an id count as one document.
 """
@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.llm.skew import join_counted
+from strandloom.llm.skew import join_counted, thin
 from strandloom.session import materialise, settle
 
 LEAST = 8
@@ -78,14 +78,18 @@ def _near(distinct: DataFrame, docs: DataFrame, id_col: str, text_col: str, leas
     """(h1, h2, keep_id, keep_line): distinct lines with an earlier line at one edit, and the earliest such line."""
     keys = distinct.select("h1", "h2", "id", "line_no", F.explode("halves").alias("key"))
     shared = materialise(keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "shared-halves")
-    met = keys.join(F.broadcast(shared.select("key")), "key", "left_semi") if shared.count() <= broadcast else join_counted(keys, shared, ["key"], "c", keys.count())
+    n_shared = shared.count()
+    met = keys.join(F.broadcast(shared.select("key")), "key", "left_semi") if n_shared <= broadcast else join_counted(thin(keys, F.col("key"), shared, F.col("key"), n_shared), shared, ["key"], "c", keys.count())
     few = materialise(met.select("h1", "h2", "id", "line_no").distinct(), "lines")
     at = few.select("h1", "h2", F.col("id").alias("f_id"), F.col("line_no").alias("f_line"))
-    in_docs = at.select("f_id").distinct()
-    if few.count() <= broadcast:
-        at, in_docs = F.broadcast(at), F.broadcast(in_docs)
-    those = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(in_docs, F.col("id").eqNullSafe(F.col("f_id")), "left_semi")
-    text = _lines(those, "id", "text", least).withColumn("t1", F.xxhash64("norm"))
+    in_docs, n_few = at.select("f_id").distinct(), few.count()
+    those = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    if n_few <= broadcast:
+        at = F.broadcast(at)
+        text = _lines(those.join(F.broadcast(in_docs), F.col("id").eqNullSafe(F.col("f_id")), "left_semi"), "id", "text", least).withColumn("t1", F.xxhash64("norm"))
+    else:  # neither texts nor most of their lines are shuffled
+        text = _lines(thin(those, F.col("id"), in_docs, F.col("f_id"), n_few), "id", "text", least).withColumn("t1", F.xxhash64("norm"))
+        text = thin(text, F.col("t1"), at, F.col("h1"), n_few)
     text = text.join(at, F.col("id").eqNullSafe(F.col("f_id")) & (F.col("line_no") == F.col("f_line")) & (F.col("t1") == F.col("h1")))
     text = materialise(text.select("h1", "h2", "id", "line_no", "n", "norm").dropDuplicates(["h1", "h2"]), "norms")
 
@@ -152,8 +156,8 @@ def dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
 
 def _marked(docs: DataFrame, id_col: str, text_col: str, least: int, exact: int | None = None, broadcast: int = BROADCAST_LINES) -> DataFrame:
     """(row, gone): every row of docs and the numbers of its removed lines in order, null where there are none."""
-    gone = dropped(docs, id_col, text_col, least, exact, broadcast).groupBy(F.col(id_col).alias("gone_id")).agg(F.sort_array(F.collect_set("line_no")).alias("gone"))
-    gone = materialise(gone, "gone-by-document")
+    lines = lambda: dropped(docs, id_col, text_col, least, exact, broadcast).groupBy(F.col(id_col).alias("gone_id")).agg(F.sort_array(F.collect_set("line_no")).alias("gone"))
+    gone = settle(docs.sparkSession, lines, "gone-by-document")  # the tables of lines are gone before texts may be shuffled
     few = (gone.agg(F.sum(F.size("gone"))).first()[0] or 0) <= broadcast
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     # Few numbers go to the texts; more are hashed and the texts go by them, instead of a sort of texts.

@@ -8,7 +8,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from strandloom.llm import components, decontaminate, exact_dedup, jaccard_join, line_dedup, substring_dedup
+from strandloom.llm import components, decontaminate, exact_dedup, jaccard_join, line_dedup, skew, substring_dedup
 
 DOCS = "doc_id long, text string"
 
@@ -335,3 +335,34 @@ def test_lines_every_place(spark, monkeypatch, broadcast):
     got = {(r.doc_id, r.keep_id) for r in line_dedup.dropped(frame(spark, rows), broadcast=broadcast).collect()}
     assert got == {(i, i - 1) for i in expect}
     assert made[0] < words
+
+
+def test_thin(spark):
+    """All rows with a key of the table stay, null too, and few others; columns as before."""
+    rows = spark.range(60_000).select(F.when(F.col("id") > 0, F.col("id")).alias("doc_id"), F.lit("x").alias("text"))
+    keys = rows.where("doc_id is null or doc_id % 30 = 7").select(F.col("doc_id").alias("k"))
+    out = skew.thin(rows, F.col("doc_id"), keys, F.col("k"), 2001)
+    assert out.columns == rows.columns
+    assert out.where("doc_id is null or doc_id % 30 = 7").count() == 2001 and out.count() < 2001 + 58_000 // 10
+    assert skew.thin(rows, F.col("doc_id"), keys.limit(0), F.col("k"), 0).count() == 0
+
+
+def test_lines_without_shuffled_texts(spark, monkeypatch):
+    """Beyond the bound of broadcasts, texts aren't shuffled to fetch the few lines that may be near another."""
+    line = "the quick brown fox jumps over the lazy dog today"
+    rows = [(1, line), (2, line.replace("fox", "cat"))] + [(i, " ".join(f"{i}x{j}" for j in range(20))) for i in range(3, 1000)]
+    again, lines = [], line_dedup._lines
+
+    def seen(docs, id_col, *args):
+        if id_col == "id":  # the texts that are read again
+            again.append((docs.count(), docs._jdf.queryExecution().executedPlan().toString()))
+        return lines(docs, id_col, *args)
+
+    monkeypatch.setattr(line_dedup, "_lines", seen)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert [(r.doc_id, r.keep_id) for r in line_dedup.dropped(frame(spark, rows), broadcast=0).collect()] == [(2, 1)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    (n, plan), = again
+    assert 2 <= n < 300 and "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
