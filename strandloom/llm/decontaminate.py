@@ -15,6 +15,7 @@ Output columns are the id column and the new ones, so clashing names in the inpu
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -56,35 +57,47 @@ def item_windows(items: DataFrame, size: int = 10, id_col: str = "item_id", text
     return cols.mapInArrow(_item_windows(size), "hash long, n int, words binary, item string")
 
 
-def _scan(block):
-    def run(batches):
-        held: dict[int, dict[bytes, list[str]]] = defaultdict(dict)
+class _Known:
+    """A block of windows, looked up by hash and verified word for word."""
+
+    def __init__(self, block: list):
+        self.held: dict[int, dict[bytes, list[str]]] = defaultdict(dict)
         sizes: dict[int, list[int]] = defaultdict(list)
-        for h, n, text, found in block.value:
-            held[h][bytes(text)] = found
+        for h, n, text, found in block:
+            self.held[h][bytes(text)] = found
             sizes[n].append(h)
-        hashes = {n: np.unique(np.array(x, np.int64)) for n, x in sizes.items()}
-        bits = {n: np.zeros(1 << 20, bool) for n in hashes}
-        for n, x in hashes.items():
-            bits[n][x.view(np.uint64) >> np.uint64(44)] = True
+        self.hashes = {n: np.unique(np.array(x, np.int64)) for n, x in sizes.items()}
+        self.bits = {n: np.zeros(1 << 20, bool) for n in self.hashes}
+        for n, x in self.hashes.items():
+            self.bits[n][x.view(np.uint64) >> np.uint64(44)] = True
+
+    def hits(self, data, rows, s, e, h):
+        """(first word, number of words, items) of each window that occurs."""
+        for n, known in self.hashes.items():
+            first, x = W.windows(rows, h, n)
+            maybe = np.flatnonzero(self.bits[n][x >> np.uint64(44)])
+            x = x[maybe].view(np.int64)
+            at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+            hit = known[at] == x
+            for f, key in zip(first[maybe[hit]], x[hit], strict=True):
+                text = b" ".join(W.ALNUM.fold[data[i:j]].tobytes() for i, j in zip(s[f : f + n], e[f : f + n], strict=True))
+                found = self.held[int(key)].get(text)
+                if found is not None:
+                    yield int(f), n, found
+
+
+def _scan(block):
+    def run(batches):
+        known = _Known(block.value)
         for b in batches:
             data, off = W.raw(b.column("text"))
             n_words, spans, items = [], b.column("spans").to_pylist(), b.column("items").to_pylist()
             for row, last, rows, s, e, h in W.word_blocks(data, off, W.ALNUM):
                 n_words.append(np.bincount(rows - row, minlength=last - row))
-                for n, known in hashes.items():
-                    first, x = W.windows(rows, h, n)
-                    maybe = np.flatnonzero(bits[n][x >> np.uint64(44)])
-                    x = x[maybe].view(np.int64)
-                    at = np.minimum(np.searchsorted(known, x), len(known) - 1)
-                    hit = known[at] == x
-                    for f, key in zip(first[maybe[hit]], x[hit], strict=True):
-                        text = b" ".join(W.ALNUM.fold[data[i:j]].tobytes() for i, j in zip(s[f : f + n], e[f : f + n], strict=True))
-                        found = held[int(key)].get(text)
-                        if found is not None:
-                            r, base = int(rows[f]), int(np.searchsorted(rows, rows[f]))
-                            spans[r].append((int(f) - base, int(f) - base + n, int(s[f] - off[r]), int(e[f + n - 1] - off[r])))
-                            items[r] = sorted(set(items[r]) | set(found))
+                for f, n, found in known.hits(data, rows, s, e, h):
+                    r, base = int(rows[f]), int(np.searchsorted(rows, rows[f]))
+                    spans[r].append((f - base, f - base + n, int(s[f] - off[r]), int(e[f + n - 1] - off[r])))
+                    items[r] = sorted(set(items[r]) | set(found))
             for r, mine in enumerate(spans):
                 if mine:
                     spans[r] = _merged(mine)
@@ -99,6 +112,20 @@ def _scan(block):
     return run
 
 
+def _free(block):
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known = _Known(block.value)
+        for text in batches:
+            data, off = W.raw(text)
+            free = np.ones(len(text), bool)
+            for _, _, rows, s, e, h in W.word_blocks(data, off, W.ALNUM):
+                for f, _, _ in known.hits(data, rows, s, e, h):
+                    free[rows[f]] = False
+            yield pa.array(free)
+
+    return F.arrow_udf(run, "boolean")
+
+
 def _merged(spans: list) -> list[tuple[int, int, int, int]]:
     """Overlapping or touching word spans as one."""
     rows = sorted(tuple(x.values()) if isinstance(x, dict) else x for x in spans)
@@ -112,23 +139,26 @@ def _merged(spans: list) -> list[tuple[int, int, int, int]]:
     return out
 
 
-def scan(docs: DataFrame, items: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text", per_pass: int = 500_000, keep_text: bool = False) -> DataFrame:
-    """Per row: id, n_words, n_hit, items (ids of items with occurring windows, sorted), spans (merged hits: words first..last, bytes start..end)."""
-    spark = docs.sparkSession
+def _blocks(items: DataFrame, size: int, per_pass: int):
+    """Broadcasts of about per_pass windows each, at least one."""
+    spark = items.sparkSession
     ship(spark)
     found = item_windows(items, size).groupBy("hash", "n", "words").agg(F.array_sort(F.collect_set("item")).alias("found"))
     found = materialise(found, "windows")
     passes = max(1, -(-found.count() // per_pass))
+    for i in range(passes):
+        own = found.where(F.pmod("hash", F.lit(passes)) == i) if passes > 1 else found
+        yield spark.sparkContext.broadcast([tuple(r) for r in own.toLocalIterator()])
+
+
+def scan(docs: DataFrame, items: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text", per_pass: int = 500_000, keep_text: bool = False) -> DataFrame:
+    """Per row: id, n_words, n_hit, items (ids of items with occurring windows, sorted), spans (merged hits: words first..last, bytes start..end)."""
     df = docs.select(
         F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.lit(0).cast("long").alias("n_words"),
         F.array().cast(SPAN).alias("spans"), F.array().cast("array<string>").alias("items"),
     )
-    for i in range(passes):
-        own = found.where(F.pmod("hash", F.lit(passes)) == i) if passes > 1 else found
-        block = spark.sparkContext.broadcast([tuple(r) for r in own.toLocalIterator()])
-        df = df.mapInArrow(_scan(block), df.schema)
-        if i < passes - 1:
-            df = materialise(df, "scanned")
+    for i, block in enumerate(_blocks(items, size, per_pass)):
+        df = (materialise(df, "scanned") if i else df).mapInArrow(_scan(block), df.schema)
     out = df.select(
         F.col("id").alias(id_col), "n_words", F.coalesce(F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["last"] - x["first"]), F.lit(0).cast("long")).alias("n_hit"),
         "items", "spans", *(["text"] if keep_text else []),
@@ -145,15 +175,18 @@ def report(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
     )
 
 
-def clean(docs: DataFrame, items: DataFrame, size: int = 10, mode: str = "documents", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, size: int = 10, mode: str = "documents", id_col: str = "doc_id", text_col: str = "text", per_pass: int = 500_000) -> DataFrame:
     """docs without contaminated rows (mode 'documents'), or with the hit spans cut from their texts (mode 'spans').
 
-    All columns of docs are kept. The row travels through the scan as one struct, so its names can't clash.
+    All columns of docs are kept. Where documents are dropped, only the text goes to Python and only a flag comes back. For
+    spans the row travels through the scan as one struct, so its names can't clash.
     """
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).alias("text"))
-    s = scan(row, items, size, id_col="row", text_col="text", keep_text=mode == "spans")
     if mode == "documents":
-        return s.where("n_hit = 0").select("row.*")
+        for i, block in enumerate(_blocks(items, size, per_pass)):
+            docs = (materialise(docs, "scanned") if i else docs).where(_free(block)(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+        return docs
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).alias("text"))
+    s = scan(row, items, size, id_col="row", text_col="text", per_pass=per_pass, keep_text=True)
     bytes_ = F.col("text").cast("binary")
     kept = F.aggregate(
         "spans",

@@ -198,29 +198,44 @@ def _platt(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
     return w[0], w[1], 1 / (1 + np.logaddexp(0, -(a @ w) * y).mean())
 
 
+def _tell(m: Model, text: pa.Array, letter: pa.Array, close: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(language, its score, whether the two nearest codewords are close) per text."""
+    n, letter = len(text), np.array(letter.to_pylist(), bool)
+    if not m.langs:
+        return np.full(n, "und", dtype=object), np.zeros(n), np.zeros(n, bool)
+    best, p, second = m.decode(m.averages(*W.raw(text)))
+    lang = np.where(letter, np.array(m.langs, dtype=object)[best], "und")
+    return lang, np.clip(np.where(letter, p, 0.0), 0, 1), (p - second < close) & letter
+
+
 def _predict(model, close: float):
     def run(batches):
-        m = model.value
         for b in batches:
-            n, letter = len(b), np.array(b.column("letter").to_pylist(), bool)
-            if m.langs:
-                best, p, second = m.decode(m.averages(*W.raw(b.column("text"))))
-                lang = np.where(letter, np.array(m.langs, dtype=object)[best], "und")
-                p, second = np.where(letter, p, 0.0), np.where(letter, second, 0.0)
-            else:
-                lang, p, second = np.full(n, "und", dtype=object), np.zeros(n), np.zeros(n)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("id"), pa.array(lang, pa.string()), pa.array(np.clip(p, 0, 1), pa.float64()), pa.array((p - second < close) & (lang != "und"))], names=["id", "lang_pred", "score", "ambiguous"]
-            )
+            lang, score, ambiguous = _tell(model.value, b.column("text"), b.column("letter"), close)
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(ambiguous)], names=["id", "lang_pred", "score", "ambiguous"])
 
     return run
 
 
+def _identified(model, close: float, least: float):
+    def run(text: pa.Array, letter: pa.Array) -> pa.Array:
+        lang, score, ambiguous = _tell(model.value, text, letter, close)
+        return pa.array((lang != "und") & ~(ambiguous & (score < least)), pa.bool_())
+
+    return F.arrow_udf(run, "boolean")
+
+
+def _text(text_col: str) -> tuple[Column, Column]:
+    """The text, empty if null, and whether it has a letter."""
+    return F.coalesce(F.col(text_col), F.lit("")), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
+
+
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", close: float = 0.2) -> DataFrame:
     """Per row: id, lang_pred, score, ambiguous (the two nearest codewords' probabilities differ by less than close)."""
     spark = docs.sparkSession
     ship(spark)
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("letter"))
+    text, letter = _text(text_col)
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), letter.alias("letter"))
     kind = rows.schema["id"].dataType.simpleString()
     out = rows.mapInArrow(_predict(spark.sparkContext.broadcast(model), close), f"id {kind}, lang_pred string, score double, ambiguous boolean")
     return out.withColumnRenamed("id", id_col)
@@ -239,9 +254,11 @@ def report(docs: DataFrame) -> DataFrame:
     return got.select("row.doc_id", "row.held_out", "lang_pred", "score", "ambiguous")
 
 
-def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """docs whose language is told, all columns kept: `und` and flagged texts whose nearest codeword has under `least` go."""
+def keep_identified(docs: DataFrame, least: float = 0.5, close: float = 0.2) -> DataFrame:
+    """docs whose language is told, all columns kept: `und` and flagged texts whose nearest codeword has under `least` go.
+
+    Only the text goes to Python and only a flag comes back; the row stays in Spark.
+    """
     rows = docs.select("doc_id", "text", "lang", held_out(F.col("doc_id"), 5, 0).alias("held_out"))
     model = fit(rows.where("not held_out"), F.col("doc_id"))
-    got = predict(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text"), model, "row")
-    return got.where((F.col("lang_pred") != "und") & ~(F.col("ambiguous") & (F.col("score") < least))).select("row.*")
+    return docs.where(_identified(docs.sparkSession.sparkContext.broadcast(model), close, least)(*_text("text")))

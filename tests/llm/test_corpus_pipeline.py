@@ -108,3 +108,47 @@ def test_clashing_names(spark, tmp_path):
         assert out.columns == docs.columns and {r.doc_id for r in out.collect()} == {1, 2}, name
         assert stage(spark, empty, str(tmp_path)).count() == 0, name
     assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == 3
+
+
+def python_bytes(df):
+    """What the Python nodes of df's plan are sent and return while df is collected."""
+    df.collect()
+    sent = got = 0
+    nodes = [df._jdf.queryExecution().executedPlan()]
+    while nodes:
+        node = nodes.pop()
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+        if node.metrics().contains("pythonDataSent"):
+            sent += node.metrics().apply("pythonDataSent").value()
+            got += node.metrics().apply("pythonDataReceived").value()
+    return sent, got
+
+
+def test_rows_stay_in_spark(spark, tmp_path):
+    """Stages that drop documents send their texts to Python once and get flags back: rows there and back cost executors their memory."""
+    from strandloom.llm import decontaminate, language_id
+
+    rng = random.Random(5)
+    rows = [(i, " ".join("".join(rng.choices("abcdefgh" if i % 2 else "rstuvwxy", k=5)) for _ in range(200)), "en" if i % 2 else "xx", "web", 1199) for i in range(400)]
+    spark.createDataFrame(rows, COLUMNS).write.parquet(str(tmp_path / "documents.parquet"))
+    docs, size = spark.read.parquet(str(tmp_path / "documents.parquet")), sum(len(r[1]) for r in rows)
+    items = spark.createDataFrame([(1, rows[0][1][:120]), (2, rows[1][1][-90:])], "item_id long, text string")
+    for kept, n in ((language_id.keep_identified(docs), 400), (decontaminate.clean(docs, items), 398)):
+        sent, got = python_bytes(kept)
+        assert size <= sent < 1.3 * size and 0 < got < 0.1 * size and kept.count() == n
+    assert {r.doc_id for r in decontaminate.clean(docs, items, per_pass=5).collect()} == set(range(2, 400))
+
+
+def test_blocks_are_small():
+    """A worker's arrays follow the block, not the batch: under 24 MB for 8 MB of text."""
+    import tracemalloc
+
+    from strandloom.llm import jaccard_join, language_id
+
+    data, off = np.frombuffer(b"some words of a text " * 400_000, np.uint8), np.arange(0, 8_400_001, 4200)
+    model = language_id.Model(["a", "b"], language_id.codewords(2), np.ones((1, language_id.DIMS), np.float32), np.ones(1), np.zeros(1), np.ones(1))
+    for run in (lambda: model.averages(data, off), lambda: sum(len(x) for _, _, _, x in jaccard_join.sets(data, off))):
+        tracemalloc.start()
+        run()
+        assert tracemalloc.get_traced_memory()[1] < 24e6
+        tracemalloc.stop()
