@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.llm import words as W
+from strandloom.llm.worker import tidy
 from strandloom.session import materialise, ship
 
 SPAN = "array<struct<first:int,last:int,start:int,end:int>>"
@@ -113,7 +114,7 @@ def _scan(block):
 
 
 def _free(block):
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def flags(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = _Known(block.value)
         for text in batches:
             data, off = W.raw(text)
@@ -123,6 +124,9 @@ def _free(block):
                     free[rows[f]] = False
             yield pa.array(free)
 
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return tidy(flags)(batches)
+
     return F.arrow_udf(run, "boolean")
 
 
@@ -158,7 +162,7 @@ def scan(docs: DataFrame, items: DataFrame, size: int = 10, id_col: str = "doc_i
         F.array().cast(SPAN).alias("spans"), F.array().cast("array<string>").alias("items"),
     )
     for i, block in enumerate(_blocks(items, size, per_pass)):
-        df = (materialise(df, "scanned") if i else df).mapInArrow(_scan(block), df.schema)
+        df = (materialise(df, "scanned") if i else df).mapInArrow(tidy(_scan(block)), df.schema)
     out = df.select(
         F.col("id").alias(id_col), "n_words", F.coalesce(F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["last"] - x["first"]), F.lit(0).cast("long")).alias("n_hit"),
         "items", "spans", *(["text"] if keep_text else []),

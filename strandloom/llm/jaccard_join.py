@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from strandloom.llm import words as W
 from strandloom.llm.components import components
 from strandloom.llm.skew import join_counted
+from strandloom.llm.worker import tidy
 from strandloom.session import materialise, ship
 
 SHINGLE = 5
@@ -119,11 +120,16 @@ def _counted(log_blocks: int, head: int):
     kind, shift = np.dtype(f"<u{head // 8}"), np.uint64(64 - head)
 
     def flush(held):
-        u, n = np.unique(np.concatenate(held), return_counts=True)
-        edges = np.searchsorted(u, (np.arange(1 << log_blocks, dtype=np.uint64) << np.uint64(head - log_blocks)).astype(kind))
-        edges = np.append(edges, len(u))
-        n = np.minimum(n, 255).astype(np.uint8)
-        out = [(i, _planes(np.diff(u[a:z], prepend=kind.type(0))), n[a:z].tobytes()) for i, (a, z) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if z > a]
+        x = np.concatenate(held)
+        held.clear()
+        x.sort()
+        edges = np.searchsorted(x, (np.arange(1 << log_blocks, dtype=np.uint64) << np.uint64(head - log_blocks)).astype(kind))
+        edges = np.append(edges, len(x))
+        out = []
+        for i, (a, z) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+            if z > a:  # block by block, so the arrays that unique needs are small
+                u, n = np.unique(x[a:z], return_counts=True)
+                out.append((i, _planes(np.diff(u, prepend=kind.type(0))), np.minimum(n, 255).astype(np.uint8).tobytes()))
         cols = zip(*out, strict=True)
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["block", "heads", "counts"])
 
@@ -144,20 +150,21 @@ def _counted(log_blocks: int, head: int):
 
 def _heavy(log_blocks: int, limit: int, head: int, map_log: int):
     """Per block of shingle heads: the bits of those that more than limit classes have, and sums for the cost model."""
-    width = 1 << (map_log - log_blocks)
+    kind, width = np.dtype(f"<u{head // 8}"), 1 << (map_log - log_blocks)
 
     def run(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()
-        heads = np.concatenate([np.cumsum(_unplaned(x.as_py(), f"<u{head // 8}"), dtype=np.uint64) for x in table.column("heads")])
-        counts = np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in table.column("counts")]).astype(np.int64)
+        heads = np.concatenate([np.cumsum(_unplaned(x.as_py(), kind.str), dtype=kind) for x in table.column("heads")])
+        counts = np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in table.column("counts")])
         order = np.argsort(heads, kind="stable")
         heads, counts = heads[order], counts[order]
-        starts = np.concatenate(([0], np.flatnonzero(np.diff(heads)) + 1))
-        df = np.add.reduceat(counts, starts)
+        del order
+        starts = np.concatenate(([0], np.flatnonzero(heads[1:] != heads[:-1]) + 1))
+        df = np.add.reduceat(counts, starts, dtype=np.int64)
         bits = np.zeros(width, bool)
-        bits[((heads[starts[df > limit]] >> np.uint64(head - map_log)).astype(np.int64)) - block * width] = True
+        bits[(heads[starts[df > limit]].astype(np.uint64) >> np.uint64(head - map_log)).astype(np.int64) - block * width] = True
         light = df[df <= limit]
-        return pa.table({"block": pa.array([block], pa.int32()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary()), "n1": pa.array([int(light.sum())]), "n2": pa.array([int((light * light).sum())])})
+        return pa.table({"block": pa.array([block], pa.int32()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary()), "n1": pa.array([int(light.sum())]), "n2": pa.array([int(light @ light)])})
 
     return run
 
@@ -194,8 +201,11 @@ def _postings(bitmap, small: int, log_blocks: int):
 
     def flush(held):
         key, node, n = (np.concatenate(c) for c in zip(*held, strict=True))
+        held.clear()
         order = np.argsort(key, kind="stable")
-        key, node, n = key[order], node[order], n[order]
+        key = key[order]
+        node = node[order]
+        n = n[order]
         edges = np.append(np.searchsorted(key, np.arange(1 << log_blocks, dtype=np.uint64) << np.uint64(48 - log_blocks)), len(key))
         return [("list", i, _planes(np.diff(key[a:z], prepend=np.uint64(0))), _planes(node[a:z]), _planes(n[a:z]), None, None) for i, (a, z) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if z > a]
 
@@ -354,7 +364,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadc
     spark = docs.sparkSession
     ship(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sized = materialise(texts.mapInArrow(_sizes, "id long, n long, ha long, hb long"), "sizes")
+    sized = materialise(texts.mapInArrow(tidy(_sizes), "id long, n long, ha long, hb long"), "sizes")
     keys = ["n", "ha", "hb"]
     classes = materialise(sized.where("n > 0 and id is not null").groupBy(*keys).agg(F.min("id").alias("node"), F.count("*").alias("copies")), "classes")
     totals = classes.agg(F.sum("n"), F.count("*")).first()
@@ -383,7 +393,7 @@ def _components(texts: DataFrame, sized: DataFrame, classes: DataFrame, total: i
     if copies.count() > broadcast:
         reps = materialise(reps, "representatives")  # five scans read them, and the join has shuffled texts
 
-    counted = reps.select("text").mapInArrow(_counted(log_blocks, head), "block int, heads binary, counts binary")
+    counted = reps.select("text").mapInArrow(tidy(_counted(log_blocks, head)), "block int, heads binary, counts binary")
     blocks = counted.groupBy("block").applyInArrow(_heavy(log_blocks, limit, head, map_log), "block int, bits binary, n1 long, n2 long").collect()
     width = 1 << (map_log - log_blocks - 3)
     bits = bytearray(1 << (map_log - 3))
@@ -392,7 +402,7 @@ def _components(texts: DataFrame, sized: DataFrame, classes: DataFrame, total: i
     small = small_limit(sum(r.n1 for r in blocks), sum(r.n2 for r in blocks))
     bitmap = spark.sparkContext.broadcast(bytes(bits))
 
-    found = materialise(reps.mapInArrow(_postings(bitmap, small, log_blocks), _FOUND), "postings")
+    found = materialise(reps.mapInArrow(tidy(_postings(bitmap, small, log_blocks)), _FOUND), "postings")
     pairs = found.where("kind = 'list'").select("block", "keys", "nodes", "sizes").groupBy("block").applyInArrow(_listed, "a long, b long, c long")
     pairs = _enough(pairs.groupBy("a", "b").agg(F.sum("c").alias("c")), found.where("kind = 'set'").select("node", F.col("key").alias("n"), F.col("block").alias("m")).dropDuplicates(["node"]))
     pairs = materialise(pairs, "pairs")
@@ -400,7 +410,7 @@ def _components(texts: DataFrame, sized: DataFrame, classes: DataFrame, total: i
     lists = _heavy_lists(reps, found.where("kind = 'heavy'").select("node").distinct(), bitmap, broadcast)
 
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(lists.select(F.col("node").alias("id"))).distinct()
-    elements = _only(reps, materialise(ids, "candidates"), "left_semi", broadcast).mapInArrow(_arrays(bitmap), "node long, light array<long>, heavy array<long>")
+    elements = _only(reps, materialise(ids, "candidates"), "left_semi", broadcast).mapInArrow(tidy(_arrays(bitmap)), "node long, light array<long>, heavy array<long>")
     elements = materialise(elements, "elements")
 
     # First every set meets its best partner only: groups of similar texts come together without their pairs.
@@ -465,7 +475,7 @@ def _small_links(keys: DataFrame) -> DataFrame:
 
 def _heavy_lists(reps: DataFrame, heavy: DataFrame, bitmap, broadcast: int) -> DataFrame:
     """(key, node, n, light, weight): the rarest budget + 1 parts of each of the heavy sets, where another set has the part too; weight: how much company a set has over all of these."""
-    parts = _only(reps, materialise(heavy, "heavy"), "left_semi", broadcast).mapInArrow(_parts(bitmap), "key long, node long, n long, light long, grp long, budget long")
+    parts = _only(reps, materialise(heavy, "heavy"), "left_semi", broadcast).mapInArrow(tidy(_parts(bitmap)), "key long, node long, n long, light long, grp long, budget long")
     parts = materialise(parts, "parts")
     counts = materialise(parts.groupBy("key").agg(F.count("*").alias("c")), "part-counts")
     ranked = join_counted(parts, counts, ["key"], "c", parts.count()).withColumn("rank", F.row_number().over(Window.partitionBy("node", "grp").orderBy("c", "key")))

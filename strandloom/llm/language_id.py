@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.llm import words as W
+from strandloom.llm.worker import release, tidy
 from strandloom.session import materialise, ship
 
 DIMS = 1 << 18
@@ -144,7 +145,7 @@ def fit(train: DataFrame, key: Column, text_col: str = "text", lang_col: str = "
     spark = train.sparkSession
     ship(spark)
     rows = train.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.pmod(F.xxhash64(key), F.lit(1 << 20)).alias("draw"))
-    counts = rows.select("text", "lang").mapInArrow(_count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = rows.select("text", "lang").mapInArrow(tidy(_count), "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts = materialise(counts, "trigrams")
     sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
     total = {r[0]: r[1] for r in counts.groupBy("lang").agg(F.sum("n")).collect()}
@@ -156,7 +157,7 @@ def fit(train: DataFrame, key: Column, text_col: str = "text", lang_col: str = "
     if code.shape[1]:
         share = int((1 << 20) * min(1.0, calibration_rows / max(1, sum(sizes.values())))) + 1
         held = spark.sparkContext.broadcast(model)
-        got = rows.where(F.col("draw") < share).select("text", "lang").mapInArrow(_averages(held), "lang string, x array<double>").limit(2 * calibration_rows).collect()
+        got = rows.where(F.col("draw") < share).select("text", "lang").mapInArrow(tidy(_averages(held)), "lang string, x array<double>").limit(2 * calibration_rows).collect()
         x, y = np.array([r.x for r in got]), np.array([langs.index(r.lang) for r in got])
         for b in range(code.shape[1]):
             model.slope[b], model.shift[b], model.trust[b] = _platt(x[:, b], code[y, b])
@@ -171,7 +172,8 @@ def _weights(counts: DataFrame, langs: list[str], total: dict[str, int], code: n
     if not n_bits or not known:
         return weights
     scale = [1 / (total.get(x, 0) + smooth * known) for x in langs]
-    sides = counts.sparkSession.createDataFrame([(x, s, [float(s) * (c > 0) for c in row], [float(s) * (c < 0) for c in row]) for x, s, row in zip(langs, scale, code.tolist(), strict=True)], "lang string, scale double, plus array<double>, minus array<double>")
+    shares = [pa.array([[float(s) * (c * side > 0) for c in row] for s, row in zip(scale, code.tolist(), strict=True)], pa.list_(pa.float64())) for side in (1, -1)]
+    sides = counts.sparkSession.createDataFrame(pa.table({"lang": pa.array(langs, pa.string()), "plus": shares[0], "minus": shares[1]}))  # a list of rows would start Python workers of its own
     summed = counts.join(F.broadcast(sides), "lang").groupBy("gram").agg(*[F.sum(F.col("n") * F.col(c)[b]).alias(f"{c}{b}") for c in ("plus", "minus") for b in range(n_bits)])
     table = summed.toPandas()
     at = table.gram.to_numpy()
@@ -220,6 +222,7 @@ def _predict(model, close: float):
 def _identified(model, close: float, least: float):
     def run(text: pa.Array, letter: pa.Array) -> pa.Array:
         lang, score, ambiguous = _tell(model.value, text, letter, close)
+        release()  # here, since this function has no end to do it at
         return pa.array((lang != "und") & ~(ambiguous & (score < least)), pa.bool_())
 
     return F.arrow_udf(run, "boolean")
@@ -237,7 +240,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     text, letter = _text(text_col)
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), letter.alias("letter"))
     kind = rows.schema["id"].dataType.simpleString()
-    out = rows.mapInArrow(_predict(spark.sparkContext.broadcast(model), close), f"id {kind}, lang_pred string, score double, ambiguous boolean")
+    out = rows.mapInArrow(tidy(_predict(spark.sparkContext.broadcast(model), close)), f"id {kind}, lang_pred string, score double, ambiguous boolean")
     return out.withColumnRenamed("id", id_col)
 
 

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.llm import words as W
+from strandloom.llm.worker import remembered, tidy
 from strandloom.session import materialise, ship
 
 SIZE = 4096
@@ -33,8 +34,6 @@ SIMPLE = re.compile("[\\t-\\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
 SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[!-/:-@\\[-`{-~]+")
 PIECE = "start long, length long, ids_crc32 long, doc_tokens long"
 
-_tokenizers: dict = {}
-
 
 class Remembered:
     """At most 2 * size entries: what hasn't been asked for since the last turn goes first."""
@@ -98,9 +97,7 @@ class Encoder:
 
 def _pieces(path: str | None, end_id: int, size: int):
     def run(batches):
-        if path not in _tokenizers:
-            _tokenizers[path] = Encoder(path)
-        encoder, end = _tokenizers[path], np.array([end_id], "<u4").tobytes()
+        encoder, end = remembered(("packing", path), lambda: Encoder(path)), np.array([end_id], "<u4").tobytes()
         for b in batches:
             data, off = W.raw(b.column("text"))
             of, out = [], []
@@ -121,7 +118,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(_pieces(path, end_id, size), f"id {kind}, {PIECE}").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(tidy(_pieces(path, end_id, size), keep=True), f"id {kind}, {PIECE}").withColumnRenamed("id", id_col)
 
 
 def patterns(histogram: dict[int, int], size: int = SIZE) -> list[tuple[int, tuple[int, ...]]]:

@@ -4,6 +4,8 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
 from test_dedup import ascii_lower, jaccard_brute, windows_brute
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -152,3 +154,64 @@ def test_blocks_are_small():
         run()
         assert tracemalloc.get_traced_memory()[1] < 24e6
         tracemalloc.stop()
+
+
+def test_batches_are_bounded(spark):
+    from corpus_pipeline import STAGES
+    from strandloom.session import BATCH, BATCH_CONF
+
+    def count(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes]), pa.array([b.num_rows])], names=["size", "n"])
+
+    docs = spark.createDataFrame([(i, "a word " * 20, "en", "s", 140) for i in range(20)], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in STAGES:
+        if name in ("language_id", "jaccard_join", "packing"):
+            spark.conf.unset(BATCH_CONF)
+            stage(spark, docs, "")
+            assert int(spark.conf.get(BATCH_CONF).rstrip("b")) == BATCH, name
+    got = spark.range(0, 8000, 1, 1).select(F.repeat(F.lit("word "), 500).alias("text")).mapInArrow(count, "size long, n long").collect()
+    assert sum(r.n for r in got) == 8000 and max(r.size for r in got) < 1.1 * BATCH  # one batch of 20 MB before
+    spark.conf.set(BATCH_CONF, 1 << 20)
+    STAGES[0][1](spark, docs, "")
+    assert int(spark.conf.get(BATCH_CONF)) == 1 << 20  # the user's own
+    spark.conf.unset(BATCH_CONF)
+
+
+def test_languages_start_no_other_workers(spark, monkeypatch):
+    from strandloom.llm import language_id
+
+    docs = spark.createDataFrame([(i, f"a word {i}", "en" if i % 2 else "de") for i in range(40)], "doc_id long, text string, lang string").cache()
+    docs.count()
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", None)  # rows of Python go through it and workers with an environment of their own
+    assert language_id.fit(docs, F.col("doc_id")).langs == ["de", "en"]
+    monkeypatch.undo()
+    docs.unpersist()
+
+
+def test_counting_holds_little():
+    import tracemalloc
+
+    from strandloom.llm import jaccard_join
+
+    rng = np.random.default_rng(1)
+    words = np.array([f"w{i}" for i in range(300)])
+    texts = [" ".join(words[rng.integers(0, 300, 900)]) for _ in range(2500)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts[i : i + 500])], names=["text"]) for i in range(0, 2500, 500)]
+    tracemalloc.start()
+    out = list(jaccard_join._counted(6, 32)(iter(batches)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6, peak  # over 70 MB when all of a task's shingles were made unique at once
+    assert sum(sum(b) for r in out for b in r.column("counts").to_pylist()) == 2500 * 896  # every shingle once
+
+
+def test_workers_forget():
+    from strandloom.llm import worker
+
+    made = []
+    make = lambda: made.append(1) or len(made)
+    run = lambda batches: (worker.remembered("a", make) + b for b in batches)
+    assert list(worker.tidy(run, keep=True)(iter([0, 0]))) == [1, 1] == list(worker.tidy(run, keep=True)(iter([0, 0])))
+    assert list(worker.tidy(lambda batches: batches)(iter([5]))) == [5] and not worker._remembered
+    assert list(worker.tidy(run, keep=True)(iter([0]))) == [2]
