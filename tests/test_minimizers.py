@@ -161,3 +161,26 @@ def test_totals_write_one_shuffle(spark, k, monkeypatch):
         rows = minimizers.totals(df, k, True).collect()
         assert len(rows) == len(want) and {r.kmer: r.n for r in rows} == want
     assert written() == before
+
+
+@pytest.mark.parametrize("few", [0, 1 << 19])
+def test_chains_by_rounds_or_at_once(spark, few, monkeypatch):
+    """Long chains of stretches and rings: the few that are left are chained at once, with the result of the rounds of joins."""
+    from pathlib import Path
+
+    from strandloom.operators import graph
+    from strandloom.session import scratch_root
+
+    monkeypatch.setattr(graph, "FEW", few)
+    rng = random.Random(8)
+    ring = "".join(rng.choices("ACGT", k=400))
+    seqs = [("a", "".join(rng.choices("ACGT", k=1500))), ("b", ring + ring[:20]), ("c", "".join(rng.choices("ACGT", k=90)))]
+    root = Path(scratch_root(spark).removeprefix("file:")) / "strandloom"
+    before = set(root.glob("chain-*"))
+    monkeypatch.setattr(minimizers, "BLOCK", 5)  # stretches of a few joints
+    for stranded in (True, False):
+        g = Graph.from_sequences(spark.createDataFrame(seqs, "seq_id string, seq string"), ["seq_id"], 15, stranded).compacted()
+        nodes = nodes_brute(seqs, 15, stranded)[0]
+        got = {r.seq for r in g.unitigs.collect()}
+        assert got == set(unitigs_brute(nodes, 15, stranded)) or {min(x, rc(x)) for x in got} == {min(x, rc(x)) for x in unitigs_brute(nodes, 15, stranded)}
+    assert few == 0 or len(set(root.glob("chain-*")) - before) <= 4

@@ -63,3 +63,43 @@ def test_greedy(spark, block, params):
     with scratch(spark):
         got, want = of(parse.greedy(walks, graph, params, block)), of(encode.greedy(walks, graph, params))
     assert got == want
+
+
+def test_prefix_looks_no_further_than_the_distance():
+    """In a ring of nodes that all branch, the search for a prefix doesn't spread over the graph, and has the length that counting all ways gives."""
+    import numpy as np
+
+    from strandloom.operators.paths import Adjacency
+
+    rng = random.Random(2)
+    n = 1 << 16
+    after = [sorted({(i + 1) % n, *(rng.randrange(n) for _ in range(2))}) for i in range(n)]
+    src, to = (np.array(x) for x in zip(*[(i, j) for i, x in enumerate(after) for j in x], strict=True))
+    starts = lambda x: np.concatenate(([0], np.cumsum(np.bincount(x, minlength=n)))).astype(np.int64)
+    back = np.argsort(to, kind="stable")
+    g = Adjacency(starts(src), to, np.zeros(len(to), np.int8), starts(to), src[back])
+    seen = []
+    asked = Adjacency.after
+    g.after = lambda v: seen.append(v) or asked(g, v)
+
+    def plain(path, most):
+        ways, met = {path[0]: 1}, set()
+        for d in range(1, most + 1):
+            found = {}
+            for v, w in ways.items():
+                for u in after[v]:
+                    if u not in met:
+                        found[u] = 2 if u in found else w
+            if found.get(path[d]) != 1:
+                return max(1, d - 1)
+            met |= found.keys()
+            ways = found
+        return most
+
+    for start in range(0, 300, 20):
+        path = [start + i for i in range(40)]
+        for most in (1, 2, 3, 7, 39):
+            assert g.prefix(path, 0, most) == plain(path, most)
+    seen.clear()
+    g.prefix(list(range(500, 540)), 0, 39)
+    assert len(seen) < 3000
